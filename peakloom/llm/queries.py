@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import chat, exact_dedup, quality_rules, token_counts
+from peakloom.llm import bpe, chat, exact_dedup, packing, quality_rules, token_counts
 from peakloom.llm.shared import table, text_of, words_of, written
 
 
@@ -21,6 +22,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True)
+    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two tokenizers; short ones deleted; words revised to words with a letter; a batch replayed."""
     text = text_of(F.col("text"))
@@ -49,6 +59,8 @@ def queries() -> dict:
         "op3_perspectives": op3_perspectives,
         "op4_line_frequency": op4_line_frequency,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_best_fit": op9_best_fit,
         "op10_token_rollups": op10_token_rollups,
     }
 
