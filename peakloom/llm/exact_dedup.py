@@ -38,22 +38,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     )
     winners = salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    # Per digest: its group, or under a digest that several texts share, each text with its group.
-    by_digest = written(
-        winners.groupBy("digest").agg(
-            F.count(F.lit(1)).alias("texts"),
-            F.max("keep_id").alias("keep_id"),
-            F.max("n").alias("n"),
-            F.when(F.count(F.lit(1)) > 1, F.collect_list(F.struct("norm", "keep_id", "n"))).alias("each"),
-        ),
-        "exact-groups",
-    )
-    shared = by_digest.where("texts > 1")
-    keyed = rows.select("id", "digest")
-    out = keyed.join(by_digest.where("texts = 1").select("digest", "keep_id", "n"), "digest")
-    if not shared.isEmpty():
-        each = shared.select("digest", F.inline("each"))
-        out = out.unionByName(rows.join(each, ["digest", "norm"]).select("digest", "id", "keep_id", "n"))
+    found = written(winners.select("digest", "keep_id", "n"), "exact-groups")
+    by_digest = found.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("n").alias("n"))
+    out = rows.select("id", "digest").join(by_digest.where("texts = 1").select("digest", "keep_id", "n"), "digest")
+    clash = by_digest.where("texts > 1").select("digest")
+    if not clash.isEmpty():  # several texts under one digest: their rows find their group by the text
+        some = rows.join(clash, "digest", "left_semi")
+        out = out.unionByName(some.join(winners.join(clash, "digest", "left_semi"), ["digest", "norm"]).select("id", "digest", "keep_id", "n"))
     return out.select(
         F.col("id").alias(id_col),
         "keep_id",
