@@ -6,8 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, chat, exact_dedup, packing, quality_rules, token_counts
-from peakloom.llm.shared import table, text_of, words_of, written
+from peakloom.llm import bpe, chat, classifier, exact_dedup, langid, packing, quality_rules, token_counts
+from peakloom.llm.shared import bucket_of, table, text_of, words_of, written
+
+
+def _held_out(modulus: int, rest: int):
+    """Whether the row's crc32 bucket is the one kept from learning; a null id counts as the empty text."""
+    return bucket_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), modulus) == rest
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, ~_held_out(4, 2)))
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    return classifier.score(docs, model).select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +73,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_language_id": op2_language_id,
         "op3_perspectives": op3_perspectives,
         "op4_line_frequency": op4_line_frequency,
+        "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_best_fit": op9_best_fit,
