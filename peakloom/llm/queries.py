@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, chat, classifier, exact_dedup, langid, packing, quality_rules, token_counts
+from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, packing, quality_rules, token_counts
 from peakloom.llm.shared import bucket_of, table, text_of, words_of, written
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = classifier.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
@@ -76,6 +80,7 @@ def queries() -> dict:
         "op2_language_id": op2_language_id,
         "op3_perspectives": op3_perspectives,
         "op4_line_frequency": op4_line_frequency,
+        "op5_main_text": op5_main_text,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_byte_bpe": op8_byte_bpe,
