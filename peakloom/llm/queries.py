@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, packing, quality_rules, token_counts
+from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts
 from peakloom.llm.shared import bucket_of, table, text_of, words_of, written
 
 
@@ -15,6 +15,10 @@ def _held_out(modulus: int, rest: int):
     return bucket_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), modulus) == rest
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs, ~_held_out(4, 2)))
@@ -77,6 +81,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op2_language_id": op2_language_id,
         "op3_perspectives": op3_perspectives,
         "op4_line_frequency": op4_line_frequency,
