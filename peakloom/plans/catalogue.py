@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from peakloom.plans import evaluation, spectral, tables
+
+MODULES = (evaluation, spectral, tables)
+
 
 def queries() -> dict:
     """Query name -> callable of (spark, sf_dir)."""
-    return {}
+    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name -> DuckDB SQL."""
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
