@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,9 +74,7 @@ def build(table: Mapping[str, float] = RESIDUE_MASSES, max_mass: float = MAX_MAS
 def save(spark: SparkSession, knapsack: Knapsack, path: str) -> None:
     """The masses and parameters as Parquet; an existing path is an error."""
     meta = json.dumps({"max_mass": knapsack.max_mass, "scale": knapsack.scale, "max_isotope": knapsack.max_isotope, "residues": knapsack.residues})
-    import pandas as pd
-
-    spark.createDataFrame(pd.DataFrame({"mass": knapsack.masses})).withColumn("meta", F.lit(meta)).write.mode("errorifexists").parquet(path)
+    spark.createDataFrame(pa.table({"mass": knapsack.masses})).withColumn("meta", F.lit(meta)).write.mode("errorifexists").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> Knapsack:

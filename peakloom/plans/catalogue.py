@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from peakloom.plans import evaluation, spectral, tables
+from peakloom.plans import evaluation, search, spectral, tables
 
-MODULES = (evaluation, spectral, tables)
+MODULES = (evaluation, spectral, tables, search)
 
 
 def queries() -> dict:

@@ -93,3 +93,24 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_text(values: Column, digits: int = 6) -> Column:
     """A list of numbers as text of whole multiples of 10^-digits, for comparison across engines."""
     return F.array_join(F.transform(values, lambda v: F.round(v * 10**digits).cast("bigint").cast("string")), ",")
+
+
+def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, targets and a spectrum with every singly charged b and y ion of the target, for each customer."""
+    from peakloom.constants import H2O_MASS, PROTON_MASS
+    from peakloom.functions.masses import masses
+
+    names = F.array(*[F.lit(r) for r in RESIDUES if r != "I"])
+    key = F.col("c_custkey")
+    places = F.sequence(F.lit(1), (6 + key % 5).cast("int"))
+    df = table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.transform(places, lambda i: F.get(names, F.pmod(key * 7 + i * i * 3 + i * (key % 11), F.lit(19)).cast("int"))).alias("targets")
+    )
+    df = df.withColumn("m", masses(F.col("targets"))).withColumn("charge", (1 + F.col("id") % 3).cast("bigint"))
+    sums = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda k: F.aggregate(F.slice("m", 1, k), F.lit(0.0), lambda a, x: a + x))
+    df = df.withColumn("b", sums).withColumn("whole", F.aggregate("m", F.lit(0.0), lambda a, x: a + x))
+    ions = F.concat(F.transform("b", lambda x: x + PROTON_MASS), F.transform("b", lambda x: F.col("whole") - x + H2O_MASS + PROTON_MASS))
+    return df.select(
+        "id", "targets", ions.alias("mz_array"), F.transform(ions, lambda _: F.lit(1.0)).alias("intensity_array"),
+        ((F.col("whole") + H2O_MASS) / F.col("charge") + PROTON_MASS).alias("precursor_mz"), F.col("charge").alias("precursor_charge"),
+    )
