@@ -8,10 +8,13 @@ with the probability Jaccard of their weighted sets. Bands of registers make
 buckets; pairs from buckets are verified on the whole texts.
 
 A bucket never emits all its pairs. Texts equal up to case and white space are
-one node. In each round a bucket's most central nodes (hubs) are compared with
-the members of other classes and leave the bucket; linked nodes become one class.
-A bucket is done when its remaining members are of one class, so every pair of
-different classes that shares a bucket has been compared.
+one node. In each round a bucket's most central node, its hub, is compared with
+the others, and linked nodes become one class. What two of the others share with
+the hub bounds what they share by way of it; they can be linked beyond that only
+through a shingle that the hub lacks. So the next round's buckets are those
+shingles, which few nodes have in common. It ends when no bucket holds two
+classes: then every pair of a first bucket is of one class, has been compared, or
+has been shown to be below the threshold.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,17 +127,6 @@ def band_hashes(registers: np.ndarray, bands: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], pairs: int) -> np.ndarray:
-    """Exact Jaccard of the shingle sets of each pair; shingles of pair k are under document k on both sides."""
-    a, b = left[0], right[0]
-    both = np.concatenate((a, b))
-    both.sort()
-    same = both[1:][both[1:] == both[:-1]]
-    count = lambda keys: np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=pairs)
-    shared = count(same)
-    return shared / np.maximum(1, count(a) + count(b) - shared)
-
-
 def node_of(text: Column) -> Column:
     """The key that texts equal up to case and white space share."""
     return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(text), SPACE_CLASS + "+", " ")).cast("binary")))
@@ -156,28 +149,47 @@ def sketch(docs: DataFrame, text_col: str = "text", bands: int = 24, rows: int =
     return docs.select(node_of(text).alias("node"), F.lower(text).alias("text")).mapInArrow(made, "node binary, bands array<long>")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have a Jaccard of threshold or more."""
+def overlaps(hubs: tuple[np.ndarray, np.ndarray], nodes: tuple[np.ndarray, np.ndarray], pairs: int) -> tuple[np.ndarray, ...]:
+    """Of each pair: shingles of the hub, of the node, of both; then the node's other shingles and their pairs.
+
+    Shingles of pair k are under document k on both sides.
+    """
+    a, b = hubs[0], nodes[0]
+    hit = np.zeros(len(b), bool)
+    if len(a):
+        hit = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+    count = lambda keys: np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=pairs)
+    rest = b[~hit]
+    return count(a), count(b), count(b[hit]), (rest & np.uint64((1 << BITS) - 1)).astype(np.int64), (rest >> np.uint64(BITS)).astype(np.int64)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each pair (hub, node, wide) with the sizes of its shingle sets, their overlap, and if wide the node's other shingles."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sizes = np.cumsum(pc.add(pc.binary_length(batch.column(3)), pc.binary_length(batch.column(4))).to_numpy().astype(np.int64))
             lo = 0
-            sizes = np.cumsum(np.array([len(x) + len(y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]))
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK, "right")))
                 some = batch.slice(lo, hi - lo)
                 sides = []
-                for c in (2, 3):
+                for c in (3, 4):
                     _, _, data, offsets = next(chunks_of(some.column(c), 1 << 62))
                     sides.append(shingles(data, offsets))
-                sim = jaccard(sides[0], sides[1], hi - lo)
-                ok = pa.array(sim >= threshold)
-                yield pa.RecordBatch.from_arrays([some.column(0).filter(ok), some.column(1).filter(ok)], ["a", "b"])
+                s_hub, s_node, both, rest, owner = overlaps(sides[0], sides[1], hi - lo)
+                wide = some.column(2).to_numpy(zero_copy_only=False)
+                rest, owner = rest[wide[owner]], owner[wide[owner]]
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=hi - lo)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(s_hub), pa.array(s_node), pa.array(both), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))],
+                    ["hub", "node", "s_hub", "s_node", "both", "rest"],
+                )
                 lo = hi
 
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(checked, "a binary, b binary")
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("hub", "node"))
+    joined = pairs.join(left, "hub").join(right, "node").select("hub", "node", "wide", "text_hub", "text_node")
+    return joined.mapInArrow(checked, "hub binary, node binary, s_hub long, s_node long, both long, rest array<long>")
 
 
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -221,33 +233,53 @@ def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
     text = text_of(F.col(text_col))
     texts = docs.select(node_of(text).alias("node"), F.lower(text).alias("text"))
     texts = written(texts.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    slots = 1
     while True:
         open_ = alive.join(labels, "node")
         several = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = written(open_.join(several, "bucket", "left_semi"), "open")
+        open_ = written(open_.join(several, "bucket", "left_semi").select("bucket", "node", "centre"), "open")
         removed(alive)
         if open_.isEmpty():
+            removed(open_)
             break
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots))
-        hubs = open_.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("centre", "node", "label")).alias("hub"))
-        hubs = written(hubs.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")), "hubs")
-        pairs = (
-            open_.join(hubs, "bucket").where("label <> hub_label")
-            .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        )
-        links = written(_linked(pairs, texts, threshold), "links")
-        labels = merged_labels(labels, links)
-        removed(links)
-        gone = hubs.select("bucket", F.col("hub").alias("node"))
-        alive = written(open_.join(gone, ["bucket", "node"], "left_anti").drop("label"), "alive")
+        hubs = open_.groupBy("bucket").agg(F.max(F.struct("centre", "node"))["node"].alias("hub"))
+        stars = written(open_.join(hubs, "bucket").where("node <> hub").select("hub", "node", "centre").distinct(), "stars")
         removed(open_)
-        removed(hubs)
-        slots *= 2
+        wide = stars.groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("wide"))
+        found = written(_compared(stars.select("hub", "node").join(wide, "hub"), texts), "compared")
+        linked = F.col("both") >= threshold * (F.col("s_hub") + F.col("s_node") - F.col("both"))
+        labels = merged_labels(labels, found.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        alive = written(_next_buckets(found, stars, labels, threshold), "alive")
+        removed(found)
+        removed(stars)
     removed(texts)
     return labels
 
 
+def _next_buckets(found: DataFrame, stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """bucket, node, centre: where two nodes of a hub's star that are not of one class could still be linked.
+
+    Let t = threshold / (1 + threshold). Two sets of sizes s and s' are linked if they share t * (s + s') elements.
+    They share at most as many elements of the hub as either shares with it, so they either share an element that
+    the hub lacks, or each of their overlaps with the hub is at least t * (s + s'). The first is a bucket for each
+    element outside the hub, the second one bucket of the star for the nodes whose sizes allow it. A node linked to
+    its hub needs a partner that is not, so stars without such a node are done.
+    """
+    t = threshold / (1 + threshold)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
+    rows = found.join(of("hub"), "hub").join(of("node"), "node").withColumn("open", F.col("l_hub") != F.col("l_node"))
+    bound = F.col("both") / t - F.col("s_node")  # the largest partner that a node could have by the second way
+    state = rows.groupBy("hub").agg(
+        F.max("open").alias("any_open"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("open"), bound)).alias("reach"), F.min("s_node").alias("least")
+    ).where("any_open and n > 1")
+    rows = rows.join(state, "hub").join(stars, ["hub", "node"])
+    shared = rows.select("hub", "node", "centre", F.explode("rest").alias("element")).select(F.xxhash64("hub", "element").alias("bucket"), "node", "centre")
+    fits = (F.col("s_node") <= F.col("reach")) | (F.col("open") & (bound >= F.col("least")))
+    small = rows.where(fits).select(F.xxhash64("hub", F.lit("size")).alias("bucket"), "node", "centre")
+    every = shared.unionByName(small)
+    several = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return every.join(several, "bucket", "left_semi").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5
 ) -> DataFrame:
