@@ -113,9 +113,13 @@ class _Parser:
         for sample in model.samples:
             symbols = self.squeezed(np.frombuffer(sample.encode("utf-32-le"), np.uint32), np.array([0, len(sample)]))[0]
             to = _automaton(symbols.tolist(), width)
+            # One more state: after a letter that the sample lacks, which is a phrase by itself.
+            lone = len(to)
+            to = np.vstack((to, np.full(width, -1)))
             gone = to < 0
-            root = np.where(to[0] < 0, 0, to[0])
-            to = np.where(gone, root[None, :], to)
+            gone[0] = False  # no phrase is open yet
+            root = np.where(to[0] < 0, lone, to[0])
+            to = np.where(to < 0, root[None, :], to)
             to[:, self.pad], gone[:, self.pad] = np.arange(len(to)), False
             self.tables.append(((to * width) * 2 + gone).astype(np.int32).ravel())
             self.bits.append(np.log2(max(2, len(symbols))))
