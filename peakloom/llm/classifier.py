@@ -121,14 +121,15 @@ def _bag(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(
-    texts: list[str], labels: list[int], buckets: int = 1 << 15, dimension: int = 16, epochs: int = 10, rate: float = 4.0,
+    texts: list[str], labels: list[int], buckets: int = 1 << 15, dimension: int = 16, steps: int = 800, rate: float = 4.0,
     batch: int = 32, seed: int = 7,
 ) -> QualityModel:
-    """Train on texts with labels 0 and 1; the same texts in the same order give the same model."""
+    """Train on texts with labels 0 and 1, for about so many steps whatever their number; the same texts in the same order give the same model."""
     rng = np.random.default_rng(seed)
     model = QualityModel(rng.normal(0, 0.1, (buckets, dimension)), rng.normal(0, 0.1, (dimension, 2)), np.zeros(2))
     bags = [_bag(t, buckets) for t in texts]
     y = np.array(labels, np.int64)
+    epochs = max(1, round(steps / -(-len(bags) // batch))) if bags else 0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(bags))

@@ -146,7 +146,7 @@ def test_op6(spark, tmp_path):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got]) > 0.95
     docs = fixtures.documents(spark, clashing=True)
     known = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(5, 0), (None, 1), (6, None)], "doc_id long, quality int")
-    model = classifier.fit(docs, known, F.lit(True), epochs=2)
+    model = classifier.fit(docs, known, F.lit(True), steps=2)
     rows = classifier.score(docs, model).collect()
     assert len(rows) == len(fixtures.rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert classifier.fit(docs, known.limit(0), F.lit(True)) is None
@@ -157,7 +157,7 @@ def test_op6(spark, tmp_path):
 def test_score_is_mean_of_vectors():
     """Scores from one number for each bucket equal those from the averaged vectors."""
     texts = [fixtures.prose("en", 30, 1), "Thing Thing Thing", "x", ""]
-    model = classifier.train(texts, [1, 0, 1, 0], epochs=2, buckets=1 << 10)
+    model = classifier.train(texts, [1, 0, 1, 0], steps=2, buckets=1 << 10)
     value, bias = model.collapsed()
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
