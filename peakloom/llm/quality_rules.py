@@ -96,8 +96,8 @@ def judge(
     """Per row of docs: id, the base counts, n_struck_words, base_failed, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows.
-    A text is depleted when striking the frequent lines of its host leaves fewer than min_words words, or less
-    than min_left of them; kept is false for base failures and depleted texts. The text with the smallest id keeps
+    A text is depleted when striking the frequent lines of its host leaves less than min_left of its words; kept is
+    false for base failures and depleted texts. The text with the smallest id keeps
     its frequent lines, so that no passage vanishes altogether. A null or empty text has no words and fails; a
     null host is a host of its own; rows that repeat (same id, host and text) share one verdict.
     """
@@ -121,7 +121,7 @@ def judge(
     gone = F.coalesce(F.col("n_struck"), F.lit(0))
     left = F.col("n_words") - gone
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = (gone > 0) & ((left < min_words) | (left < min_left * F.col("n_words")))
+    depleted = (gone > 0) & (left < min_left * F.col("n_words"))
     return out.select(
         F.col("b.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         gone.cast("long").alias("n_struck_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),

@@ -131,8 +131,7 @@ SQL = {
                      CAST(coalesce(n_struck, 0) AS BIGINT) AS n_struck_words
               FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN st USING (r)),
         v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
-        SELECT *, NOT base_failed AND NOT (n_struck_words > 0 AND (n_words - n_struck_words < 20
-                  OR n_words - n_struck_words < 0.2 * n_words)) AS kept FROM v""",
+        SELECT *, NOT base_failed AND NOT (n_struck_words > 0 AND n_words - n_struck_words < 0.2 * n_words) AS kept FROM v""",
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
