@@ -8,13 +8,15 @@ with the probability Jaccard of their weighted sets. Bands of registers make
 buckets; pairs from buckets are verified on the whole texts.
 
 A bucket never emits all its pairs. Texts equal up to case and white space are
-one node. In each round a bucket's most central node, its hub, is compared with
-the others, and linked nodes become one class. What two of the others share with
-the hub bounds what they share by way of it; they can be linked beyond that only
-through a shingle that the hub lacks. So the next round's buckets are those
-shingles, which few nodes have in common. It ends when no bucket holds two
-classes: then every pair of a first bucket is of one class, has been compared, or
-has been shown to be below the threshold.
+one node. In each round a few nodes of a bucket, its hubs, are compared with the
+bucket's nodes of other classes; linked nodes become one class, and a hub that
+has met all others leaves the bucket. The first hubs are the most central nodes,
+to which a group of copies links at once; later ones come from outside the
+bucket's largest class, in growing numbers, so that what remains apart is settled
+in few rounds. Two texts cannot share the shingles that either has alone among
+all nodes, which bounds their overlap and leaves the comparison of many pairs
+out. It ends when no bucket holds two classes: then every pair of a bucket is of
+one class, or has been compared, or is below the threshold by that bound.
 """
 
 from __future__ import annotations
@@ -133,63 +135,53 @@ def node_of(text: Column) -> Column:
 
 
 def sketch(docs: DataFrame, text_col: str = "text", bands: int = 24, rows: int = 5) -> DataFrame:
-    """Per row: node and bands (array of bucket keys, null without a word). Weights are 1 + ln(occurrences)."""
+    """Per row: node, size (different shingles), bands (array of bucket keys, null without a word). Weights are 1 + ln(occurrences)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks_of(batch.column(1), CHUNK):
                 keys, counts = shingles(data, offsets)
                 regs = signatures(keys, 1.0 + np.log(counts), j - i, bands * rows)
-                some = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=j - i) > 0
+                size = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=j - i)
                 flat = pa.array(band_hashes(regs, bands).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), flat, mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["node", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), flat, mask=pa.array(size == 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), lists], ["node", "size", "bands"])
 
     text = text_of(F.col(text_col))
-    return docs.select(node_of(text).alias("node"), F.lower(text).alias("text")).mapInArrow(made, "node binary, bands array<long>")
+    return docs.select(node_of(text).alias("node"), F.lower(text).alias("text")).mapInArrow(made, "node binary, size long, bands array<long>")
 
 
-def overlaps(hubs: tuple[np.ndarray, np.ndarray], nodes: tuple[np.ndarray, np.ndarray], pairs: int) -> tuple[np.ndarray, ...]:
-    """Of each pair: shingles of the hub, of the node, of both; then the node's other shingles and their pairs.
-
-    Shingles of pair k are under document k on both sides.
-    """
-    a, b = hubs[0], nodes[0]
-    hit = np.zeros(len(b), bool)
-    if len(a):
-        hit = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+def overlaps(hubs: np.ndarray, nodes: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair: shingles of the hub, of the node, of both. Shingles of pair k are under document k on both sides."""
+    hit = np.zeros(len(nodes), bool)
+    if len(hubs):
+        hit = hubs[np.minimum(np.searchsorted(hubs, nodes), len(hubs) - 1)] == nodes
     count = lambda keys: np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=pairs)
-    rest = b[~hit]
-    return count(a), count(b), count(b[hit]), (rest & np.uint64((1 << BITS) - 1)).astype(np.int64), (rest >> np.uint64(BITS)).astype(np.int64)
+    return count(hubs), count(nodes), count(nodes[hit])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each pair (hub, node, wide) with the sizes of its shingle sets, their overlap, and if wide the node's other shingles."""
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (hub, node) whose whole texts reach the threshold."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.add(pc.binary_length(batch.column(3)), pc.binary_length(batch.column(4))).to_numpy().astype(np.int64))
+            sizes = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy().astype(np.int64))
             lo = 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK, "right")))
                 some = batch.slice(lo, hi - lo)
                 sides = []
-                for c in (3, 4):
+                for c in (2, 3):
                     _, _, data, offsets = next(chunks_of(some.column(c), 1 << 62))
-                    sides.append(shingles(data, offsets))
-                s_hub, s_node, both, rest, owner = overlaps(sides[0], sides[1], hi - lo)
-                wide = some.column(2).to_numpy(zero_copy_only=False)
-                rest, owner = rest[wide[owner]], owner[wide[owner]]
-                ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=hi - lo)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(s_hub), pa.array(s_node), pa.array(both), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))],
-                    ["hub", "node", "s_hub", "s_node", "both", "rest"],
-                )
+                    sides.append(shingles(data, offsets)[0])
+                s_hub, s_node, both = overlaps(sides[0], sides[1], hi - lo)
+                linked = both >= threshold * (s_hub + s_node - both)
+                yield some.select(["hub", "node"]).filter(pa.array(linked))
                 lo = hi
 
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("hub", "node"))
-    joined = pairs.join(left, "hub").join(right, "node").select("hub", "node", "wide", "text_hub", "text_node")
-    return joined.mapInArrow(checked, "hub binary, node binary, s_hub long, s_node long, both long, rest array<long>")
+    joined = pairs.join(left, "hub").join(right, "node").select("hub", "node", "text_hub", "text_node")
+    return joined.mapInArrow(checked, "hub binary, node binary")
 
 
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,67 +211,87 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = new
 
 
+def _shared_sizes(texts: DataFrame) -> DataFrame:
+    """node, alone: how many of a node's different shingles no other node of texts has."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in chunks_of(batch.column(1), CHUNK):
+                keys, _ = shingles(data, offsets)
+                ends = np.searchsorted(keys, np.arange(j - i + 1, dtype=np.uint64) << np.uint64(BITS)).astype(np.int32)
+                values = pa.array((keys & np.uint64((1 << BITS) - 1)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "elements"])
+
+    sets = texts.select("node", "text").mapInArrow(listed, "node binary, elements array<long>")
+    rows = sets.select(F.xxhash64("node").alias("key"), F.explode("elements").alias("element"))
+    by_element = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    alone = by_element.where("n = 1").groupBy("key").agg(F.count(F.lit(1)).alias("alone"))
+    return texts.select("node", F.xxhash64("node").alias("key")).join(alone, "key", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _hubs(open_: DataFrame, turn: int) -> DataFrame:
+    """bucket, hub, and its label, size, shared and bands, of this turn's hubs: one for each slot of a bucket that has nodes to offer.
+
+    The first two turns take the most central nodes, 1 and then 4 of a bucket. From the third on, hubs come from
+    outside the bucket's largest class, up to 16, 128, 1024 and so on. Slots are dealt by hash and their hub is a
+    maximum, so a bucket of any size is reduced where its rows are.
+    """
+    slots = 4**turn if turn < 2 else 16 * 8 ** (turn - 2)
+    offered = open_
+    if turn >= 2:
+        sizes = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+        offered = open_.join(largest, "bucket").where("label <> largest")
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
+    best = offered.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("centre", "node", "label", "size", "shared", "bands")).alias("h"))
+    of = {"hub": "node", "l_hub": "label", "s_hub": "size", "c_hub": "shared", "b_hub": "bands"}
+    return best.select("bucket", *[F.col(f"h.{v}").alias(k) for k, v in of.items()])
+
+
 def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
     """node, label of the nodes that share a bucket with another; other nodes are classes of their own."""
-    sketches = sketch(docs, text_col, bands, rows).groupBy("node").agg(F.max("bands").alias("bands"))
-    spread = written(sketches.select("node", F.explode("bands").alias("bucket")), "buckets")
+    sketches = sketch(docs, text_col, bands, rows).groupBy("node").agg(F.max("size").alias("size"), F.max("bands").alias("bands"))
+    sketches = written(sketches, "sketches")
+    spread = sketches.select("node", F.explode("bands").alias("bucket"))
     counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(spread.join(counts, "bucket"), "members")
-    removed(spread)
-    centre = members.groupBy("node").agg(F.sum("n").alias("centre"))
-    alive = written(members.select("bucket", "node").join(centre, "node"), "alive")
-    removed(members)
-    labels = written(alive.select("node", F.col("node").alias("label")).distinct(), "labels")
     text = text_of(F.col(text_col))
     texts = docs.select(node_of(text).alias("node"), F.lower(text).alias("text"))
-    texts = written(texts.join(labels.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    nodes = written(members.groupBy("node").agg(F.sum("n").alias("centre")), "nodes")
+    texts = written(texts.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    alone = written(_shared_sizes(texts), "alone")
+    measured = nodes.join(alone, "node").join(sketches, "node").withColumn("shared", F.col("size") - F.col("alone"))
+    measured = measured.where(F.col("shared") >= threshold * F.col("size") - 1e-6)
+    columns = ["bucket", "node", "centre", "size", "shared", "bands"]
+    alive = written(members.select("bucket", "node").join(measured, "node").select(columns), "alive")
+    for made in (members, sketches, nodes, alone):
+        removed(made)
+    turn = 0
     while True:
         open_ = alive.join(labels, "node")
         several = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = written(open_.join(several, "bucket", "left_semi").select("bucket", "node", "centre"), "open")
+        open_ = written(open_.join(several, "bucket", "left_semi").select(*columns, "label"), "open")
         removed(alive)
         if open_.isEmpty():
             removed(open_)
             break
-        hubs = open_.groupBy("bucket").agg(F.max(F.struct("centre", "node"))["node"].alias("hub"))
-        stars = written(open_.join(hubs, "bucket").where("node <> hub").select("hub", "node", "centre").distinct(), "stars")
-        removed(open_)
-        wide = stars.groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("wide"))
-        found = written(_compared(stars.select("hub", "node").join(wide, "hub"), texts), "compared")
-        linked = F.col("both") >= threshold * (F.col("s_hub") + F.col("s_node") - F.col("both"))
-        labels = merged_labels(labels, found.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        alive = written(_next_buckets(found, stars, labels, threshold), "alive")
-        removed(found)
-        removed(stars)
+        hubs = written(_hubs(open_, turn), "hubs")
+        possible = (1 + threshold) * F.least("shared", "c_hub") >= threshold * (F.col("size") + F.col("s_hub")) - 1e-6
+        once = F.array_min(F.array_intersect("bands", "b_hub")) == F.col("bucket")  # of a pair's buckets one compares it
+        stars = open_.join(hubs, "bucket").where((F.col("label") != F.col("l_hub")) & possible & once)
+        pairs = stars.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+        links = written(_linked(pairs, texts, threshold), "links")
+        labels = merged_labels(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rest = open_.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+        alive = written(rest.select(columns), "alive")
+        for made in (open_, hubs, links):
+            removed(made)
+        turn += 1
     removed(texts)
     return labels
 
 
-def _next_buckets(found: DataFrame, stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """bucket, node, centre: where two nodes of a hub's star that are not of one class could still be linked.
-
-    Let t = threshold / (1 + threshold). Two sets of sizes s and s' are linked if they share t * (s + s') elements.
-    They share at most as many elements of the hub as either shares with it, so they either share an element that
-    the hub lacks, or each of their overlaps with the hub is at least t * (s + s'). The first is a bucket for each
-    element outside the hub, the second one bucket of the star for the nodes whose sizes allow it. A node linked to
-    its hub needs a partner that is not, so stars without such a node are done.
-    """
-    t = threshold / (1 + threshold)
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}"))
-    rows = found.join(of("hub"), "hub").join(of("node"), "node").withColumn("open", F.col("l_hub") != F.col("l_node"))
-    bound = F.col("both") / t - F.col("s_node")  # the largest partner that a node could have by the second way
-    state = rows.groupBy("hub").agg(
-        F.max("open").alias("any_open"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("open"), bound)).alias("reach"), F.min("s_node").alias("least")
-    ).where("any_open and n > 1")
-    rows = rows.join(state, "hub").join(stars, ["hub", "node"])
-    shared = rows.select("hub", "node", "centre", F.explode("rest").alias("element")).select(F.xxhash64("hub", "element").alias("bucket"), "node", "centre")
-    fits = (F.col("s_node") <= F.col("reach")) | (F.col("open") & (bound >= F.col("least")))
-    small = rows.where(fits).select(F.xxhash64("hub", F.lit("size")).alias("bucket"), "node", "centre")
-    every = shared.unionByName(small)
-    several = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return every.join(several, "bucket", "left_semi").distinct()
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 24, rows: int = 5
 ) -> DataFrame:
