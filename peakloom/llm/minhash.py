@@ -257,11 +257,11 @@ def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
     members = written(spread.join(counts, "bucket"), "members")
     text = text_of(F.col(text_col))
     texts = docs.select(node_of(text).alias("node"), F.lower(text).alias("text"))
-    nodes = written(members.groupBy("node").agg(F.sum("n").alias("centre")), "nodes")
+    nodes = written(members.groupBy("node").agg(F.sum("n").alias("centre"), F.collect_list("bucket").alias("bands")), "nodes")  # at most `bands` each
     texts = written(texts.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
     alone = written(_shared_sizes(texts), "alone")
-    measured = nodes.join(alone, "node").join(sketches, "node").withColumn("shared", F.col("size") - F.col("alone"))
+    measured = nodes.join(alone, "node").join(sketches.select("node", "size"), "node").withColumn("shared", F.col("size") - F.col("alone"))
     measured = measured.where(F.col("shared") >= threshold * F.col("size") - 1e-6)
     columns = ["bucket", "node", "centre", "size", "shared", "bands"]
     alive = written(members.select("bucket", "node").join(measured, "node").select(columns), "alive")
@@ -279,13 +279,16 @@ def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
         hubs = written(_hubs(open_, turn), "hubs")
         possible = (1 + threshold) * F.least("shared", "c_hub") >= threshold * (F.col("size") + F.col("s_hub")) - 1e-6
         once = F.array_min(F.array_intersect("bands", "b_hub")) == F.col("bucket")  # of a pair's buckets one compares it
-        stars = open_.join(hubs, "bucket").where((F.col("label") != F.col("l_hub")) & possible & once)
-        pairs = stars.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+        marked = open_.join(hubs.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("is_hub")), ["bucket", "node"], "left")
+        marked = written(marked.withColumn("is_hub", F.coalesce("is_hub", F.lit(False))), "marked")
+        removed(open_)
+        one_way = ~F.col("is_hub") | (F.col("hub") < F.col("node"))  # two hubs meet once
+        stars = marked.join(hubs, "bucket").where((F.col("label") != F.col("l_hub")) & one_way & possible & once)
+        pairs = stars.select("hub", "node").distinct()
         links = written(_linked(pairs, texts, threshold), "links")
         labels = merged_labels(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        rest = open_.join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-        alive = written(rest.select(columns), "alive")
-        for made in (open_, hubs, links):
+        alive = written(marked.where("not is_hub").select(columns), "alive")
+        for made in (marked, hubs, links):
             removed(made)
         turn += 1
     removed(texts)
