@@ -1,11 +1,13 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-A document is the weighted set of its five-word shingles. Each shingle is a
-Poisson process whose rate is its weight: its arrivals hit registers at random,
-a register keeps the shingle that came first, and a shingle stops when its next
+A document is the set of its five-word shingles. Each shingle is a Poisson
+process whose rate is its weight: its arrivals hit registers at random, a
+register keeps the shingle that came first, and a shingle stops when its next
 arrival is later than every register's first. Two documents agree in a register
-with the probability Jaccard of their weighted sets. Bands of registers make
-buckets; pairs from buckets are verified on the whole texts.
+with the probability Jaccard of their weighted sets. Every shingle weighs the
+same here, however often it occurs: that Jaccard is then the one of the plain
+sets, by which links are decided. Bands of registers make buckets; pairs from
+buckets are verified on the whole texts.
 
 A bucket never emits all its pairs. Texts equal up to case and white space are
 one node. In each round a few nodes of a bucket, its hubs, are compared with the
@@ -135,13 +137,13 @@ def node_of(text: Column) -> Column:
 
 
 def sketch(docs: DataFrame, text_col: str = "text", bands: int = 24, rows: int = 5) -> DataFrame:
-    """Per row: node, size (different shingles), bands (array of bucket keys, null without a word). Weights are 1 + ln(occurrences)."""
+    """Per row: node, size (different shingles), bands (array of bucket keys, null without a word). Each shingle weighs 1, as in the comparison of whole texts."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks_of(batch.column(1), CHUNK):
-                keys, counts = shingles(data, offsets)
-                regs = signatures(keys, 1.0 + np.log(counts), j - i, bands * rows)
+                keys, _ = shingles(data, offsets)
+                regs = signatures(keys, np.ones(len(keys)), j - i, bands * rows)
                 size = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=j - i)
                 flat = pa.array(band_hashes(regs, bands).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), flat, mask=pa.array(size == 0))

@@ -64,6 +64,19 @@ def test_chain_and_star(spark):
     assert kept.count() == len({c for _, c, _ in got})
 
 
+def test_repeated_lines(spark):
+    """Near copies of which each repeats a line of its own many times are found like any others."""
+    rows = []
+    for k in range(30):
+        shared = " ".join(f"w{k}x{i}" for i in range(184))
+        for side in "ab":
+            rows.append((len(rows), shared + f" {' '.join(f'{side}{k}y{i}' for i in range(16))}" * 30))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_by_brute_force(rows)
+    assert {size for *_, size in want} == {2}
+    assert listed((r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.near_duplicates(df).collect()) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     def both(a, b):
         keys = sorted(set(a) | set(b))
