@@ -11,21 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import exact_dedup, langid, minhash, packing, quality_rules
-from peakloom.llm.shared import bucket_of, table, written
+from peakloom.llm.shared import bucket_of, id_key, table, text_of, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, margin: float = 1.1) -> DataFrame:
     """Drops texts without a letter and those whose best language hardly beats an even share among the languages.
 
-    The model is learned from the stage's own rows outside crc32 bucket 2 of 4. Ids that repeat are judged row by
-    row of the prediction; an id goes only if every row under it is rejected.
+    The model is learned from the stage's own rows outside crc32 bucket 2 of 4. Every row is judged by its own
+    id and text, so null and repeated ids are as good as others.
     """
     bucket = bucket_of(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4)
     model = langid.fit(docs, bucket != 2)
     least = margin / max(1, len(model.languages))
     good = (F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("score") >= least) | F.lit(len(model.languages) < 2))
-    kept = langid.predict(docs, model).where(good).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    key = F.struct(id_key(F.col("doc_id")).alias("id"), F.xxhash64(text_of(F.col("text"))).alias("content")).alias("__key")
+    kept = langid.predict(docs.select(key, "text"), model, id_col="__key").where(good).select("__key.*").distinct()
+    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__content": F.xxhash64(text_of(F.col("text")))})
+    kept = kept.select(F.col("id").alias("__id"), F.col("content").alias("__content"))
+    return keyed.join(kept, ["__id", "__content"], "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, A-Z and a-z alike, the row with the largest doc_id stays."""
+    """Of equal texts, A-Z and a-z alike, one row with the largest doc_id stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import text_of, written
+from peakloom.llm.shared import id_key, one_row_each, text_of, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -55,6 +55,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """docs without the rows that exact_groups does not keep; columns and values as they were."""
-    groups = exact_groups(docs, id_col, text_col, salts).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(groups, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """docs with one row of each group of exact_groups, one of those with the largest id; columns and values as they were."""
+    groups = exact_groups(docs, id_col, text_col, salts).where("kept")
+    winners = groups.select(id_key(F.col(id_col)).alias("__id"), F.col("text_sha256").alias("__content")).distinct()
+    norm = normalised(F.col(text_col))
+    return one_row_each(docs, {"__id": id_key(F.col(id_col)), "__content": F.sha2(norm.cast("binary"), 256)}, winners)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import chunks_of
-from peakloom.llm.shared import SPACE_CLASS, removed, text_of, written
+from peakloom.llm.shared import SPACE_CLASS, id_key, one_row_each, removed, text_of, written
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -320,6 +320,11 @@ def near_duplicates(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class; columns and values as they were."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """docs with one row of each class, one of those with its smallest id; columns and values as they were."""
+    labels = near_classes(docs, text_col, **options)
+    node = node_of(text_of(F.col(text_col)))
+    members = docs.select(F.col(id_col).alias("id"), node.alias("node"))
+    nodes = members.groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = nodes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("best"))
+    winners = written(best.select(id_key(F.col("best.id")).alias("__id"), F.col("best.node").alias("__node")), "near-winners")
+    return one_row_each(docs, {"__id": id_key(F.col(id_col)), "__node": node}, winners)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import SPACE_CLASS, text_of, words_of, written
+from peakloom.llm.shared import SPACE_CLASS, id_key, text_of, words_of, written
 
 #: Characters that count as symbols.
 SYMBOLS = r"#*$%&|<>"
@@ -101,6 +101,14 @@ def judge(
     its frequent lines, so that no passage vanishes altogether. A null or empty text has no words and fails; a
     null host is a host of its own; rows that repeat (same id, host and text) share one verdict.
     """
+    return _judged(docs, id_col, text_col, host_col, max_texts, min_words, min_left, max_repeat_percent).drop("__host", "__content")
+
+
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str = "text", host_col: str = "source",
+    max_texts: int = 20, min_words: int = 20, min_left: float = 0.2, max_repeat_percent: int = 30,
+) -> DataFrame:
+    """judge() with the other parts of a row's key, __host and __content (hash of the text)."""
     key = ("id", "host", "content")
     lines = _lines(docs, id_col, text_col, host_col)
     frequent = written(frequent_lines(lines, max_texts), "frequent-lines")
@@ -125,10 +133,14 @@ def judge(
     return out.select(
         F.col("b.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         gone.cast("long").alias("n_struck_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        F.col("b.host").alias("__host"), F.col("b.content").alias("__content"),
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **limits) -> DataFrame:
-    """docs without the rows that judge() rejects; columns and values as they were."""
-    bad = judge(docs, id_col, **limits).where("not kept").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """docs without the rows that judge() rejects, each by its own id, host and text; columns and values as they were."""
+    bad = _judged(docs, id_col, text_col, host_col, **limits).where("not kept")
+    bad = bad.select(id_key(F.col(id_col)).alias("__id"), id_key(F.col("__host")).alias("__host"), "__content").distinct()
+    content = F.xxhash64(text_of(F.col(text_col)))
+    keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__host": id_key(F.col(host_col)), "__content": content})
+    return keyed.join(bad, ["__id", "__host", "__content"], "left_anti").select(*docs.columns)

@@ -56,3 +56,19 @@ def words_of(text: Column) -> Column:
 def bucket_of(key: Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo modulus."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus))
+
+
+def id_key(key: Column) -> Column:
+    """A column that is never null and differs where ids do, a null id from every other included."""
+    return F.coalesce(F.concat(F.lit("i"), key.cast("string")), F.lit("n"))
+
+
+def one_row_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame) -> DataFrame:
+    """Of the rows of docs whose keys (never null) are in winners one for each; columns and values as they were.
+
+    Which of several rows with the same keys stays depends on their values alone. They meet in their tasks first, so
+    a row repeated many times costs no task more than another.
+    """
+    rows = docs.select(*[v.alias(k) for k, v in keys.items()], F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))
+    rows = rows.groupBy(*keys).agg(F.max_by("__row", F.xxhash64("__row")).alias("__row"))
+    return rows.join(winners, list(keys), "left_semi").select("__row.*")

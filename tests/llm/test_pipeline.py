@@ -50,3 +50,24 @@ def test_awkward_and_empty(spark, tmp_path):
     folder = fixtures.saved(spark, tmp_path, fixtures.documents(spark, clashing=True))
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert corpus_pipeline.run(spark, fixtures.saved(spark, tmp_path / "e", fixtures.empty(spark))).count() == 0
+
+
+def test_drops_go_by_row(spark):
+    """Null and repeated ids: a row goes or stays by its own values, and copies leave one row."""
+    long = {k: fixtures.prose(k, 60, "own") for k in fixtures.WORDS}
+    values = [(None, long["en"], "en", "s0", 0), (None, None, "en", "s0", 0), (None, "too short", "en", "s0", 0), (7, long["de"], "de", "s1", 0), (7, "short too", "en", "s1", 0),
+              (None, long["fr"], "fr", None, 0), (None, long["fr"], "fr", None, 0), (7, long["de"], "de", "s1", 0), (3, long["en"].upper(), "en", "s0", 0), (None, "12 34 !!", "fr", "s0", 0)]
+    docs = spark.createDataFrame(values, fixtures.SCHEMA)
+    listed = lambda rows: sorted(map(tuple, rows), key=repr)
+    stages = dict(corpus_pipeline.STAGES)
+    lettered = [r for r in values if any(c.isalpha() for c in r[1] or "")]
+    assert set(listed(stages["language_id"](spark, docs, "unused").collect())) <= set(lettered)
+    good = [r for r in values if len((r[1] or "").split()) >= 20]
+    assert listed(stages["quality_rules"](spark, docs, "unused").collect()) == listed(good)
+    short = [(3, "too short".upper(), "en", "s0", 0), (7, "12 34 !!", "fr", "s0", 0)]
+    want = listed([values[8], values[3], values[5], values[1], values[2], values[4], values[9]])
+    assert listed(stages["exact_dedup"](spark, docs, "unused").collect()) == want
+    assert listed(stages["near_dedup"](spark, docs, "unused").collect()) == want
+    more = spark.createDataFrame(values + short, fixtures.SCHEMA)
+    want = listed([values[8], values[3], values[5], values[1], values[4], *short])
+    assert listed(stages["near_dedup"](spark, more, "unused").collect()) == want
