@@ -83,6 +83,31 @@ def frequent_lines(lines: DataFrame, max_texts: int) -> DataFrame:
     )
 
 
+def _struck_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_texts: int) -> DataFrame:
+    """id, host, content, pos, n of the lines to strike: the frequent ones, except from the text with the smallest id."""
+    lines = _lines(docs, id_col, text_col, host_col)
+    frequent = written(frequent_lines(lines, max_texts), "frequent-lines")
+    hit = lines.alias("l").join(
+        frequent.alias("f"),
+        F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.line") == F.col("f.line")) & ~F.col("l.id").eqNullSafe(F.col("f.first_id")),
+    )
+    return hit.select("l.id", "l.host", "l.content", "l.pos", "l.n")
+
+
+def struck_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_texts: int = 20) -> DataFrame:
+    """docs with each text rebuilt, in line order, without its struck lines; texts without one and other columns as they were."""
+    hit = _struck_lines(docs, id_col, text_col, host_col, max_texts)
+    hit = hit.select(id_key(F.col("id")).alias("__id"), id_key(F.col("host")).alias("__host"), F.col("content").alias("__content"), "pos")
+    places = hit.groupBy("__id", "__host", "__content").agg(F.collect_set("pos").alias("__places"))  # a text's lines at most
+    content = F.xxhash64(text_of(F.col(text_col)))
+    keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__host": id_key(F.col(host_col)), "__content": content})
+    lines = F.split(text_col, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__places"))
+    rebuilt = F.array_join(F.transform(left, lambda p: F.get(F.col("__lines"), p)), "\n")
+    joined = keyed.join(places, ["__id", "__host", "__content"], "left").withColumn("__lines", lines)
+    return joined.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(rebuilt)).select(*docs.columns)
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -110,16 +135,8 @@ def _judged(
 ) -> DataFrame:
     """judge() with the other parts of a row's key, __host and __content (hash of the text)."""
     key = ("id", "host", "content")
-    lines = _lines(docs, id_col, text_col, host_col)
-    frequent = written(frequent_lines(lines, max_texts), "frequent-lines")
-    hit = lines.alias("l").join(
-        frequent.alias("f"),
-        F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.line") == F.col("f.line")) & ~F.col("l.id").eqNullSafe(F.col("f.first_id")),
-    )
-    struck = (
-        hit.select("l.id", "l.host", "l.content", "l.pos", "l.n").groupBy(*key, "pos").agg(F.max("n").alias("n"))
-        .groupBy(*key).agg(F.sum("n").alias("n_struck"))
-    )
+    hit = _struck_lines(docs, id_col, text_col, host_col, max_texts)
+    struck = hit.groupBy(*key, "pos").agg(F.max("n").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_struck"))
     base = base_counts(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"),
                     F.xxhash64(text_of(F.col(text_col))).alias("content")),

@@ -43,6 +43,10 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_struck_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.struck_texts(table(spark, sf_dir, "documents")).select("doc_id", "source", "text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def queries() -> dict:
         "op2_language_id": op2_language_id,
         "op3_perspectives": op3_perspectives,
         "op4_line_frequency": op4_line_frequency,
+        "op4_struck_texts": op4_struck_texts,
         "op5_main_text": op5_main_text,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,

@@ -51,6 +51,18 @@ def test_dropping(spark):
     assert 230 not in kept and 205 in kept and 140 not in kept and 141 in kept and 131 not in kept
 
 
+def test_struck_texts(spark, tmp_path):
+    """Texts are rebuilt without the struck lines, in order; the first carrier keeps its lines."""
+    line = "Shared line of the site here"
+    more = [(300, f"top\n\n {line.upper()} \nmiddle\n{line}\n\nend", "en", "hot", 0), (None, f"{line}\nnull id", "en", "hot", 0), (301, f"{line}\nelsewhere", "en", None, 0)]
+    rows = fixtures.rows() + more
+    folder = fixtures.saved(spark, tmp_path, spark.createDataFrame(rows, fixtures.SCHEMA).withColumns({c: F.lit("z") for c in fixtures.CLASHING}))
+    same = lambda raw: " ".join(raw.lower().split()) == line.lower()
+    want = [(i, s, t if s != "hot" or i == 200 else "\n".join(x for x in t.split("\n") if not same(x))) for i, t, _, s, _ in rows]
+    assert sorted(map(tuple, queries.op4_struck_texts(spark, folder).collect()), key=repr) == sorted(want, key=repr)
+    assert ("hot", "top\n\nmiddle\n\nend") in {w[1:] for w in want}
+
+
 def test_digest_clash(spark, monkeypatch):
     """Two texts under one digest stay two groups."""
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(F.md5(c), 1, 0), raising=True)
