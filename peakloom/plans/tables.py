@@ -259,6 +259,15 @@ def feasible_masses(spark, sf_dir):
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("mass").alias("low"), F.max("mass").alias("high"))
 
 
+@query("feasible_masses_all")
+def feasible_masses_all(spark, sf_dir):
+    """feasible_masses for every order; the filter of that query belongs to its SQL."""
+    o = table(spark, sf_dir, "orders")
+    all_masses = o.select(F.bround(F.col("o_totalprice") * 100, 0).cast("bigint").alias("mass")).distinct()
+    hits = knapsack.feasible(all_masses, o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("target")), "target", 3.0, 100)
+    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("mass").alias("low"), F.max("mass").alias("high"))
+
+
 @query("legacy_columns", "SELECT o_orderkey AS precursor_mz, trim(o_orderstatus, '_') AS modified_sequence FROM orders")
 def legacy_columns(spark, sf_dir):
     from peakloom.sources.loader import from_legacy

@@ -4,7 +4,7 @@ import numpy as np
 
 from peakloom.constants import AMINO_ACIDS, H2O_MASS, PROTON_MASS
 from peakloom.operators import decode, knapsack
-from peakloom.plans import derive
+from peakloom.plans import catalogue, derive
 
 TABLE = {a: m for a, m in AMINO_ACIDS.items() if a != "I"}
 
@@ -44,3 +44,15 @@ def test_given_sequences_score(spark, sf):
     targets = {r["id"]: r["targets"] for r in spectra.collect()}
     same = [k for k, r in found.items() if r["predictions"] == targets[k] and r["meets_precursor"]]
     assert same and all(abs(found[k]["log_prob"] - given[k]) < 1e-9 for k in same)
+
+
+def test_every_order_has_its_masses(spark, tmp_path):
+    prices = {k: 100 + (k * 37 % 101) * 0.83 + k / 100 for k in range(1, 60)}
+    spark.createDataFrame(list(prices.items()), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    masses = {round(p * 100) for p in prices.values()}
+    want = {}
+    for k, p in prices.items():
+        hit = [m for m in masses if round((p - 3) * 100) < m < round((p + 3) * 100)]
+        want[k] = (len(hit), min(hit), max(hit))
+    got = {r["id"]: (r["n"], r["low"], r["high"]) for r in catalogue.queries()["feasible_masses_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 59
