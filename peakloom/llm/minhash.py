@@ -17,8 +17,11 @@ to which a group of copies links at once; later ones come from outside the
 bucket's largest class, in growing numbers, so that what remains apart is settled
 in few rounds. Two texts cannot share the shingles that either has alone among
 all nodes, which bounds their overlap and leaves the comparison of many pairs
-out. It ends when no bucket holds two classes: then every pair of a bucket is of
-one class, or has been compared, or is below the threshold by that bound.
+out. The bound is taken inside and outside a pivot, a hub that both have met: two
+texts share at most what either has of the pivot and, beside it, what either has
+in common with others. It ends when no bucket holds two classes: then every pair
+of a bucket is of one class, or has been compared, or is below the threshold by
+that bound.
 """
 
 from __future__ import annotations
@@ -162,8 +165,8 @@ def overlaps(hubs: np.ndarray, nodes: np.ndarray, pairs: int) -> tuple[np.ndarra
     return count(hubs), count(nodes), count(nodes[hit])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (hub, node) whose whole texts reach the threshold."""
+def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (hub, node) with both, the shingles that their whole texts share, and linked, whether they reach the threshold."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +181,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     sides.append(shingles(data, offsets)[0])
                 s_hub, s_node, both = overlaps(sides[0], sides[1], hi - lo)
                 linked = both >= threshold * (s_hub + s_node - both)
-                yield some.select(["hub", "node"]).filter(pa.array(linked))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(both), pa.array(linked)], ["hub", "node", "both", "linked"])
                 lo = hi
 
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("hub", "node"))
     joined = pairs.join(left, "hub").join(right, "node").select("hub", "node", "text_hub", "text_node")
-    return joined.mapInArrow(checked, "hub binary, node binary")
+    return joined.mapInArrow(checked, "hub binary, node binary, both long, linked boolean")
 
 
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -232,7 +235,7 @@ def _shared_sizes(texts: DataFrame) -> DataFrame:
 
 
 def _hubs(open_: DataFrame, turn: int) -> DataFrame:
-    """bucket, hub, and its label, size, shared and bands, of this turn's hubs: one for each slot of a bucket that has nodes to offer.
+    """bucket, hub, and its label, size, shared, bands, pivot and inside, of this turn's hubs: one for each slot of a bucket that has nodes to offer.
 
     The first two turns take the most central nodes, 1 and then 4 of a bucket. From the third on, hubs come from
     outside the bucket's largest class, up to 16, 128, 1024 and so on. Slots are dealt by hash and their hub is a
@@ -245,8 +248,8 @@ def _hubs(open_: DataFrame, turn: int) -> DataFrame:
         largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
         offered = open_.join(largest, "bucket").where("label <> largest")
     slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
-    best = offered.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("centre", "node", "label", "size", "shared", "bands")).alias("h"))
-    of = {"hub": "node", "l_hub": "label", "s_hub": "size", "c_hub": "shared", "b_hub": "bands"}
+    best = offered.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("centre", "node", "label", "size", "shared", "bands", "pivot", "inside")).alias("h"))
+    of = {"hub": "node", "l_hub": "label", "s_hub": "size", "c_hub": "shared", "b_hub": "bands", "p_hub": "pivot", "i_hub": "inside"}
     return best.select("bucket", *[F.col(f"h.{v}").alias(k) for k, v in of.items()])
 
 
@@ -265,7 +268,8 @@ def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
     alone = written(_shared_sizes(texts), "alone")
     measured = nodes.join(alone, "node").join(sketches.select("node", "size"), "node").withColumn("shared", F.col("size") - F.col("alone"))
     measured = measured.where(F.col("shared") >= threshold * F.col("size") - 1e-6)
-    columns = ["bucket", "node", "centre", "size", "shared", "bands"]
+    measured = measured.withColumns({"pivot": F.lit(None).cast("binary"), "inside": F.lit(None).cast("long")})
+    columns = ["bucket", "node", "centre", "size", "shared", "bands", "pivot", "inside"]
     alive = written(members.select("bucket", "node").join(measured, "node").select(columns), "alive")
     for made in (members, sketches, nodes, alone):
         removed(made)
@@ -279,7 +283,9 @@ def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
             removed(open_)
             break
         hubs = written(_hubs(open_, turn), "hubs")
-        possible = (1 + threshold) * F.least("shared", "c_hub") >= threshold * (F.col("size") + F.col("s_hub")) - 1e-6
+        beside = F.least("inside", "i_hub") + F.least(F.col("shared") - F.col("inside"), F.col("c_hub") - F.col("i_hub"))
+        most = F.when(F.col("pivot") == F.col("p_hub"), beside).otherwise(F.least("shared", "c_hub"))
+        possible = (1 + threshold) * most >= threshold * (F.col("size") + F.col("s_hub")) - 1e-6
         once = F.array_min(F.array_intersect("bands", "b_hub")) == F.col("bucket")  # of a pair's buckets one compares it
         marked = open_.join(hubs.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("is_hub")), ["bucket", "node"], "left")
         marked = written(marked.withColumn("is_hub", F.coalesce("is_hub", F.lit(False))), "marked")
@@ -287,9 +293,13 @@ def near_classes(docs: DataFrame, text_col: str = "text", threshold: float = 0.8
         one_way = ~F.col("is_hub") | (F.col("hub") < F.col("node"))  # two hubs meet once
         stars = marked.join(hubs, "bucket").where((F.col("label") != F.col("l_hub")) & one_way & possible & once)
         pairs = stars.select("hub", "node").distinct()
-        links = written(_linked(pairs, texts, threshold), "links")
-        labels = merged_labels(labels, links.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        alive = written(marked.where("not is_hub").select(columns), "alive")
+        links = written(_compared(pairs, texts, threshold), "links")
+        labels = merged_labels(labels, links.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rest = marked.where("not is_hub")
+        if turn == 0:  # the nearest of the first hubs becomes the pivot
+            pivots = links.groupBy("node").agg(F.max(F.struct("both", "hub")).alias("p")).select("node", F.col("p.hub").alias("pivot"), F.col("p.both").alias("inside"))
+            rest = rest.drop("pivot", "inside").join(pivots, "node", "left")
+        alive = written(rest.select(columns), "alive")
         for made in (marked, hubs, links):
             removed(made)
         turn += 1
