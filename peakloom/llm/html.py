@@ -1,18 +1,22 @@
 """Main text of web pages by tree scoring.
 
 A page is read once into a flat list of elements and text blocks. Elements that
-hold no article by their tag, role, class or style are left out with all below
-them. Each remaining paragraph passes points for its length and commas to its
-ancestors, less the further up; a container's points are discounted by the share
-of its text that is link text. The best container is kept, and of its siblings
-those that score well or read like a paragraph.
+hold no article by their tag or because they are hidden are left out with all
+below them; so are those whose class, id or role names a comment section, and
+those that are named as furniture (menu, sidebar, notice, advert, ...) unless
+half of the page's prose stands in them: a name alone deletes no article. Each
+remaining paragraph passes points for its length and commas to its ancestors,
+less the further up; a container's points are discounted by the share of its
+text that is link text. The best container is kept; where others come near it,
+the branches that hold them are kept as well, and of the siblings those that
+score well or are prose by their tag and have few links.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,46 +38,66 @@ CONTAINERS = frozenset(
 BLOCKS = PARAGRAPHS | HEADINGS | CONTAINERS
 #: Elements whose start ends an open element of the same kind, within the given container.
 IMPLIED_END = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
-#: Words of class, id or role that mark what is no article, and those that mark one.
-AGAINST = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
-    "respond replies cookie cookies consent gdpr disqus footer foot masthead menu menus modal nav navbar navigation "
-    "newsletter notice notices notification alert pager pagination popup promo promotion promoted related recommended "
-    "search share sharing sharedaddy shoutbox sidebar sidebars sidenav skip social sponsor sponsored subscribe subscription "
-    "toolbar topbar widget widgets contentinfo complementary dialog copyright login signup paywall disclaimer".split()
+#: Nouns that name what is no article, and those that name one. A name is judged by its last word, the noun.
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+AGAINST = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner breadcrumb breadcrumbs cookie cookies consent gdpr "
+    "footer foot masthead menu menus modal nav navbar navigation newsletter notice notices notification alert pager pagination popup promo "
+    "promotion promoted related recommended search share sharing sharedaddy shoutbox sidebar sidebars sidenav skip social sponsor sponsored "
+    "subscribe subscription toolbar topbar widget widgets contentinfo complementary dialog copyright login signup paywall disclaimer".split()
 )
 FAVOUR = frozenset("article articles body content entry main page post story text blog hentry".split())
+#: Words that may follow the noun: comment-list, ad-slot, sidebar-left.
+PARTS = frozenset(
+    "list area section box block container wrapper wrap inner outer panel bar slot unit left right top bottom primary secondary links link buttons "
+    "icons form thread group holder module region message text posts items widget".split()
+)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>])*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][\w:.@-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A comment, a tag or a declaration. Nothing is given back once read, so that broken markup costs no more than other text.
+_TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][\w:.@-]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
-#: Names that say what stands beside an element, not what it is: has-sidebar and the like.
-_STATES = re.compile(r"\b(?:has|with|no|without)[-_]\w+")
 
 
-def _looked_at(attributes: str, inside: bool) -> tuple[bool, int]:
-    """Whether an element's attributes leave it out, and the points its names give. inside: it stands in an article."""
-    names: set[str] = set()
+def _named(name: str, inside: bool) -> str:
+    """What one whole name of an element says: comments, against, lowers, favour or nothing. inside: it stands in an article."""
+    words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+    favour = any(w in FAVOUR for w in words)
+    nouns = words[:]
+    while len(nouns) > 1 and nouns[-1] in PARTS and not favour:
+        nouns.pop()
+    noun = nouns[-1] if nouns else ""
+    if noun in COMMENTS:
+        return "comments"
+    if noun in AGAINST or noun == "header" and not inside and not favour:
+        return "against"
+    return "favour" if favour else "lowers" if any(w in AGAINST for w in words) else ""
+
+
+def _looked_at(attributes: str, inside: bool) -> tuple[str, int]:
+    """What an element's attributes make of it (hidden, comments, against or nothing), and the points its names give."""
+    said: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id", "role"):
-            spread = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)
-            names.update(_WORDS.findall(_STATES.sub(" ", spread.lower())))
+            said.update(_named(name, inside) for name in value.split())
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-            return True, 0
-    favour = bool(names & FAVOUR)
-    against = bool(names & AGAINST) or "header" in names and not inside and not favour
-    return against, 25 * favour
+            return "hidden", 0
+    out = "comments" if "comments" in said else "against" if "against" in said else ""
+    return out, 25 * ("favour" in said) - 25 * ("lowers" in said or out == "against")
 
 
 class _Page:
-    """Elements (parent, tag, points) and blocks (owner, text pieces, length of link text) of a page in page order."""
+    """Elements (parent, tag, points, whether a name speaks against them) and blocks (owner, text, length of link text) of a page in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.points, self.out = [-1], ["#root"], [0.0], [False]
+        self.parent, self.tag, self.points, self.out, self.against = [-1], ["#root"], [0.0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._open = [0], Counter()
+        self._stack, self._block_at = [0], [0]
+        self._at: dict[str, list[int]] = defaultdict(list)  # places on the stack by tag
         self._pieces: list[str] = []
         self._links = 0
         self._in_link = 0
@@ -84,34 +108,27 @@ class _Page:
         if self._pieces:
             text = " ".join(html.unescape("".join(self._pieces)).split())
             if text:
-                self.blocks.append((self._owner(), text, min(self._links, len(text))))
+                self.blocks.append((self._stack[self._block_at[-1]], text, min(self._links, len(text))))
             self._pieces = []
         self._links = 0
 
-    def _owner(self) -> int:
-        """The innermost open block element."""
-        for node in reversed(self._stack):
-            if self.tag[node] in BLOCKS or node == 0:
-                return node
-        return 0
-
     def _pop(self) -> None:
         tag = self.tag[self._stack.pop()]
-        self._open[tag] -= 1
+        self._at[tag].pop()
+        if self._block_at[-1] == len(self._stack):
+            self._block_at.pop()
         self._in_link -= tag == "a"
 
+    def _last(self, tags: frozenset[str] | tuple[str, ...]) -> int:
+        """Place on the stack of the innermost open element of tags; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self._at.get(t))), default=0)
+
     def _close(self, tags: tuple[str, ...], stop: frozenset[str] | tuple[str, ...]) -> None:
         """Close up to the innermost open element of tags that no element of stop shields."""
-        if not any(self._open[t] for t in tags):
-            return
-        for at in range(len(self._stack) - 1, 0, -1):
-            tag = self.tag[self._stack[at]]
-            if tag in tags:
-                while len(self._stack) > at:
-                    self._pop()
-                return
-            if tag in stop:
-                return
+        at = self._last(tags)
+        if at and at >= self._last(stop):
+            while len(self._stack) > at:
+                self._pop()
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -156,22 +173,28 @@ class _Page:
         if tag in VOID:
             return
         above = self._stack[-1]
-        out, points = self.out[above] or tag in LEFT_OUT, 0.0
-        inside = self._open["article"] > 0 or self._open["main"] > 0
+        out, against, points = self.out[above] or tag in LEFT_OUT, False, 0.0
+        inside = bool(self._at["article"] or self._at["main"])
         if not out and attributes.strip(" /"):
-            against, points = _looked_at(attributes, inside)
-            out = against and tag not in ("html", "body", "article", "main")
+            said, points = _looked_at(attributes, inside)
+            if said and tag not in ("html", "body", "article", "main") or said == "hidden":
+                out, against = said != "against", said == "against"
         out = out or tag == "header" and not inside
+        if against and tag not in BLOCKS:
+            out, against = True, False  # part of a paragraph, which no article is
         if out and not self.out[above]:
             self._keep_before_hole()
         self.parent.append(above)
         self.tag.append(tag)
         self.points.append(points + (25 if tag in ("article", "main") else 0))
         self.out.append(out)
+        self.against.append(against)
         if attributes.endswith("/") and tag not in BLOCKS:
             return
+        self._at[tag].append(len(self._stack))
+        if tag in BLOCKS:
+            self._block_at.append(len(self._stack))
         self._stack.append(len(self.tag) - 1)
-        self._open[tag] += 1
         self._in_link += tag == "a"
 
     def _keep_before_hole(self) -> None:
@@ -189,23 +212,45 @@ class _Page:
             self._close((tag,), BLOCKS)
 
 
+def _points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def _left_by_name(page: _Page) -> list[bool]:
+    """Elements that are left out because of their name: those below half of the page's prose, with all below them."""
+    n = len(page.tag)
+    prose = [0.0] * n
+    for owner, text, linked in page.blocks:
+        if linked <= 0.5 * len(text):
+            prose[owner] += _points(text)
+    for node in range(n - 1, 0, -1):
+        prose[page.parent[node]] += prose[node]
+    out = [False] * n
+    for node in range(1, n):
+        few = prose[node] < max(SOME, 0.5 * prose[0])
+        out[node] = out[page.parent[node]] or page.against[node] and few
+    return out
+
+
 def main_text(source: str | None) -> str:
     """The article of a page: its blocks in page order, joined by two line feeds; empty if there is none."""
     if not source:
         return ""
     page = _Page(source)
-    if not page.blocks:
+    gone = _left_by_name(page)
+    blocks = [b for b in page.blocks if not gone[b[0]]]
+    if not blocks:
         return ""
     n = len(page.tag)
     score, length, links = page.points[:], [0] * n, [0] * n
     scored = [False] * n
-    for owner, text, linked in page.blocks:
+    for owner, text, linked in blocks:
         length[owner] += len(text)
         links[owner] += linked
         tag = page.tag[owner]
         if tag in HEADINGS or linked > 0.5 * len(text):
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = _points(text)
         node = page.parent[owner] if tag in PARAGRAPHS else owner
         for share in (1.0, 0.5, 1 / 6, 1 / 9):
             if node < 0:
@@ -220,24 +265,73 @@ def main_text(source: str | None) -> str:
     final = [score[k] * (1 - density[k]) if scored[k] else 0.0 for k in range(n)]
     best = max(range(n), key=lambda k: (final[k], -k))
     if final[best] <= 0:
-        return "\n\n".join(text for _, text, linked in page.blocks if linked <= 0.5 * len(text))
-    bar, kept = max(10.0, 0.2 * final[best]), [False] * n
-    kept[best] = True
-    for k in range(n):
-        if best and page.parent[k] == page.parent[best] and k != best:
-            kept[k] = scored[k] and final[k] >= bar or page.tag[k] == "p" and length[k] > 80 and density[k] < 0.25
-        kept[k] = kept[k] or k > 0 and kept[page.parent[k]]
+        return "\n\n".join(text for _, text, linked in blocks if linked <= 0.5 * len(text))
+    kept = _kept(page, final, scored, length, density, best)
     lists = [page.tag[k] in ("ul", "ol", "table", "div", "section") and length[k] > 0 and density[k] > 0.66 for k in range(n)]
     for k in range(1, n):
         lists[k] = lists[k] or lists[page.parent[k]]
-    return "\n\n".join(text for owner, text, _ in page.blocks if kept[owner] and not lists[owner])
+    return "\n\n".join(text for owner, text, _ in blocks if kept[owner] and not lists[owner])
+
+
+#: Points that make some prose; less is a line or two.
+SOME = 10.0
+
+
+def _kept(page: _Page, final: list[float], scored: list[bool], length: list[int], density: list[float], best: int) -> list[bool]:
+    """Which elements stand in the article: the best container, branches with others like it, and siblings that read like it."""
+    n, parent = len(page.tag), page.parent
+    above = [best]
+    while above[-1] > 0:
+        above.append(parent[above[-1]])
+    if (article := next((k for k in above if page.tag[k] == "article"), None)) is not None:
+        best = article
+        above = above[above.index(article) :]
+    below = [False] * n
+    for k in range(1, n):
+        below[k] = k == best or below[parent[k]]
+    below[0] = best == 0
+    line = set(above)
+    cousins = [k for k in range(1, n) if final[k] >= 0.5 * final[best] and scored[k] and not below[k] and k not in line]
+    roots = {best: best}  # branch that holds it -> itself, as children of the common ancestor
+    top = parent[best] if best else -1
+    if cousins:
+        paths = []
+        for k in cousins:
+            path = [k]
+            while path[-1] not in line:
+                path.append(parent[path[-1]])
+            paths.append(path)
+        top = max((p[-1] for p in paths), key=above.index)  # the outermost common ancestor
+        roots = {above[above.index(top) - 1]: best}
+        for path in paths:
+            whole = path + above[above.index(path[-1]) + 1 :]
+            roots[whole[whole.index(top) - 1]] = path[0]
+    bar, kept = max(SOME, 0.2 * final[best]), [False] * n
+    kept[best] = best == 0
+    follows: dict[int, bool] = {}  # whether the sibling after a heading is kept
+    later = False
+    for k in range(n - 1, 0, -1):
+        if parent[k] != top or length[k] == 0:
+            continue
+        if page.tag[k] in HEADINGS:
+            follows[k] = later and density[k] < 0.25
+            continue
+        prose = page.tag[k] in SIBLINGS and density[k] < 0.25
+        later = follows[k] = k in roots or scored[k] and final[k] >= bar or prose
+    for k in range(1, n):
+        kept[k] = kept[parent[k]] or follows.get(k, False)
+    return kept
+
+
+#: Elements beside the best container that belong to it if they have few links.
+SIBLINGS = frozenset(("p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Per row: the columns of keep, text, n_chars (code points of text).
 
     A null or empty page, and one without text, has the empty text. Markup that is cut off or badly nested is read
-    as far as it goes. A page is read whole, whatever its length, in one pass.
+    as far as it goes, in time that grows with its length. A page is read whole. Further columns are not looked at.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

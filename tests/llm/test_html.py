@@ -2,6 +2,7 @@
 
 import html as stdlib_html
 import re
+import time
 
 import pytest
 
@@ -57,3 +58,37 @@ def test_awkward_pages(spark, tmp_path):
     got = queries.op5_main_text(spark, fixtures.saved(spark, tmp_path, df, "pages")).collect()
     assert sorted(r["n_chars"] for r in got)[0] == 0 and len(got) == 4 and max(r["n_chars"] for r in got) == 6 * 100000 - 1
     assert html.extract(df.limit(0)).count() == 0
+
+
+PARA = "<p>An ordinary long paragraph, with commas, and many words that make up an article, as one would expect it to be.</p>"
+BODY = PARA * 5
+WANT = ["An ordinary long paragraph, with commas, and many words that make up an article, as one would expect it to be."] * 5
+
+
+@pytest.mark.parametrize("source, more", [
+    (f'<body><div id="content-sidebar-wrap"><main>{BODY}</main></div></body>', []),
+    (f'<body><div class="entry-content share-enabled">{BODY}</div></body>', []),
+    (f'<body><div class="search-results-none main-content">{BODY}</div></body>', []),
+    (f'<article>{BODY}<p class="notice-of-law">A law, quoted.</p><div class="promotion-rules"><p>Rules for promotion.</p></div></article>', ["A law, quoted.", "Rules for promotion."]),
+    (f"<body><div><section>{BODY}</section></div><div><section>{BODY}</section></div></body>", WANT),
+    (f"<body><div>{BODY}</div><p>Short end.</p></body>", ["Short end."]),
+    (f'<body><div class="sidebar">{BODY}</div><div id="story">{BODY}{PARA}</div></body>', WANT[:1]),
+    (f'<body><div class="widget">{BODY}</div></body>', []),
+    (f'<body><ul class="site-menu"><li>One<li>Two</ul><div>{BODY}</div><div class="comment-list">{BODY}{BODY}</div><div class="cookieNotice"><p>We use cookies, yes.</p></div></body>', []),
+    (f'<body><div class="ad-slot"><p>Buy, buy, buy.</p></div><td>{BODY}</td><div class="footer-bottom"><p>Foot, note.</p></div></body>', []),
+    (f'<body><section>{BODY}<ul><li><a href=x>See one</a><li><a href=y>See two</a></ul></section></body>', []),
+])
+def test_shapes(source, more):
+    """Pages of other makers: names that only mention furniture delete nothing, and halves, ends and lists fall right."""
+    assert html.main_text(source).split("\n\n") == WANT + more
+
+
+def test_names_alone_make_no_article():
+    assert html.main_text('<div class="menu"><p>one, two</p></div>') == "" and html.main_text('<div class="notice"><p>Mind the gap.</p></div>') == ""
+
+
+@pytest.mark.parametrize("part", ["<a", '<a ">"', '<a =">"', "<!--", "<div>", "<p>", 'x="', "<i><div><b></i>", "<ul><li>", "<", "&", "<table><tr><td>", "<script>"])
+def test_broken_markup_takes_linear_time(part):
+    started = time.process_time()
+    html.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - started < 60
