@@ -1,11 +1,12 @@
 """Packing of documents into sequences of fixed length.
 
-Documents are tokenized and cut into pieces where they are read; only the
-pieces' sizes are shuffled. Pieces are dealt by hash into groups of some
-thousands, so that a group is a bounded task at any scale and costs at most the
-rest of one sequence. Within a group best fit decreasing makes a first packing,
-and a local search then exchanges pieces between underfull sequences so that the
-sum of squared fills rises, until sequences run empty.
+Documents are tokenized and cut into pieces where they are read; the pieces'
+sizes are written, and only they are shuffled. A full piece is a sequence by
+itself. The others are dealt into groups of some thousands, so that a group is a
+bounded task at any scale and costs at most the rest of one sequence. Within a
+group best fit decreasing makes a first packing, and a local search then exchanges
+pieces between underfull sequences so that the sum of squared fills rises, until
+sequences run empty and no exchange is left that gains.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import chunks_of, encoder
+from peakloom.llm.shared import written
 
 
 def token_pieces(
@@ -79,25 +81,28 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, size: int, passes: int = 3) -> np.ndarray:
+def local_search(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
     """Bins after exchanges that raise the sum of squared fills.
 
     The emptiest bin gives first. One or two of its pieces go to another underfull bin, against one of that bin's
     pieces or against none, and the exchange of largest gain is made, while there is one. A bin that has run empty
-    is gone. It ends when the free room of the other bins is less than the emptiest one's fill, which no exchange
-    could then place, or after so many passes over the bins.
+    is gone. It ends when there are as few bins as all lengths together need, when the free room of the other bins
+    is less than the emptiest one's fill, which no exchange could then place, or when no exchange gains. Every
+    exchange raises a sum of whole numbers that is bounded, so one of these comes.
     """
     bins = bins.copy()
     fill = np.bincount(bins, lengths).astype(np.int64)
+    least = -(-int(fill.sum()) // size)
     open_ = np.flatnonzero(fill < size)
     item = np.flatnonzero(fill[bins] < size)
-    for _ in range(passes):
+    gained = True
+    while gained:
         gained = False
         for a in open_[np.argsort(fill[open_], kind="stable")].tolist():
             if not 0 < fill[a] < size:
                 continue
             live = open_[fill[open_] > 0]
-            if (size - fill[live]).sum() - (size - fill[a]) < fill[live].min():
+            if (size - fill[live]).sum() - (size - fill[a]) < fill[live].min() or np.count_nonzero(fill) <= least:
                 return bins
             while fill[a]:
                 found = _best(lengths, bins, fill, item, live, a, size)
@@ -111,8 +116,6 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, size: int, passes: int =
                 fill[a] -= d
                 fill[to] += d
                 gained = True
-        if not gained:
-            break
     return bins
 
 
@@ -145,14 +148,9 @@ def _best(lengths, bins, fill, item, live, a, size):
     return best
 
 
-def pack_lengths(lengths: np.ndarray, size: int, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset within it of each length; bins are numbered from 0 without gaps."""
-    full = lengths >= size
-    bins = np.full(len(lengths), -1, np.int64)
-    part = np.flatnonzero(~full)
-    if len(part):
-        bins[part] = local_search(lengths[part], best_fit(lengths[part], size), size, passes)
-    bins[full] = len(lengths) + np.arange(int(full.sum()))
+def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset within it of each length below size; bins are numbered from 0 without gaps."""
+    bins = local_search(lengths, best_fit(lengths, size), size) if len(lengths) else np.zeros(0, np.int64)
     _, bins = np.unique(bins, return_inverse=True)
     order = np.argsort(bins, kind="stable")
     ends = np.cumsum(lengths[order])
@@ -163,24 +161,28 @@ def pack_lengths(lengths: np.ndarray, size: int, passes: int = 3) -> tuple[np.nd
     return bins, offsets
 
 
-def pack(pieces: DataFrame, rows: int, size: int = 2048, group_rows: int = 8192, passes: int = 3) -> DataFrame:
-    """pieces with sequence_id and offset. rows: about how many pieces there are that are not full.
+def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192) -> DataFrame:
+    """pieces with sequence_id and offset; pieces must be a table, as it is read more than once.
 
-    A group's number stands in the upper 32 bits of its sequences' ids. Groups are dealt by a hash of all columns,
-    so repeated rows and null ids spread as others do. An empty table gives an empty result.
+    A full piece has a sequence of its own with a negative id, made where the piece is read. The others are dealt to
+    groups by their values and their place in the table, so that rows which repeat, with null ids or not, spread like
+    any others; a group's number stands in the upper 32 bits of its sequences' ids. An empty table gives an empty
+    result.
     """
-    groups = max(1, -(-rows // group_rows))
+    part = pieces.where(F.col("length") < size)
+    groups = max(1, -(-part.count() // group_rows))
 
     def packed(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "ids_crc32", "start"], kind="stable", ignore_index=True)
-        bins, offsets = pack_lengths(frame["length"].to_numpy(), size, passes)
+        bins, offsets = pack_lengths(frame["length"].to_numpy(), size)
         return frame.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)))
+    dealt = part.withColumn("group", F.pmod(F.xxhash64(*part.columns, F.monotonically_increasing_id()), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("group").applyInPandas(packed, schema)
+    full = pieces.where(F.col("length") >= size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return dealt.groupBy("group").applyInPandas(packed, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, **options) -> DataFrame:
     """Tokenize, cut and pack every row of docs; see token_pieces and pack."""
-    return pack(token_pieces(docs, vocabulary, size, **options), docs.count(), size)
+    return pack(written(token_pieces(docs, vocabulary, size, **options), "pieces"), size)

@@ -133,3 +133,44 @@ def test_local_search(low, high):
     for b in np.unique(bins):
         order = np.argsort(offsets[bins == b])
         assert (offsets[bins == b][order] == np.concatenate(([0], np.cumsum(lengths[bins == b][order])[:-1]))).all()
+
+
+def fewest_bins(lengths, size):
+    """The least number of bins, by all subsets."""
+    n = len(lengths)
+    best = {0: (1, 0)}  # subset -> (bins, fill of the last), least first
+    for subset in range(1 << n):
+        if subset not in best:
+            continue
+        bins, fill = best[subset]
+        for i in range(n):
+            if not subset >> i & 1:
+                state = (bins, fill + lengths[i]) if fill + lengths[i] <= size else (bins + 1, lengths[i])
+                key = subset | 1 << i
+                if key not in best or state < best[key]:
+                    best[key] = state
+    return best[(1 << n) - 1][0]
+
+
+def test_packing_near_the_least():
+    rng = np.random.default_rng(5)
+    worse = 0
+    for _ in range(150):
+        lengths = rng.integers(1, rng.integers(20, 101), rng.integers(1, 10))
+        bins, _ = packing.pack_lengths(lengths, 100)
+        made, least = bins.max() + 1, fewest_bins(lengths.tolist(), 100)
+        assert least <= made <= least + 1
+        worse += made > least
+    assert worse <= 3
+
+
+def test_repeated_pieces_spread(spark):
+    """A row that repeats 30,000 times falls into all groups, and full pieces into none."""
+    one = spark.range(30_000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "900L as length", "5L as ids_crc32")
+    full = spark.range(10).selectExpr("8L as doc_id", "0 as piece", "0L as start", "2048L as length", "5L as ids_crc32")
+    rows = packing.pack(one.unionByName(full)).selectExpr("length", "sequence_id", "offset").toPandas()
+    groups = rows[rows.length < 2048].groupby(rows.sequence_id // 2**32).size()
+    assert len(groups) == 4 and groups.max() < 9000
+    assert rows[rows.length == 2048].sequence_id.nunique() == 10 and (rows[rows.length == 2048].sequence_id < 0).all()
+    assert rows.groupby("sequence_id").length.sum().max() <= 2048
+    assert rows[rows.length < 2048].sequence_id.nunique() <= 15_000 + 4  # two fit; each group may be left with one
