@@ -8,7 +8,10 @@ position in its sample, for each letter; the language of least entropy wins.
 For speed each automaton is completed to a table in which a letter that does not
 continue the phrase leads to where that letter leads from the root, with a mark
 that a phrase ended. Texts are cut into segments of equal length, and all segments
-of a batch walk the table side by side.
+of a batch walk the table side by side. A segment first starts with no phrase open;
+where the one before it left a phrase open, it walks again from there, until the
+two walks meet, which they do after a few letters. So the phrases are those of the
+whole text, wherever its segments end.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from peakloom.llm.bpe import LETTER, _class_table, chunks_of
 from peakloom.llm.shared import text_of
 
 UNDETERMINED = "und"
-#: Letters of a segment; a phrase ends where its segment does.
+#: Letters of a segment.
 SEGMENT = 256
+#: Classes of ids that each offer one document to a language's sample.
+OFFERS = 4096
 
 
 @dataclass(frozen=True)
@@ -44,22 +49,29 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows of docs that fulfil `where` and have a language.
 
-    Of each language, the sample_docs rows whose ids hash lowest give up to sample_chars code points of text in all.
-    That is the bound of the sample; it does not grow with the corpus.
+    Of each language, sample_docs documents whose ids hash low give a passage each, sample_chars code points in all;
+    that is the bound of the sample, which does not grow with the corpus. A passage starts at a place drawn from the
+    id, so that texts are not sampled by their beginnings alone.
     """
     rows = docs.where(where & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")
+        F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), text_of(F.col(text_col)).alias("text")
     )
-    lowest = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(lowest)).where(F.col("k") <= sample_docs)
+    offers = rows.groupBy("lang", F.pmod("h", F.lit(OFFERS)).alias("class")).agg(F.min("h").alias("h"))
+    lowest = Window.partitionBy("lang").orderBy("h")  # OFFERS rows of a language at most
+    chosen = offers.withColumn("k", F.row_number().over(lowest)).where(F.col("k") <= sample_docs)
     keys = {(r["lang"], r["h"]) for r in chosen.collect()}
+    size = max(1, sample_chars // sample_docs)
+    spare = F.greatest(F.lit(1), F.char_length("text") - size + 1)
+    passage = F.substring(F.col("text"), F.pmod(F.xxhash64("h"), spare).cast("int") + 1, F.lit(8 * size))
     hit = rows.where(F.col("h").isin([h for _, h in keys])) if keys else rows.limit(0)
-    texts = hit.groupBy("lang", "h").agg(F.max(F.substring(text_of(F.col("text")), 1, sample_chars)).alias("text")).collect()
+    texts = hit.groupBy("lang", "h").agg(F.max(passage).alias("text")).collect()
     samples: dict[str, str] = {}
-    for r in sorted((r for r in texts if (r["lang"], r["h"]) in keys), key=lambda r: (r["lang"], r["h"])):
-        have = samples.get(r["lang"], "")
-        if len(have) < sample_chars and any(c.isalpha() for c in r["text"]):
-            samples[r["lang"]] = (have + " " + r["text"].lower())[:sample_chars]
+    found = sorted((r for r in texts if (r["lang"], r["h"]) in keys and any(c.isalpha() for c in r["text"])), key=lambda r: (r["lang"], r["h"]))
+    for most in (size, 8 * size):  # where documents are short or few, others give more
+        for r in found:
+            have, more = samples.get(r["lang"], ""), r["text"][:size] if most == size else r["text"][size:most]
+            if more and len(have) < sample_chars:
+                samples[r["lang"]] = (have + " " + more.lower())[:sample_chars]
     return LanguageModel(tuple(sorted(samples)), tuple(samples[k] for k in sorted(samples)))
 
 
@@ -140,23 +152,43 @@ class _Parser:
         letters = np.concatenate(([0], np.cumsum(symbols != 0)))[upto]
         count = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(sizes)), count)
-        start = upto[:-1][owner] + SEGMENT * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        start = upto[:-1][owner] + SEGMENT * place
         room = np.minimum(SEGMENT, upto[1:][owner] - start)
         padded = np.concatenate((symbols, np.full(SEGMENT, self.pad, symbols.dtype)))
         matrix = np.lib.stride_tricks.sliding_window_view(padded, SEGMENT)[start] if len(owner) else np.zeros((0, SEGMENT), symbols.dtype)
         columns = np.where(np.arange(SEGMENT)[:, None] < room[None, :], matrix.T, self.pad).astype(np.int32)
         found = np.zeros((len(self.tables), len(sizes)), np.int64)
+        follows = np.flatnonzero(place > 0)
         for k, table in enumerate(self.tables):
-            at = np.zeros(len(owner), np.int32)
-            ended = np.ones(len(owner), np.int32)  # the phrase that is open at a segment's end
-            for column in columns:
-                at >>= 1
-                at += column
-                at = table[at]
-                ended += at & 1
-            found[k] = np.bincount(owner, ended, len(sizes))
+            walk = np.zeros((SEGMENT + 1, len(owner)), np.int32)  # twice the state's row, and whether a phrase ended there
+            for c, column in enumerate(columns):
+                walk[c + 1] = table[(walk[c] >> 1) + column]
+            self._joined(table, columns, walk, follows)
+            ended = (walk[1:] & 1).sum(axis=0)
+            found[k] = np.bincount(owner, ended, len(sizes)) + (sizes > 0)  # the phrase that is open at a text's end
         return found, sizes, np.diff(letters) > 0
 
+    @staticmethod
+    def _joined(table: np.ndarray, columns: np.ndarray, walk: np.ndarray, follows: np.ndarray) -> None:
+        """Walk each segment of follows again from where the one before it ends, up to where the old walk is met; until none changes."""
+        again = follows
+        while len(again):
+            at = walk[-1, again - 1] & ~np.int32(1)
+            changed = at != walk[0, again]
+            again, at = again[changed], at[changed]
+            walk[0, again] = at
+            live = np.arange(len(again))
+            for c, column in enumerate(columns):
+                at = table[(at >> 1) + column[again[live]]]
+                apart = (at >> 1) != (walk[c + 1, again[live]] >> 1)
+                walk[c + 1, again[live]] = at
+                live, at = live[apart], at[apart]
+                if not len(live):
+                    break
+            # Those whose end has changed send the next segments of their texts on another walk.
+            again = np.intersect1d(again[live] + 1, follows)
+
 
 @lru_cache(maxsize=2)
 def _parser(model: LanguageModel) -> _Parser:

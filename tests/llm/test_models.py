@@ -93,7 +93,7 @@ def test_signatures_estimate_probability_jaccard():
 
 
 def phrases_by_hand(text, sample):
-    """Longest-match phrases of a text in a sample by substring search, segment by segment."""
+    """Longest-match phrases of a text in a sample by substring search."""
     squeeze = lambda s: "".join(c if c.isalpha() else " " for c in s.lower())
     def runs(s):
         out = []
@@ -102,34 +102,46 @@ def phrases_by_hand(text, sample):
                 out.append(c)
         return "".join(out)
 
-    body, base, count = runs(text), runs(sample), 0
-    for lo in range(0, len(body), langid.SEGMENT):
-        part, at = body[lo : lo + langid.SEGMENT], 0
-        while at < len(part):
-            n = 1
-            while at + n < len(part) and part[at : at + n + 1] in base:
-                n += 1
-            count += 1
-            at += n
+    body, base, count, at = runs(text), runs(sample), 0, 0
+    while at < len(body):
+        n = 1
+        while at + n < len(body) and body[at : at + n + 1] in base:
+            n += 1
+        count += 1
+        at += n
     return count, len(body), math.log2(max(2, len(base)))
 
 
-def test_phrases_like_substring_search():
+@pytest.mark.parametrize("segment", [3, 7, 256])
+def test_phrases_like_substring_search(segment, monkeypatch):
+    """Phrases are the same to the last one however a text is cut into segments, also where phrases are longer than these."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
     samples = {k: fixtures.prose(k, 150, "sample") for k in fixtures.WORDS}
     model = langid.LanguageModel(tuple(sorted(samples)), tuple(samples[k] for k in sorted(samples)))
     texts = [fixtures.prose(k, 130, f"t{i}") for i, k in enumerate(["en", "de", "fr"])] + ["", "12 3", "x", "Ünknown ж letters, MIXED  case"]
+    texts += [samples["en"][40:700] + samples["de"][:300] + samples["en"] * 2, samples["fr"]]
     parser = langid._Parser(model)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     found, sizes, lettered = parser.phrases(points, offsets)
-    assert lettered.tolist() == [True, True, True, False, False, True, True]
+    assert lettered.tolist() == [True, True, True, False, False, True, True, True, True]
     for j, text in enumerate(texts):
         for k, lang in enumerate(model.languages):
             if lettered[j]:
                 count, size, bits = phrases_by_hand(text, samples[lang])
-                unseen = lang  # a segment's last phrase counts like any other
-                assert sizes[j] == size and parser.bits[k] == pytest.approx(bits), unseen
-                assert abs(found[k, j] - count) <= 1 + size // langid.SEGMENT
+                assert (sizes[j], found[k, j]) == (size, count) and parser.bits[k] == pytest.approx(bits)
+
+
+def test_choice_and_score_by_hand():
+    samples = {k: fixtures.prose(k, 150, "sample") for k in fixtures.WORDS}
+    model = langid.LanguageModel(tuple(sorted(samples)), tuple(samples[k] for k in sorted(samples)))
+    texts = [fixtures.prose(k, 40, f"c{k}") for k in fixtures.WORDS] + ["der the le"]
+    raw = [t.encode() for t in texts]
+    lang, score = langid._predicted(model, np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    for t, l, x in zip(texts, lang, score, strict=True):
+        entropy = {k: n * bits / size for k in samples for n, size, bits in [phrases_by_hand(t, samples[k])]}
+        weight = {k: e**-4 for k, e in entropy.items()}
+        assert l == min(sorted(entropy), key=entropy.get) and x == pytest.approx(weight[l] / sum(weight.values()))
 
 
 def test_op2(spark, tmp_path, sf):
@@ -170,15 +182,45 @@ def test_op6(spark, tmp_path):
 def test_score_is_mean_of_vectors():
     """Scores from one number for each bucket equal those from the averaged vectors."""
     texts = [fixtures.prose("en", 30, 1), "Thing Thing Thing", "x", ""]
-    model = classifier.train(texts, [1, 0, 1, 0], steps=2, buckets=1 << 10)
+    every = b"".join(t.encode() for t in texts)
+    found = classifier.bags(np.frombuffer(every, np.uint8), np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts]))), 1 << 10)
+    model = classifier.train(found, [1, 0, 1, 0], steps=2, buckets=1 << 10)
     value, bias = model.collapsed()
-    for t in texts:
+    for t, (used, weight) in zip(texts, found, strict=True):
         raw = np.frombuffer(t.encode(), np.uint8)
-        used, weight = classifier._bag(t, 1 << 10)
         z = (model.vectors[used] * weight[:, None]).sum(axis=0) @ model.output + model.bias
         assert classifier.log_odds(raw, np.array([0, len(raw)]), value, bias)[0] == pytest.approx(z[1] - z[0], abs=1e-4)
 
 
+def test_bag_by_hand():
+    """Two words' features, hashed, and their weights in the mean of means."""
+    (used, weight), = classifier.bags(np.frombuffer("né né".encode(), np.uint8), np.array([0, 6]), classifier.BUCKETS)
+    # Each word: itself and " né " as 3-grams " né" and "né " and one 4-gram; the second also a bigram: 4 and 5 features.
+    assert len(used) == 5 and sorted(weight.round(6)) == sorted([round(1 / 10, 6)] + [round(1 / 8 + 1 / 10, 6)] * 4)
+
+
+def test_training_separates():
+    """Gradient descent from the definition, by finite differences, and labels that words decide are learned."""
+    rng = np.random.default_rng(0)
+    documents = [(np.sort(rng.choice(64, 5, replace=False)), np.full(5, 0.2)) for _ in range(40)]
+    labels = [int(b[0][0] < 6) for b in documents]
+    one = classifier.train(documents[:1], labels[:1], buckets=64, dimension=3, steps=1, rate=1e-3, batch=1)
+    start = np.random.default_rng(7)
+    vectors, output = start.normal(0, 0.1, (64, 3)), start.normal(0, 0.1, (3, 2))
+
+    def loss(v):
+        z = (v[documents[0][0]] * documents[0][1][:, None]).sum(axis=0) @ output
+        return np.log(np.exp(z).sum()) - z[labels[0]]
+
+    at = int(documents[0][0][2])
+    moved = vectors.copy()
+    moved[at, 1] += 1e-6
+    assert (vectors - one.vectors)[at, 1] / 1e-3 == pytest.approx((loss(moved) - loss(vectors)) / 1e-6, rel=1e-3)
+    model = classifier.train(documents, labels, buckets=64, dimension=3, steps=600)
+    value, bias = model.collapsed()
+    assert np.mean([(value[b] * w).sum() + bias > 0 for b, w in documents] == np.array(labels, bool)) > 0.95
+
+
 def test_grams_stay_in_words():
     """Features of a text do not depend on its neighbours in the batch."""
     value = np.random.default_rng(0).normal(size=1 << 12).astype(np.float32)
