@@ -304,6 +304,8 @@ class Encoder:
     def _clear(self) -> None:
         self._known: dict[int, int] = {}
         self._flat, self._used = np.zeros(1 << 16, np.int32), 0
+        # The pieces themselves, behind one another, where each starts and how long it is.
+        self._bytes, self._filled, self._from, self._own = np.zeros(1 << 16, np.uint8), 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self._start, self._length, self._n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         self._slot_hash, self._slot_piece = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
 
@@ -329,10 +331,18 @@ class Encoder:
         if used > len(self._flat):
             self._flat = np.resize(self._flat, 2 * used)
         if n > len(self._start):
-            self._start, self._length = np.resize(self._start, 2 * n), np.resize(self._length, 2 * n)
+            self._start, self._length, self._from, self._own = (np.resize(x, 2 * n) for x in (self._start, self._length, self._from, self._own))
         self._flat[self._used : used] = np.concatenate(merged)
         self._start[self._n : n] = self._used + np.cumsum(sizes) - sizes
         self._length[self._n : n] = sizes
+        whole = np.frombuffer(b"".join(pieces), np.uint8)
+        own = np.array([len(p) for p in pieces], np.int64)
+        filled = self._filled + len(whole)
+        if filled > len(self._bytes):
+            self._bytes = np.resize(self._bytes, 2 * filled)
+        self._bytes[self._filled : filled] = whole
+        self._from[self._n : n], self._own[self._n : n] = self._filled + np.cumsum(own) - own, own
+        self._filled = filled
         added = range(self._n, n)
         self._used, self._n = used, n
         return added
@@ -361,7 +371,18 @@ class Encoder:
             s = (fresh >> np.uint64(40)).astype(np.int64) & (self.SLOTS - 1)
             self._slot_hash[s], self._slot_piece[s] = fresh, at
             # Of two fresh hashes for one slot the last written stays in both arrays: they are written in the same order.
-        return out
+        return self._checked(data, starts, lengths, out)
+
+    def _checked(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """found, with pieces that share only their hash with the cached one merged by themselves."""
+        place = np.repeat(self._from[found] - starts, lengths) + np.arange(len(data))
+        other = np.flatnonzero(self._bytes[np.minimum(place, len(self._bytes) - 1)] != data)
+        wrong = np.union1d(np.flatnonzero(self._own[found] != lengths), np.searchsorted(starts, other, "right") - 1)
+        if len(wrong):
+            raw = data.tobytes()
+            found = found.copy()
+            found[wrong] = list(self._add([raw[s : s + n] for s, n in zip(starts[wrong].tolist(), lengths[wrong].tolist(), strict=True)]))
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offset of each text's ids. data: UTF-8 of all texts; offsets: where each starts, and the end."""
