@@ -23,7 +23,7 @@ def normalised(text: Column) -> Column:
     return F.translate(text_of(text), UPPER, UPPER.lower())
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     The largest id of a group is kept. A null id sorts below every other and
@@ -32,15 +32,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives an empty result, and further columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256))
-    salted = (
-        rows.groupBy("digest", "norm", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"))
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumns({"digest": F.sha2(F.col("norm").cast("binary"), 256), "salt": F.pmod(F.xxhash64("id"), F.lit(salts))})
+    salted = rows.groupBy("digest", "norm", "salt").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    winners = salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"), F.collect_set("salt").alias("used"))
+    found = written(winners.select("digest", "keep_id", "n", "used"), "exact-groups")
+    by_digest = found.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("n").alias("n"), F.first("used").alias("used")
     )
-    winners = salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    found = written(winners.select("digest", "keep_id", "n"), "exact-groups")
-    by_digest = found.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("n").alias("n"))
-    out = rows.select("id", "digest").join(by_digest.where("texts = 1").select("digest", "keep_id", "n"), "digest")
+    single = by_digest.where("texts = 1").select("digest", F.explode("used").alias("salt"), "keep_id", "n")
+    out = rows.select("id", "digest", "salt").join(single, ["digest", "salt"]).drop("salt")
     clash = by_digest.where("texts > 1").select("digest")
     if not clash.isEmpty():  # several texts under one digest: their rows find their group by the text
         some = rows.join(clash, "digest", "left_semi")
@@ -54,7 +54,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """docs with one row of each group of exact_groups, one of those with the largest id; columns and values as they were."""
     groups = exact_groups(docs, id_col, text_col, salts).where("kept")
     winners = groups.select(id_key(F.col(id_col)).alias("__id"), F.col("text_sha256").alias("__content")).distinct()
