@@ -27,6 +27,11 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _quoted(name: Column) -> Column:
+    """A speaker's name as it stands in a header: quotes escaped and every |> broken up, so that no name can close the header."""
+    return F.replace(F.replace(name, F.lit('"'), F.lit('\\"')), F.lit("|>"), F.lit("| >"))
+
+
 def perspectives(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
@@ -35,8 +40,10 @@ def perspectives(
     Turns are ordered by number, then speaker, then text, nulls first; rows that repeat are turns of their own.
     Offsets count code points from the start of the rendered dialogue, ends are exclusive. The mask covers the
     assistant's message and its end marker and is empty (start = end) for other segments. A null speaker is called "unknown",
-    a null text is empty, and rows without conversation id are one conversation. Offsets are summed in blocks of
-    turn numbers and then over blocks, so one very long conversation spreads over many tasks.
+    a null text is empty, and rows without conversation id are one conversation. In names and texts each <| is
+    rendered as < |, in the headers' names also |> as | > and a quote with a backslash; nothing else is altered.
+    Offsets are summed in blocks of turn numbers and then over blocks, so one very long conversation spreads over
+    many tasks.
     """
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
@@ -44,7 +51,7 @@ def perspectives(
     )
     seats = rows.select(F.col("conv_id").alias("at"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER[0]), "speaker", F.lit(USER[1])))
+    head = F.when(own, F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER[0]), _quoted(F.col("speaker")), F.lit(USER[1])))
     seen = rows.join(seats, F.col("conv_id").eqNullSafe(F.col("at"))).select(
         "conv_id", "perspective", "turn", "speaker", "said", own.alias("own"),
         F.concat(head, "said", F.lit(END)).alias("segment"), F.char_length(head).alias("head"),
