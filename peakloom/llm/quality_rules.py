@@ -94,9 +94,8 @@ def _struck_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, ma
     return hit.select("l.id", "l.host", "l.content", "l.pos", "l.n")
 
 
-def struck_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_texts: int = 20) -> DataFrame:
-    """docs with each text rebuilt, in line order, without its struck lines; texts without one and other columns as they were."""
-    hit = _struck_lines(docs, id_col, text_col, host_col, max_texts)
+def _without(docs: DataFrame, hit: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """docs with each text rebuilt, in line order, without the lines of hit (id, host, content, pos)."""
     hit = hit.select(id_key(F.col("id")).alias("__id"), id_key(F.col("host")).alias("__host"), F.col("content").alias("__content"), "pos")
     places = hit.groupBy("__id", "__host", "__content").agg(F.collect_set("pos").alias("__places"))  # a text's lines at most
     content = F.xxhash64(text_of(F.col(text_col)))
@@ -108,6 +107,11 @@ def struck_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(rebuilt)).select(*docs.columns)
 
 
+def struck_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_texts: int = 20) -> DataFrame:
+    """docs with each text rebuilt, in line order, without its struck lines; texts without one and other columns as they were."""
+    return _without(docs, _struck_lines(docs, id_col, text_col, host_col, max_texts), id_col, text_col, host_col)
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -131,11 +135,11 @@ def judge(
 
 def _judged(
     docs: DataFrame, id_col: str, text_col: str = "text", host_col: str = "source",
-    max_texts: int = 20, min_words: int = 20, min_left: float = 0.2, max_repeat_percent: int = 30,
+    max_texts: int = 20, min_words: int = 20, min_left: float = 0.2, max_repeat_percent: int = 30, hit: DataFrame | None = None,
 ) -> DataFrame:
     """judge() with the other parts of a row's key, __host and __content (hash of the text)."""
     key = ("id", "host", "content")
-    hit = _struck_lines(docs, id_col, text_col, host_col, max_texts)
+    hit = _struck_lines(docs, id_col, text_col, host_col, max_texts) if hit is None else hit
     struck = hit.groupBy(*key, "pos").agg(F.max("n").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_struck"))
     base = base_counts(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"),
@@ -154,10 +158,16 @@ def _judged(
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """docs without the rows that judge() rejects, each by its own id, host and text; columns and values as they were."""
-    bad = _judged(docs, id_col, text_col, host_col, **limits).where("not kept")
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", strike: bool = True, **limits) -> DataFrame:
+    """docs without the rows that judge() rejects, each by its own id, host and text, and without the lines that it strikes.
+
+    Texts that stay are rebuilt in line order; those without a struck line and all other columns are as they were, and
+    with strike false all texts are.
+    """
+    hit = written(_struck_lines(docs, id_col, text_col, host_col, limits.get("max_texts", 20)), "struck-lines")
+    bad = _judged(docs, id_col, text_col, host_col, hit=hit, **limits).where("not kept")
     bad = bad.select(id_key(F.col(id_col)).alias("__id"), id_key(F.col("__host")).alias("__host"), "__content").distinct()
     content = F.xxhash64(text_of(F.col(text_col)))
     keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__host": id_key(F.col(host_col)), "__content": content})
-    return keyed.join(bad, ["__id", "__host", "__content"], "left_anti").select(*docs.columns)
+    good = keyed.join(bad, ["__id", "__host", "__content"], "left_anti").select(*docs.columns)
+    return _without(good, hit, id_col, text_col, host_col) if strike else good
