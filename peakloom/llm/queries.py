@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts
@@ -60,8 +60,40 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Two tokenizer versions: a vocabulary's name and its file.
+TOKENIZERS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+
+
+def _of(rows: DataFrame, count: str, version: str) -> DataFrame:
+    return rows.select("source", "lang", F.lit(version).alias("version"), F.col(count).alias("tokens"))
+
+
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two tokenizers; short ones deleted; words revised to words with a letter; a batch replayed."""
+    """Tokens of all documents of at least 20 words under two tokenizer versions.
+
+    All documents come in under both versions, under the first with an estimate from their bytes; the short ones are
+    deleted, the estimates revised to the counts, the ledger compacted, and a batch is replayed.
+    """
+    text = text_of(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select(
+        "source", "lang", text.alias("text"), F.size(words_of(text)).alias("n_words"), F.floor(F.octet_length(text) / 4).cast("long").alias("estimate")
+    )
+    paths = {version: public_tokenizers.path(name) for version, name in TOKENIZERS.items()}
+    counts = written(token_counts.counted(docs, paths, keep=("source", "lang", "n_words", "estimate")), "token-counts")
+    first, second = TOKENIZERS
+    short, left = counts.where("n_words < 20"), counts.where("n_words >= 20")
+    ledger = token_counts.TokenLedger(spark)
+    ledger.commit("estimates", token_counts.inserts(_of(counts, "estimate", first)))
+    ledger.commit("second", token_counts.inserts(_of(counts, second, second)))
+    ledger.commit("short", token_counts.deletes(_of(short, "estimate", first).unionByName(_of(short, second, second))))
+    ledger.compact()
+    ledger.commit("counts", token_counts.revisions(_of(left, "estimate", first), _of(left, first, first)))
+    ledger.commit("second", token_counts.inserts(_of(counts, second, second)))
+    return ledger.rollup()
+
+
+def op10_word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger over counts that SQL can express: words, revised to words with a letter, and bytes."""
     text = text_of(F.col("text"))
     found = table(spark, sf_dir, "documents").select("source", "lang", text.alias("text"), words_of(text).alias("words"))
     counts = written(
@@ -72,7 +104,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "token-counts",
     )
-    of = lambda rows, version: rows.select("source", "lang", F.lit(version).alias("version"), F.col(version).alias("tokens"))
+    of = lambda rows, version: _of(rows, version, version)
     short, long = counts.where("words_1 < 20"), counts.where("words_1 >= 20")
     ledger = token_counts.TokenLedger(spark)
     ledger.commit("words", token_counts.inserts(of(counts, "words_1")))
@@ -96,16 +128,17 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_best_fit": op9_best_fit,
         "op10_token_rollups": op10_token_rollups,
+        "op10_word_rollups": op10_word_rollups,
     }
 
 
 SQL = {
-    "op3_perspectives": """
+    "op3_perspectives": r"""
         WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker,
                           replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
         s AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t),
         r AS (SELECT conv_id, perspective, turn, speaker, said, speaker = perspective AS own,
-                     CASE WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name="' || speaker || '"|>' END AS head
+                     CASE WHEN speaker = perspective THEN '<|assistant|>' ELSE '<|user name="' || replace(replace(speaker, '"', '\"'), '|>', '| >') || '"|>' END AS head
               FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c),
         g AS (SELECT *, head || said || '<|end|>' || chr(10) AS segment FROM r),
         p AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective
@@ -142,7 +175,7 @@ SQL = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(n.t) AS text_sha256
         FROM n JOIN g ON n.t = g.t""",
-    "op10_token_rollups": r"""
+    "op10_word_rollups": r"""
         WITH d AS (SELECT source, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         k AS (SELECT source, lang, len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) AS words_2, octet_length(encode(text)) AS bytes_1
               FROM d WHERE len(words) >= 20),
