@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.llm import chat, exact_dedup, queries, quality_rules, token_counts
+from peakloom.llm import chat, exact_dedup, queries, quality_rules, shared, token_counts
 from tests.llm import fixtures
 from tests.parity import compare, connect
 
@@ -28,6 +28,7 @@ def test_awkward_documents(name, kind, spark, tmp_path):
 
 def test_awkward_conversations(spark, tmp_path):
     rows = [(1, 0, "user", "hi"), (1, 1, "bot", None), (1, 1, "bot", None), (1, 1, "ann", "<|end|> <|assistant|>"), (1, None, None, "?"), (1, 5000, "user", "far"),
+            (4, 0, 'x"|>', "who"), (4, 1, "<|y", "me"),
             (2, 0, "user", ""), (None, 0, "a", "x"), (None, 1, "b", "y"), (3, 0, None, "nobody")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("own", "said", "speaker", "block", "at")})
     folder = fixtures.saved(spark, tmp_path, df, "conversations")
@@ -36,6 +37,8 @@ def test_awkward_conversations(spark, tmp_path):
     compare(queries.op3_perspectives(spark, folder), con, SQL["op3_perspectives"])
     assert chat.perspectives(df.limit(0)).count() == 0
     whole = "".join(r["segment"] for r in chat.perspectives(df.where("conv_id = 1")).where("perspective = 'bot'").orderBy("seg_start").collect())
+    heads = {r["segment"] for r in chat.perspectives(df.where("conv_id = 4")).collect()}
+    assert '<|user name="x\\"| >"|>who<|end|>\n' in heads and '<|user name="< |y"|>me<|end|>\n' in heads
     assert whole.count("<|assistant|>") == 2 and whole.endswith("far<|end|>\n")
 
 
@@ -43,12 +46,18 @@ def test_dropping(spark):
     docs = fixtures.documents(spark, clashing=True)
     out = exact_dedup.drop_exact_copies(docs)
     assert out.columns == docs.columns
-    norm = F.lower("text")
-    assert out.where("doc_id is not null").groupBy(norm).count().where("count > 2").count() == 0
+    norm = F.translate(F.coalesce("text", F.lit("")), exact_dedup.UPPER, exact_dedup.UPPER.lower())
+    assert out.groupBy(norm).count().where("count > 1").count() == 0 and out.select(norm).distinct().count() == docs.select(norm).distinct().count()
     ids = {r[0] for r in out.select("doc_id").collect()}
     assert 102 in ids and 100 not in ids and 131 in ids and 130 not in ids
-    kept = {r[0] for r in quality_rules.keep_good(docs).select("doc_id").collect()}
+    good = quality_rules.keep_good(docs)
+    kept = {r[0]: r[1] for r in good.select("doc_id", "text").collect()}
+    assert good.columns == docs.columns
     assert 230 not in kept and 205 in kept and 140 not in kept and 141 in kept and 131 not in kept
+    line = "Shared line of the site here"
+    assert line in kept[200] and line not in kept[205] and kept[205] == fixtures.prose("en", 30, "s5")
+    whole = {r[0]: r[1] for r in quality_rules.keep_good(docs, strike=False).select("doc_id", "text").collect()}
+    assert whole.keys() == kept.keys() and whole[205] == f"{line}\n{kept[205]}"
 
 
 def test_struck_texts(spark, tmp_path):
@@ -80,3 +89,31 @@ def test_ledger(spark, tmp_path):
     assert ledger.commit("3", token_counts.deletes(df.where("source is null"))) and ledger.commit("4", token_counts.inserts(df.limit(0)))
     again = token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger")
     assert [tuple(r) for r in again.totals().collect()] == [("s", "en", "v1", 2, 13)]
+
+
+def test_ledger_of_two_writers(spark, tmp_path, monkeypatch):
+    """Two writers of one batch, each of whom sees none before it writes: the batch counts once. Ids may be any texts."""
+    row = spark.createDataFrame([("s", "en", "v1", 5, "x")], "source string, lang string, version string, tokens long, d_tokens string")
+    one, two = (token_counts.TokenLedger(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    odd = "a/b=c:*?\n"
+    assert one.commit("x", token_counts.inserts(row))
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.TokenLedger, "committed", lambda self, batch_id: False)
+        assert one.commit(odd, token_counts.inserts(row)) and not two.commit(odd, token_counts.inserts(row))
+    assert [tuple(r) for r in two.totals().collect()] == [("s", "en", "v1", 2, 10)]
+    state = one._state()
+    monkeypatch.setattr(token_counts.TokenLedger, "_state", lambda self: state)
+    assert one.compact() and not two.compact()  # both from the same state: the first stands
+    monkeypatch.undo()
+    assert not one.commit(odd, token_counts.inserts(row)) and two.commit("y", token_counts.inserts(row))
+    assert [tuple(r) for r in one.totals().collect()] == [("s", "en", "v1", 3, 15)]
+    two.vacuum()
+    assert one.committed("x") and one.committed("y") and [tuple(r) for r in one.totals().collect()] == [("s", "en", "v1", 3, 15)]
+    assert one.compact() and len(one._state()[0]) == 1 and one.totals().count() == 1
+
+
+def test_written_tables_are_cleared(spark):
+    df = shared.written(spark.range(3), "cleared")
+    kept = shared.written(spark.range(3), "cleared")
+    shared.removed(df)
+    assert kept.count() == 3 and shared.cleared(spark) >= 1 and shared.cleared(spark) == 0

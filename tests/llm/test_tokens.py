@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -65,6 +66,34 @@ def test_cache_is_emptied():
         assert enc.encode(raw, np.array([0, len(raw)]))[0].tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+def test_pieces_of_one_hash(monkeypatch):
+    """Pieces that share their hash are told apart by their bytes."""
+    monkeypatch.setattr(bpe.Encoder, "_hashes", lambda self, data, starts, lengths: np.full(len(starts), 77, np.uint64))
+    enc = bpe.Encoder(bpe.Vocabulary.from_ranks(RANKS))
+    for text in ("one two three", "one ones on two!", "three one"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert enc.encode(raw, np.array([0, len(raw)]))[0].tolist() == TIKTOKEN.encode_ordinary(text)
+
+
+def test_op10(spark, tmp_path):
+    """Token totals by the libraries, for texts of at least 20 words."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    one = tiktoken.Encoding("one", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for _, text, lang, source, _ in fixtures.rows():
+        if len([w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]) >= 20:
+            for version, enc in (("byte_bpe_50k", one), ("byte_bpe_multi_50k", TIKTOKEN)):
+                n = len(enc.encode_ordinary(text))
+                for key in (("source_lang", source, lang), ("source", source, None), ("lang", None, lang), ("all", None, None)):
+                    docs, tokens = want.get((*key, version), (0, 0))
+                    want[*key, version] = (docs + 1, tokens + n)
+    folder = fixtures.saved(spark, tmp_path, fixtures.documents(spark, clashing=True))
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in queries.op10_token_rollups(spark, folder).select("level", "source", "lang", "version", "n_docs", "n_tokens").collect()}
+    assert got == want
+    assert queries.op10_token_rollups(spark, fixtures.saved(spark, tmp_path / "e", fixtures.empty(spark))).count() == 0
+
+
 def test_op8(spark, tmp_path):
     folder = fixtures.saved(spark, tmp_path, fixtures.documents(spark, clashing=True))
     got = sorted(tuple(r) for r in queries.op8_byte_bpe(spark, folder).fillna(-1, ["doc_id"]).collect())
