@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import exact_dedup, langid, minhash, packing, quality_rules
-from peakloom.llm.shared import bucket_of, id_key, table, text_of, written
+from peakloom.llm.shared import bucket_of, id_key, removed, table, text_of, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, margin: float = 1.1) -> DataFrame:
@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, margin: float =
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that fail the base rules or that frequent lines of their source deplete."""
+    """Drops texts that fail the base rules or that frequent lines of their source deplete; strikes these lines from the texts it keeps."""
     return quality_rules.keep_good(docs)
 
 
@@ -64,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over documents, each one's result written and read again, and its predecessor's deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            removed(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
