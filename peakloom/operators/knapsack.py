@@ -2,8 +2,8 @@
 
 The chart of masses by residues follows from one bit per mass: a mass is
 reachable with residue r last if the mass without r is reachable or a seed. The
-bits are a few megabytes at any number of spectra; they are built once, saved,
-and read by each worker.
+bits are some megabytes at any number of spectra; they are built once, can be
+saved and loaded, and go to each executor once, as a broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ class Knapsack:
         at = max(0, low + 1)
         return at + np.flatnonzero(self.reach[at : max(at, high)])
 
+    @cached_property
     def counts(self) -> np.ndarray:
         """How many masses below each scaled mass are reachable; an interval has one if its ends' counts differ."""
         return np.concatenate(([0], np.cumsum(self.reach, dtype=np.int32)))

@@ -4,42 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.constants import RESIDUE_MASSES
 from peakloom.functions.masses import masses
 from peakloom.operators.ordered import running
+from peakloom.storage import written
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and sizes of a column of lists of doubles; null lists are empty."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+    return column.values.to_numpy(zero_copy_only=False).astype(np.float64), offsets[:-1], sizes
+
+
+def walked(targets: pa.Array, predicted: pa.Array, cumulative: float, individual: float) -> np.ndarray:
+    """matched_residues of two columns; all rows of a batch walk side by side."""
+    (t, t_at, t_size), (p, p_at, p_size) = _lists(targets), _lists(predicted)
+    t, p = np.append(t, 0.0), np.append(p, 0.0)
+    count = np.zeros(len(t_at), np.int32)
+    row = np.flatnonzero((t_size > 0) & (p_size > 0))
+    i, j, t_end, p_end = t_at[row], p_at[row], (t_at + t_size)[row], (p_at + p_size)[row]
+    a, b = t[i], p[j]
+    while len(row):
+        near = np.abs(a - b) < cumulative
+        lighter = ~near & (b > a)
+        count[row] += near & (np.abs(t[i] - p[j]) < individual)
+        i, j = i + (near | lighter), j + ~lighter
+        live = (i < t_end) & (j < p_end)
+        row, i, j, t_end, p_end, near, lighter, a, b = (x[live] for x in (row, i, j, t_end, p_end, near, lighter, a, b))
+        a, b = a + np.where(near | lighter, t[i], 0.0), b + np.where(lighter, 0.0, p[j])
+    return count
 
 
 def matched_residues(target: Column, predicted: Column, cumulative: float = 0.5, individual: float = 0.1) -> Column:
     """Residues that agree in a walk along two mass lists.
 
     Where the prefix masses are within `cumulative`, a pair of residues counts if their masses are within
-    `individual`, and both lists advance; else the list of the lighter prefix advances.
+    `individual`, and both lists advance; else the list of the lighter prefix advances. Each step depends on the one
+    before, which column functions can only say by an interpreted fold; Arrow batches walk many rows at once.
     """
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("j"), F.get(target, 0).alias("a"), F.get(predicted, 0).alias("b"), F.lit(0).alias("n")
-    )
 
-    def step(s: Column, _: Column) -> Column:
-        near = F.abs(s["a"] - s["b"]) < cumulative
-        lighter = ~near & (s["b"] > s["a"])
-        hit = near & (F.abs(F.get(target, s["i"]) - F.get(predicted, s["j"])) < individual)
-        i = s["i"] + F.when(near | lighter, 1).otherwise(0)
-        j = s["j"] + F.when(near | ~lighter, 1).otherwise(0)
-        live = (s["i"] < F.size(target)) & (s["j"] < F.size(predicted))
-        moved = F.struct(
-            i.alias("i"), j.alias("j"),
-            (s["a"] + F.when(near | lighter, F.coalesce(F.get(target, i), F.lit(0.0))).otherwise(0.0)).alias("a"),
-            (s["b"] + F.when(near | ~lighter, F.coalesce(F.get(predicted, j), F.lit(0.0))).otherwise(0.0)).alias("b"),
-            (s["n"] + F.when(hit, 1).otherwise(0)).alias("n"),
-        )
-        return F.when(live, moved).otherwise(s)
-
-    steps = F.sequence(F.lit(1), F.size(target) + F.size(predicted))
-    walked = F.aggregate(steps, start, step, lambda s: s["n"])
-    return F.when((F.size(target) > 0) & (F.size(predicted) > 0), walked).otherwise(F.lit(0))
+    @F.arrow_udf("int")
+    def walk(t: pa.Array, p: pa.Array) -> pa.Array:
+        return pa.array(walked(t, p, cumulative, individual))
+
+    return walk(target, predicted)
 
 
 def matches(
@@ -109,11 +124,15 @@ def precision_recall_rollup(matched: DataFrame, group: str) -> DataFrame:
 
 
 def aa_error_rate(df: DataFrame, target: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Edits between token lists over the targets' tokens; I counts as L. Each token stands for one character."""
-    names = F.array(*[F.lit(t) for t in RESIDUE_MASSES])
-    same = lambda t: F.when(t == "I", "L").otherwise(t)
-    as_text = lambda c: F.array_join(F.transform(F.col(c), lambda t: F.char(F.lit(33) + F.array_position(names, same(t)).cast("int"))), "")
-    rows = df.select(*by, F.levenshtein(as_text(target), as_text(predicted)).alias("edits"), F.size(target).alias("n"))
+    """Edits between token lists over the targets' tokens; I counts as L.
+
+    Each different token of a row's two lists stands for one character, also those that no table has.
+    """
+    same = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.when(t == "I", "L").otherwise(t))
+    rows = df.select(*by, same(target).alias("t"), same(predicted).alias("p")).withColumn("names", F.array_distinct(F.concat("t", "p")))
+    as_text = lambda c: F.array_join(F.transform(F.col(c), lambda t: F.char(F.lit(33) + F.array_position("names", t).cast("int"))), "")
+    many = F.when(F.size("names") > 222, F.raise_error(F.lit("more than 222 different tokens in a row")).cast("int"))  # characters that char() tells apart
+    rows = rows.select(*by, F.coalesce(many, F.levenshtein(as_text("t"), as_text("p"))).alias("edits"), F.size("t").alias("n"))
     return rows.groupBy(*by).agg(F.sum("edits").alias("n_edits"), F.sum("n").alias("n_ref")).withColumn("aa_er", F.try_divide("n_edits", "n_ref"))
 
 
@@ -165,8 +184,8 @@ def pr_auc(curve: DataFrame) -> DataFrame:
 
 
 def running_precision(matched: DataFrame, confidence: str = "confidence", order: str = "id") -> DataFrame:
-    """matched with rank, precision and recall among the predictions of that confidence or more, ties by id."""
-    ranked = running(matched, [F.col(confidence).desc(), F.col(order)], {"found": F.col("pep_match")})
+    """id, confidence and pep_match of matched, with rank, matches found and precision among the predictions of that confidence or more, ties by id."""
+    ranked = running(matched.select(order, confidence, "pep_match"), [F.col(confidence).desc(), F.col(order)], {"found": F.col("pep_match")})
     return ranked.withColumn("precision", F.col("found") / F.col("rank"))
 
 
@@ -183,11 +202,8 @@ def recall_at_fdr(matched: DataFrame, fdr: float = 0.05, confidence: str = "conf
 
 
 def recall_at_fdr_by(matched: DataFrame, by: str, fdr: float = 0.05, confidence: str = "confidence", order: str = "id") -> DataFrame:
-    """recall_at_fdr for each group, by a window within the group."""
-    inside = Window.partitionBy(by).orderBy(F.col(confidence).desc(), F.col(order))
-    ranked = matched.withColumns({
-        "rank": F.row_number().over(inside), "found": F.sum("pep_match").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
-    })
+    """recall_at_fdr for each group; ranks run within groups over range partitions, so a large group spreads over many tasks."""
+    ranked = running(matched.select(by, confidence, order, "pep_match"), [F.col(confidence).desc(), F.col(order)], {"found": F.col("pep_match")}, by=by)
     good = F.col("found") / F.col("rank") > 1 - fdr
     last = F.max_by(F.struct("rank", "found", F.col(confidence).alias("c")), F.when(good, F.col("rank")))
     return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("g"), last.alias("last")).select(
@@ -209,23 +225,48 @@ def threshold_counts(df: DataFrame, confidence: str, flags: dict[str, Column], p
     return rows.select((F.col("k") / (points - 1)).alias("threshold"), *[F.sum(F.coalesce(n, F.lit(0))).over(above).alias(n) for n in flags])
 
 
-def report(matched: DataFrame, fdr: float = 0.05, max_ppm: float = 20, min_confidence: float = 1e-4, confidence: str = "confidence", ppm: str = "delta_mass_ppm") -> DataFrame:
-    """The evaluation report in long form: section and the columns of precision_recall.
+def strict_curve(matched: DataFrame, confidence: str = "confidence", points: int = 100) -> DataFrame:
+    """threshold, tp, fp, fn, precision and recall over a grid of thresholds from 0 to 1.
+
+    Predictions of a confidence strictly above the threshold count as tp if they match and as fp if not; matches that
+    fail it are fn. Ratios of nothing are null. One pass makes a histogram; the counts are its sums from the top.
+    """
+    c, last = F.col(confidence), points - 1
+    cell = F.ceil(c * last).cast("int") - 1  # the last grid point below the confidence, but for rounding
+    cell = F.when((cell + 1) / last < c, cell + 1).when(cell / last >= c, cell - 1).otherwise(cell)
+    hit = F.coalesce(F.col("pep_match") == 1, F.lit(False))
+    known = matched.where(c.isNotNull())
+    sums = known.groupBy(F.greatest(F.lit(-1), F.least(F.lit(last), cell)).alias("k")).agg(F.count_if(hit).alias("m"), F.count_if(~hit).alias("x"))
+    grid = matched.sparkSession.range(-1, points).select(F.col("id").cast("int").alias("k"))
+    above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.orderBy(F.desc("k")).rowsBetween(1, Window.unboundedFollowing)
+    n = lambda c, w: F.sum(F.coalesce(c, F.lit(0))).over(w)
+    rows = grid.join(sums, "k", "left").select("k", n("m", above).alias("tp"), n("x", above).alias("fp"), F.coalesce(n("m", below), F.lit(0)).alias("fn"))
+    return rows.where("k >= 0").select(
+        (F.col("k") / last).alias("threshold"), "tp", "fp", "fn", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"),
+        F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"),
+    )
+
+
+def report(
+    matched: DataFrame, fdr: float = 0.05, max_ppm: float = 20, min_confidence: float = 1e-4, confidence: str = "confidence", ppm: str = "delta_mass_ppm",
+    by: str | None = None, order: str = "id",
+) -> DataFrame:
+    """The evaluation report in long form: section and the columns of precision_recall, with the group where there is `by`.
 
     Sections: all predictions; those at the false discovery rate; those within max_ppm; those above min_confidence.
-    Predictions that a filter fails count as empty, their targets stay.
+    Predictions that a filter fails count as empty, their targets stay. Groups each have their own threshold. The
+    matches are computed and written once; all sections are sums of one pass over them.
     """
-    at = recall_at_fdr(matched, fdr, confidence).select(F.col("threshold").alias("__at"))
-    blank = lambda ok: matched.withColumns({c: F.when(ok, F.col(c)).otherwise(0) for c in ("n_pred", "n_match", "pep_match")})
-    limit = at.first()["__at"]  # one number
-    parts = {
-        "all": precision_recall(matched),
-        "fdr": precision_recall(matched, confidence=confidence, threshold=limit),
-        "ppm": precision_recall(blank(F.col(ppm) < max_ppm)),
-        "confidence": precision_recall(blank(F.col(confidence) > min_confidence)),
+    groups = [by] if by is not None else []
+    rows = written(matched.select(*groups, order, confidence, F.col(ppm).alias("__ppm"), "n_targ", "n_pred", "n_match", "pep_match"), "matches")
+    at = recall_at_fdr_by(rows, by, fdr, confidence, order).drop("recall") if by is not None else recall_at_fdr(rows, fdr, confidence, order).select("threshold")
+    joined = rows.join(F.broadcast(at.withColumnRenamed(by, "__g")), F.col(by).eqNullSafe(F.col("__g"))) if by is not None else rows.join(F.broadcast(at))
+    some = F.col("n_pred") > 0
+    conditions = {
+        "all": some, "fdr": some & F.coalesce(F.col(confidence) >= F.col("threshold"), F.lit(False)),
+        "ppm": some & F.coalesce(F.col("__ppm") < max_ppm, F.lit(False)), "confidence": some & F.coalesce(F.col(confidence) > min_confidence, F.lit(False)),
     }
-    out = None
-    for name, part in parts.items():
-        part = part.select(F.lit(name).alias("section"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    sections = F.array(*[F.struct(F.lit(n).alias("section"), *_sums(c)) for n, c in conditions.items()])
+    counts = joined.groupBy(*groups).agg(sections.alias("s")).select(*groups, F.inline("s"))
+    return counts.select(*groups, "section", "n_targ_aa", "n_pred_aa", "n_match_aa", "n_targ_pep", "n_pred_pep", "n_match_pep", *_ratios())

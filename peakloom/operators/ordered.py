@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.storage import written
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
-    """df with its rank (from 1) in the order and running sums up to each row.
 
-    Rows are range-partitioned by the order; ranks and sums within a partition then start at the totals of the
-    partitions before it, of which there is one row for each partition. The order should be total.
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank", by: str | None = None) -> DataFrame:
+    """df with its rank (from 1) in the order and running sums up to each row; within each group where there is `by`.
+
+    Rows are range-partitioned by the order and written once with their partition's number, so that totals and ranks
+    come from the same partitions whatever the optimiser makes of the plan, and whatever executor is lost. Ranks and
+    sums within a partition then start at the totals of the partitions before it, of which there is one row for each
+    partition (and group that it holds). The order should be total. Of a group whose name is null the rows are ranked
+    as those of any other.
     """
     sums = sums or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    totals = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__{k}").alias(f"__s_{k}") for k in sums])
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    keys, order = (["__by"], [F.col("__by"), *order]) if by is not None else ([], order)
+    named = df.withColumn("__by", F.struct(by)) if by is not None else df
+    ranged = named.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(parts, *order)
+    ranged = written(ranged.withColumn("__part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("__part", *keys).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__{k}").alias(f"__s_{k}") for k in sums])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     base = totals.select(
-        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"),
+        "__part", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"),
         *[F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums],
     )
-    inside = Window.partitionBy("__part").orderBy(*order)
+    inside = Window.partitionBy("__part", *keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({rank: F.row_number().over(inside), **{k: F.sum(f"__{k}").over(upto) for k in sums}})
-    out = local.join(F.broadcast(base), "__part")  # a row for each partition
+    out = local.join(F.broadcast(base), ["__part", *keys])
     out = out.withColumns({rank: F.col(rank) + F.col("__b"), **{k: F.col(k) + F.col(f"__b_{k}") for k in sums}})
-    return out.drop("__part", "__b", *[f"__{k}" for k in sums], *[f"__b_{k}" for k in sums])
+    return out.select(*df.columns, rank, *sums)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

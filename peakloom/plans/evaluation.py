@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.masses import delta_mass_ppm, matches_precursor
 from peakloom.operators import metrics
-from peakloom.operators.joins import keep_unrefined
+from peakloom.operators.joins import keep_unrefined, with_group
 from peakloom.plans import derive, sql
 
 QUERIES: dict = {}
@@ -140,6 +140,32 @@ def eval_report(spark, sf_dir):
     return _rounded(metrics.report(_with_errors(spark, sf_dir), 0.1, 20.5, 0.4), *RATIOS)
 
 
+@query("eval_report_by_group", f"""{_REPORT}{sql.GROUPS}, g AS (SELECT d.*, coalesce(grp, 'no_group') AS grp2 FROM d LEFT JOIN gm USING (id)),
+    go AS (SELECT grp2, confidence, row_number() OVER w AS rn, sum(pep_match) OVER w AS f FROM g WINDOW w AS (PARTITION BY grp2 ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING)),
+    gl AS (SELECT grp2, confidence AS t FROM go WHERE f::DOUBLE / rn > 1 - 0.1 QUALIFY row_number() OVER (PARTITION BY grp2 ORDER BY rn DESC) = 1)
+    SELECT grp2 AS "group", 'all' AS section, {sql.ratios()} FROM (SELECT *, n_pred > 0 AS c FROM g) GROUP BY grp2
+    UNION ALL SELECT grp2, 'fdr', {sql.ratios()} FROM (SELECT g.*, n_pred > 0 AND confidence >= coalesce(t, 1.0) AS c FROM g LEFT JOIN gl USING (grp2)) GROUP BY grp2
+    UNION ALL SELECT grp2, 'ppm', {sql.ratios()} FROM (SELECT *, n_pred > 0 AND ppm < 20.5 AS c FROM g) GROUP BY grp2
+    UNION ALL SELECT grp2, 'confidence', {sql.ratios()} FROM (SELECT *, n_pred > 0 AND confidence > 0.4 AS c FROM g) GROUP BY grp2""")
+def eval_report_by_group(spark, sf_dir):
+    grouped = with_group(_with_errors(spark, sf_dir), derive.group_map(spark, sf_dir), "id")
+    return _rounded(metrics.report(grouped, 0.1, 20.5, 0.4, by="group"), *RATIOS)
+
+
+@query("aa_error_rate_by_group", f"""WITH {sql.PSM_X}{sql.GROUPS}, e AS (SELECT coalesce(grp, 'no_group') AS g, levenshtein({_AS_TEXT.format(x='ti')}, {_AS_TEXT.format(x='pi')}) AS d, len(ti) AS n FROM px LEFT JOIN gm USING (id))
+    SELECT g AS "group", CAST(sum(d) AS BIGINT) AS n_edits, CAST(sum(n) AS BIGINT) AS n_ref, round(sum(d)::DOUBLE / sum(n), 9) AS aa_er FROM e GROUP BY g""")
+def aa_error_rate_by_group(spark, sf_dir):
+    return _rounded(metrics.aa_error_rate(derive.psm_grouped(spark, sf_dir), "targets", "predictions", ("group",)), "aa_er")
+
+
+@query("strict_curve", f"""WITH {sql.PSM_X}{sql.matched('px', 'pi')}, k AS (SELECT unnest(range(0, 100)) / 99 AS threshold),
+    c AS (SELECT threshold, count(*) FILTER (pep_match = 1 AND confidence > threshold) AS tp, count(*) FILTER (pep_match = 0 AND confidence > threshold) AS fp,
+          count(*) FILTER (pep_match = 1 AND confidence <= threshold) AS fn FROM k, mt GROUP BY threshold)
+    SELECT round(threshold, 9) AS threshold, tp, fp, fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) END AS recall FROM c""")
+def strict_curve(spark, sf_dir):
+    return _rounded(metrics.strict_curve(metrics.matches(derive.psm_x(spark, sf_dir))), "threshold", "precision", "recall")
+
+
 @query("ppm_filtered_eval", f"{_REPORT} SELECT {sql.ratios()} FROM (SELECT *, n_pred > 0 AND ppm < 20.5 AS c FROM d)")
 def ppm_filtered_eval(spark, sf_dir):
     df = _with_errors(spark, sf_dir)
