@@ -50,10 +50,12 @@ LEGACY_COLUMNS = {
     "Sequence": "sequence", "Modified sequence": "modified_sequence", "MS/MS m/z": "precursor_mz", "Charge": "precursor_charge",
     "Mass values": "mz_array", "Intensity": "intensity_array",
 }
+
+# Columns that identify a spectrum in outputs.
 INDEX_COLUMNS = (
-    "id experiment_name evidence_index scan_number spectrum_id global_index spectrum_index file_index sample file index fileno "
-    "precursor_mz precursor_charge"
-).split()
+    "id", "experiment_name", "evidence_index", "scan_number", "spectrum_id", "global_index", "spectrum_index", "file_index", "sample", "file",
+    "index", "fileno", "precursor_mz", "precursor_charge",
+)
 
 # Fixed value: a standalone modification, or a residue with one.
 _MOD = r"\[[^\]]+\]|\([^)]+\)|[+-]?\d+(?:\.\d+)?|[+-]?\.\d+"

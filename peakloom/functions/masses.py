@@ -49,6 +49,13 @@ def ppm_error(theoretical: Column, measured: Column, charge: Column, isotope: Co
     return (theoretical - (measured - shift)) / measured * 1e6
 
 
+def isotope_range(given: int | tuple[int, int] | list[int] | None = None) -> tuple[int, int]:
+    """The first and last number of isotopes: 0 and 1 by default, 0 and n for a number, a pair as it is."""
+    if given is None:
+        return 0, 1
+    return (0, given) if isinstance(given, int) else (given[0], given[1])
+
+
 def ppm_errors(theoretical: Column, measured: Column, charge: Column, isotopes: tuple[int, int] = (0, 1)) -> Column:
     """The errors for each number of isotopes in the range, both ends included."""
     return F.array(*[ppm_error(theoretical, measured, charge, k) for k in range(isotopes[0], isotopes[1] + 1)])

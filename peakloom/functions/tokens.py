@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peakloom.constants import EOS, PAD, RESIDUE_MASSES, SPECIAL_TOKENS, TOKEN_PATTERN
+from peakloom.constants import EOS, PAD, RESIDUE_MASSES, RESIDUE_REMAPPING, SPECIAL_TOKENS, TOKEN_PATTERN
 
 STRINGS = "array<string>"
 
@@ -55,6 +55,21 @@ def remove_modifications(peptide: Column, equate_il: bool = True) -> Column:
     return F.translate(bare, "I", "L") if equate_il else bare
 
 
+def normalised(peptide: Column) -> Column:
+    """Capital letters alone, I as L before modifications go: UNIMOD names are then cut as they read with L."""
+    return F.regexp_replace(F.replace(F.translate(peptide, "I", "L"), F.lit("UNLMOD"), F.lit("")), "[^A-Z]", "")
+
+
+def upgraded(table: Mapping[str, float], names: Mapping[str, str] = RESIDUE_REMAPPING) -> dict[str, float]:
+    """A residue table of an old model under the present names; residues that have no other name keep theirs."""
+    return {names.get(token, token): mass for token, mass in table.items()}
+
+
+def in_vocabulary(token: Column, vocab: list[str]) -> Column:
+    """Whether a token is a residue of the vocabulary; special tokens count."""
+    return token.isin(vocab)
+
+
 def remap(tokens: Column, mapping: Mapping[str, str]) -> Column:
     """Tokens under their other names where the mapping has one."""
     names = map_of(mapping)

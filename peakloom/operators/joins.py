@@ -84,3 +84,10 @@ def keep_unrefined(refined_match: Column, refined_log_prob: Column, earlier_matc
     return (
         (earlier_log_prob < F.log(F.lit(threshold))) & (earlier_match.cast("int") > refined_match.cast("int")) & (earlier_log_prob > refined_log_prob)
     )
+
+
+def two_stage(first: DataFrame, second: DataFrame, key: str, prefixes: tuple[str, str] = ("first_", "second_"), final: tuple[str, ...] = ("predictions", "log_prob")) -> DataFrame:
+    """Outputs of a prediction and of its refinement side by side, each under its prefix, and the refinement's once more without one."""
+    a = first.select(key, *[F.col(c).alias(prefixes[0] + c) for c in first.columns if c != key])
+    b = second.select(key, *[F.col(c).alias(prefixes[1] + c) for c in second.columns if c != key])
+    return a.join(b, key, "left").withColumns({c: F.col(prefixes[1] + c) for c in final})

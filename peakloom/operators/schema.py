@@ -69,6 +69,13 @@ def with_prediction_ids(df: DataFrame, order: list[Column], name: str = "predict
     return running(df, order, rank=name).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
+def with_metadata(df: DataFrame, expected: dict[str, Column], metadata: tuple[str, ...] = ()) -> DataFrame:
+    """The columns that a processing step makes, and metadata columns of df beside them, unchanged."""
+    if gone := [c for c in metadata if c not in df.columns]:
+        raise ValueError(f"Column(s) missing! Missing column(s): {', '.join(gone)}")
+    return df.select(*[F.col(f"`{c}`") for c in metadata if c not in expected], *[v.alias(k) for k, v in expected.items()])
+
+
 def index_columns(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return df.select([c for c in (*INDEX_COLUMNS, *extra) if c in df.columns])
 

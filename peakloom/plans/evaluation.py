@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from peakloom.functions.masses import delta_mass_ppm, matches_precursor
 from peakloom.operators import metrics
 from peakloom.operators.joins import keep_unrefined, with_group
 from peakloom.plans import derive, sql
+from peakloom.sources.loader import read_predictions
+from peakloom.sources.sinks import write_csv
+from peakloom.storage import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -218,6 +223,26 @@ def mapped_by_threshold(spark, sf_dir):
     return metrics.threshold_counts(derive.psm_x(spark, sf_dir), "confidence", flags).withColumn("threshold", F.round("threshold", 9))
 
 
+@query("mapped_by_protein", f"""WITH {sql.PSM_X}, {_GRID}, b AS (SELECT CASE WHEN id % 4 <> 0 THEN 'P' || CAST(id % 97 AS VARCHAR) END AS protein_id, CAST(least(49, floor(confidence * 49 + 1e-9)) AS INTEGER) AS cell FROM px)
+    SELECT round(k / 49, 9) AS threshold, count(protein_id) AS mapped, count(cell) - count(protein_id) AS unmapped FROM k LEFT JOIN b ON cell >= k GROUP BY k""")
+def mapped_by_protein(spark, sf_dir):
+    """Mapped predictions are those with a protein in a table of predictions as CSV files hold it."""
+    path = f"{shared_dir(spark)}/mapped-{uuid.uuid4().hex}"
+    protein = F.when(F.col("id") % 4 != 0, F.concat(F.lit("P"), (F.col("id") % 97).cast("string")))
+    write_csv(derive.psm_x(spark, sf_dir).select("id", "confidence", protein.alias("protein_id")), path)
+    rows = read_predictions(spark, path, "id", "protein_id", "confidence")
+    flags = {"mapped": F.col("protein_id").isNotNull(), "unmapped": F.col("protein_id").isNull()}
+    return metrics.threshold_counts(rows, "confidence", flags).withColumn("threshold", F.round("threshold", 9))
+
+
+@query("normalised_recall", f"""WITH {sql.PSM_X} SELECT round(avg(CASE WHEN {_STRIP.format(x='ti')} = {_STRIP.format(x='pi')} THEN 1.0 ELSE 0.0 END), 9) AS recall FROM px""")
+def normalised_recall(spark, sf_dir):
+    from peakloom.functions.tokens import normalised
+
+    bare = lambda c: normalised(F.array_join(c, ""))
+    return derive.psm_x(spark, sf_dir).agg(F.round(F.avg((bare("targets") == bare("predictions")).cast("double")), 9).alias("recall"))
+
+
 @query("first_threshold_at_precision", f"""WITH {sql.PSM_X}{sql.matched('px', 'pi')}, {_GRID}, b AS (SELECT pep_match, CAST(least(49, floor(confidence * 49 + 1e-9)) AS INTEGER) AS cell FROM mt),
     c AS (SELECT k, count(*) FILTER (pep_match = 1) / count(*) AS p FROM k JOIN b ON cell >= k GROUP BY k) SELECT round(min(k / 49) FILTER (p >= 0.9), 9) AS threshold FROM c""")
 def first_threshold_at_precision(spark, sf_dir):

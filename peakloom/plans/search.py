@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import base64
+import struct
 import uuid
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from peakloom.constants import AMINO_ACIDS
 from peakloom.functions.tokens import remove_modifications
-from peakloom.operators import decode, knapsack
+from peakloom.operators import decode, joins, knapsack
 from peakloom.plans import derive
-from peakloom.sources import loader, sinks
+from peakloom.sources import convert, loader, sinks
+from peakloom.storage import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -69,16 +72,26 @@ def score_sequences(spark, sf_dir):
 
 @query("knapsack_build")
 def knapsack_build(spark, sf_dir):
-    """Reachable masses of the toy alphabet: the rows are their number in each hundred dalton."""
-    toy = {"A": 10.5, "B": 20.75, "C": 15.68, "D": 18.25, "E": 12.33}
-    chart = knapsack.build(toy, 4000.0, 10000, 2)
-    rows = spark.createDataFrame(pa.table({"mass": chart.masses}))
-    return rows.groupBy(F.floor(F.col("mass") / 1000000).alias("hundred")).agg(F.count(F.lit(1)).alias("n"))
+    """Reachable masses of the real residues up to 2,400 dalton: their number in each hundred dalton.
+
+    The chart goes to the executors as packed bits, and tasks look up runs of masses in it.
+    """
+    bits = spark.sparkContext.broadcast(np.packbits(_chart().reach))
+    size, run = len(_chart().reach), 1 << 16
+
+    def rows(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                part = np.unpackbits(bits.value[k * run // 8 : (k + 1) * run // 8])[: size - k * run]
+                hundred, n = np.unique((k * run + np.flatnonzero(part)) // 100_000, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hundred, pa.int64()), pa.array(n, pa.int64())], ["hundred", "n"])
+
+    found = spark.range(-(-size // run)).mapInArrow(rows, "hundred long, n long")
+    return found.groupBy("hundred").agg(F.sum("n").alias("n"))
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/peakloom-checkpoints"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _spectra(spark, sf_dir):
@@ -131,3 +144,98 @@ def stream_ingest(spark, sf_dir):
     sinks.write_sharded(_spectra(spark, sf_dir), source, "demo", "train", 4000)
     run_once(spark, source, path, lambda df: df.where("precursor_charge > 0"))
     return _summary(spark.read.parquet(path))
+
+
+def _xml(kind: str):
+    """Rows of spectra as lines of one XML file for each partition."""
+
+    def mzml(r) -> str:
+        packed = lambda v: base64.b64encode(struct.pack(f"<{len(v)}d", *v)).decode()
+        array = lambda accession, v: f'<binaryDataArray><cvParam accession="{accession}"/><cvParam accession="MS:1000523"/><binary>{packed(v)}</binary></binaryDataArray>'
+        return (
+            f'<spectrum id="scan={r["scan_number"]}"><cvParam accession="MS:1000511" value="2"/><cvParam accession="MS:1000744" value="{r["precursor_mz"]!r}"/>'
+            f'<cvParam accession="MS:1000041" value="{r["precursor_charge"]}"/>{array("MS:1000514", r["mz_array"])}{array("MS:1000515", r["intensity_array"])}</spectrum>'
+        )
+
+    def mzxml(r) -> str:
+        pairs = [x for pair in zip(r["mz_array"], r["intensity_array"], strict=True) for x in pair]
+        return (
+            f'<scan num="{r["scan_number"]}" msLevel="2"><precursorMz precursorCharge="{r["precursor_charge"]}">{r["precursor_mz"]!r}</precursorMz>'
+            f'<peaks precision="64">{base64.b64encode(struct.pack(f">{len(pairs)}d", *pairs)).decode()}</peaks></scan>'
+        )
+
+    line, head, tail = {"mzml": (mzml, "<mzML><run>", "</run></mzML>"), "mzxml": (mzxml, "<mzXML><msRun>", "</msRun></mzXML>")}[kind]
+
+    def lines(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([line(r) for r in batch.to_pylist()], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([tail])], ["value"])
+
+    return lines
+
+
+def _from_xml(spark, sf_dir, kind, read):
+    path = _folder(spark)
+    rows = _spectra(spark, sf_dir).select("scan_number", "precursor_mz", "precursor_charge", "mz_array", "intensity_array")
+    rows.mapInArrow(_xml(kind), "value string").write.text(path)
+    return _summary(read(spark, path))
+
+
+@query("mzml_read", _ROUND)
+def mzml_read(spark, sf_dir):
+    return _from_xml(spark, sf_dir, "mzml", loader.read_mzml)
+
+
+@query("mzxml_read", _ROUND)
+def mzxml_read(spark, sf_dir):
+    return _from_xml(spark, sf_dir, "mzxml", loader.read_mzxml)
+
+
+@query("convert_job", f"SELECT * FROM ({_ROUND}) WHERE precursor_charge <= 2")
+def convert_job(spark, sf_dir):
+    source, target = _folder(spark), _folder(spark)
+    sinks.write_mgf(_spectra(spark, sf_dir), source)
+    convert.convert(spark, source, target, "demo", "valid", max_charge=2, shard_size=2000, source_type="mgf", scan_from="scans")
+    return _summary(loader.load_spectra(spark, target, name="demo", partition="valid"))
+
+
+@query("earlier_prediction_files", """SELECT CAST(o_orderkey AS VARCHAR) AS spectrum_id, 'P' || CAST(o_custkey % 50 AS VARCHAR) AS prediction,
+    CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000000, 6) END AS confidence FROM orders""")
+def earlier_prediction_files(spark, sf_dir):
+    """Two CSV files with other orders of columns and a further column, read as one table."""
+    o = derive.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("spectrum_id"), F.concat(F.lit("P"), (F.col("o_custkey") % 50).cast("string")).alias("prediction"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.round(F.col("o_totalprice") / 1000000, 6)).alias("confidence"), F.col("o_orderstatus").alias("further"), F.col("o_orderkey").alias("k"),
+    )
+    one, two = _folder(spark), _folder(spark)
+    sinks.write_csv(o.where("k % 2 = 0").drop("k"), one)
+    sinks.write_csv(o.where("k % 2 = 1").select("confidence", "prediction", "spectrum_id"), two)
+    return loader.read_predictions(spark, [one, two], "spectrum_id", "prediction", "confidence")
+
+
+@query("predictions_by_group_csv", """SELECT o_orderkey AS id, '["A","' || o_orderstatus || '"]' AS predictions, o_orderpriority AS "group" FROM orders""")
+def predictions_by_group_csv(spark, sf_dir):
+    path = _folder(spark)
+    o = derive.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.lit("A"), "o_orderstatus").alias("predictions"), F.col("o_orderpriority").alias("group"))
+    sinks.write_predictions(o, path, by_group=True)
+    return spark.read.option("header", True).option("escape", "\"").schema("id long, predictions string, `group` string").csv(path)
+
+
+@query("metrics_appended", """SELECT o_orderstatus AS run, count(*) AS n, CAST(NULL AS DOUBLE) AS price FROM orders GROUP BY 1
+    UNION ALL SELECT o_orderpriority, NULL, round(max(o_totalprice), 2) FROM orders GROUP BY 1""")
+def metrics_appended(spark, sf_dir):
+    path, o = _folder(spark), derive.table(spark, sf_dir, "orders")
+    sinks.append_metrics(o.groupBy(F.col("o_orderstatus").alias("run")).agg(F.count(F.lit(1)).alias("n")), path)
+    sinks.append_metrics(o.groupBy(F.col("o_orderpriority").alias("run")).agg(F.round(F.max("o_totalprice"), 2).alias("price")), path)
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select("run", F.col("n").cast("bigint").alias("n"), F.col("price").cast("double").alias("price"))
+
+
+@query("two_stage", """SELECT o_orderkey AS id, o_custkey AS first_predictions, o_totalprice AS first_log_prob, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + 1 END AS second_predictions,
+    CASE WHEN o_orderkey % 3 <> 0 THEN -o_totalprice END AS second_log_prob, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey + 1 END AS predictions,
+    CASE WHEN o_orderkey % 3 <> 0 THEN -o_totalprice END AS log_prob FROM orders""")
+def two_stage(spark, sf_dir):
+    o = derive.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("predictions"), F.col("o_totalprice").alias("log_prob"))
+    refined = o.where("id % 3 <> 0").select("id", (F.col("predictions") + 1).alias("predictions"), (-F.col("log_prob")).alias("log_prob"))
+    return joins.two_stage(o, refined, "id")

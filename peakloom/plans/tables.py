@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from peakloom.constants import AMINO_ACIDS
@@ -268,6 +270,61 @@ def feasible_masses_all(spark, sf_dir):
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("mass").alias("low"), F.max("mass").alias("high"))
 
 
+@query("file_begins", f"WITH {_RUNS}, c AS (SELECT run, count(*) AS rows FROM rn GROUP BY run) SELECT run, rows, CAST(coalesce(sum(rows) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin FROM c")
+def file_begins(spark, sf_dir):
+    from peakloom.sources.loader import file_begins
+
+    return file_begins(derive.runs(spark, sf_dir), "run")
+
+
+@query("split_manifest", """SELECT DISTINCT o_orderpriority AS sequence, CASE WHEN o_orderpriority < '3' THEN 'valid' ELSE 'train' END AS split FROM orders""")
+def split_manifest(spark, sf_dir):
+    from peakloom.sources.sinks import write_split_manifest
+    from peakloom.storage import shared_dir
+
+    path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sequence"), F.when(F.col("o_orderpriority") < "3", "valid").otherwise("train").alias("split"))
+    write_split_manifest(o, path, "sequence")
+    return spark.read.option("header", True).csv(path)
+
+
+@query("metadata_columns", "SELECT o_orderkey, o_orderstatus, round(o_totalprice / 200, 6) AS precursor_mz FROM orders")
+def metadata_columns(spark, sf_dir):
+    return schema.with_metadata(table(spark, sf_dir, "orders"), {"precursor_mz": F.round(F.col("o_totalprice") / 200, 6)}, ("o_orderkey", "o_orderstatus"))
+
+
+@query("padded_batches", """WITH s AS (SELECT l_orderkey AS id, l_orderkey // 32 AS batch, CAST(count(*) AS INTEGER) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY ALL)
+    SELECT id, CAST(max(n) OVER (PARTITION BY batch) AS INTEGER) AS width, CAST(max(n) OVER (PARTITION BY batch) - n AS INTEGER) AS n_padding, round(total, 6) AS total FROM s""")
+def padded_batches(spark, sf_dir):
+    from peakloom.operators.batches import padded
+
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_quantity").cast("double")).alias("values"))
+    done = padded(rows.withColumn("batch", F.floor(F.col("id") / 32)), "values", "batch")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return done.select("id", F.size("values").alias("width"), F.size(F.filter("mask", lambda m: m)).alias("n_padding"), F.round(total, 6).alias("total"))
+
+
+@query("union_strict", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def union_strict(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    part = lambda status: o.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey")
+    return schema.union_strict(part("F"), part("O"))
+
+
+@query("warmup_factor", "SELECT id, round(0.5 * (1 + cos(pi() * id / 1000)) * least(1.0, id / 100), 9) AS factor FROM range(0, 1000) t(id)")
+def warmup_factor(spark, sf_dir):
+    from peakloom.functions.numeric import warmup_factor
+
+    return spark.range(1000).select("id", F.round(warmup_factor(F.col("id"), 100, 1000), 9).alias("factor"))
+
+
+@query("sinusoids", "SELECT id, CAST(i AS INTEGER) AS i, round(CASE i % 2 WHEN 0 THEN sin(id * exp(-ln(10000.0) * 2 * (i // 2) / 8)) ELSE cos(id * exp(-ln(10000.0) * 2 * (i // 2) / 8)) END, 7) AS v FROM range(0, 100) t(id), range(0, 8) u(i)")
+def sinusoids(spark, sf_dir):
+    from peakloom.functions.numeric import sinusoids
+
+    return spark.range(100).select("id", F.posexplode(sinusoids(F.col("id"), 8)).alias("i", "v")).select("id", "i", F.round("v", 7).alias("v"))
+
+
 @query("legacy_columns", "SELECT o_orderkey AS precursor_mz, trim(o_orderstatus, '_') AS modified_sequence FROM orders")
 def legacy_columns(spark, sf_dir):
     from peakloom.sources.loader import from_legacy

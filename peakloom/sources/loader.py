@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import io
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -30,6 +31,8 @@ MS_LEVEL, CHARGE, SCAN_START, MZ_ARRAY, INTENSITY_ARRAY = "MS:1000511", "MS:1000
 PRECURSOR_MZ = ("MS:1000040", "MS:1000827", "MS:1000744")
 PEPTIDE, ZLIB, FLOAT32, FLOAT64 = "MS:1000889", "MS:1000574", "MS:1000521", "MS:1000523"
 MINUTES = "UO:0000031"
+#: Parsed spectra of a file that are held at once.
+SPECTRA = 1024
 
 
 def _tag(node) -> str:
@@ -43,7 +46,7 @@ def _floats(text: str, double: bool, packed: bool, order: str = "<") -> np.ndarr
 
 
 def parse_mzml(content: bytes) -> Iterator[dict]:
-    """The MS2 spectra of an mzML file."""
+    """The MS2 spectra of an mzML file. A missing precursor m/z or charge is 0."""
     ordinal = 0
     for _, node in ElementTree.iterparse(io.BytesIO(content)):
         if _tag(node) != "spectrum":
@@ -60,11 +63,11 @@ def parse_mzml(content: bytes) -> Iterator[dict]:
                     if kind in kinds:
                         arrays[kind] = _floats(text, FLOAT64 in kinds, ZLIB in kinds)
         if params.get(MS_LEVEL) == "2":
-            mz = next((float(params[a]) for a in PRECURSOR_MZ if params.get(a)), None)
+            mz = next((float(params[a]) for a in PRECURSOR_MZ if params.get(a)), 0.0)
             time = params.get(SCAN_START)
             yield {
                 "ordinal": ordinal, "label": node.get("id"), "sequence": params.get(PEPTIDE) or "", "precursor_mz": mz,
-                "precursor_charge": int(params[CHARGE]) if params.get(CHARGE) else None,
+                "precursor_charge": int(params[CHARGE]) if params.get(CHARGE) else 0,
                 "retention_time": float(time) if time else None,
                 "mz_array": arrays.get(MZ_ARRAY, np.zeros(0)), "intensity_array": arrays.get(INTENSITY_ARRAY, np.zeros(0)),
             }
@@ -73,7 +76,7 @@ def parse_mzml(content: bytes) -> Iterator[dict]:
 
 
 def parse_mzxml(content: bytes) -> Iterator[dict]:
-    """The MS2 scans of an mzXML file; peaks are interleaved pairs in network order."""
+    """The MS2 scans of an mzXML file; peaks are interleaved pairs in network order. A missing precursor m/z or charge is 0."""
     ordinal = 0
     for _, node in ElementTree.iterparse(io.BytesIO(content)):
         if _tag(node) != "scan":
@@ -89,8 +92,8 @@ def parse_mzxml(content: bytes) -> Iterator[dict]:
             peptide = next((c.get("value") or c.text for c in node.iter() if _tag(c) == "peptide"), None) or node.get("peptide") or ""
             yield {
                 "ordinal": ordinal, "label": node.get("num"), "sequence": peptide,
-                "precursor_mz": float(first.text) if first is not None and first.text else None,
-                "precursor_charge": int(first.get("precursorCharge")) if first is not None and first.get("precursorCharge") else None,
+                "precursor_mz": float(first.text) if first is not None and first.text else 0.0,
+                "precursor_charge": int(first.get("precursorCharge")) if first is not None and first.get("precursorCharge") else 0,
                 "retention_time": float(time.strip("PTS")) if time else None, "mz_array": values[0::2], "intensity_array": values[1::2],
             }
             ordinal += 1
@@ -100,13 +103,13 @@ def parse_mzxml(content: bytes) -> Iterator[dict]:
 
 def _from_files(spark: SparkSession, path: str | list[str], parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
     names = [f.split()[0] for f in RAW.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [{"file": file} | r for r in parse(content.as_py())]
-                if found:
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                for found in itertools.batched(parse(content.as_py()), SPECTRA):
+                    found = [{"file": file} | r for r in found]
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in zip(names, kinds, strict=True)], names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, RAW)
@@ -122,19 +125,25 @@ def read_mzxml(spark: SparkSession, path: str | list[str], **options) -> DataFra
 
 def read_mgf(spark: SparkSession, path: str | list[str], scan_from: str = "ordinal", **options) -> DataFrame:
     """MGF records; the scan number is the record's place in its file, or its SCANS field if asked for."""
-    text = spark.read.option("lineSep", "END IONS").text(path).select(
+    records = spark.read.option("lineSep", "END IONS").text(path).where(F.contains("value", F.lit("BEGIN IONS")))
+    text = records.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r", "").alias("value"),
-    ).where(F.contains("value", F.lit("BEGIN IONS")))
+    )
+    # A block's records lie behind one another in one task, so a record's place is its distance from the block's first and
+    # the number of records in the file's earlier blocks: a row for each block is all that is gathered or sent.
+    blocks = text.groupBy("file", "start").agg(F.min("n").alias("first"), F.count(F.lit(1)).alias("records"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("file").alias("f"), F.col("start").alias("s"), "first", F.coalesce(F.sum("records").over(earlier), F.lit(0)).alias("before"))
+    text = text.join(F.broadcast(blocks), (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")))
     field = lambda name: F.nullif(F.regexp_extract("value", rf"(?m)^{name}=(.*)$", 1), F.lit(""))
     number = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
     peaks = F.regexp_extract_all("value", F.lit(rf"(?m)^\s*{number}[ \t]+{number}"), F.lit(0))
     part = lambda i: F.transform(peaks, lambda p: F.get(F.split(F.trim(p), r"[ \t]+"), i).cast("double"))
-    order = Window.partitionBy("file").orderBy("start", "n")
     charge = F.regexp_extract(field("CHARGE"), r"(\d+)", 1).try_cast("bigint")
     sign = F.when(F.contains(field("CHARGE"), F.lit("-")), -1).otherwise(1)
     rows = text.select(
-        "file", (F.row_number().over(order) - 1).cast("bigint").alias("ordinal"),
+        "file", (F.col("before") + F.col("n") - F.col("first")).cast("bigint").alias("ordinal"),
         (field("SCANS") if scan_from == "scans" else F.lit(None).cast("string")).alias("label"), F.coalesce(field("SEQ"), F.lit("")).alias("sequence"),
         F.get(F.split(field("PEPMASS"), r"\s+"), 0).try_cast("double").alias("precursor_mz"), (charge * sign).alias("precursor_charge"),
         field("RTINSECONDS").try_cast("double").alias("retention_time"), part(0).alias("mz_array"), part(1).alias("intensity_array"),
@@ -154,13 +163,18 @@ def _finished(rows: DataFrame, add_source: bool = False) -> DataFrame:
 def read_ipc(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Arrow IPC files; the schema is that of the first file."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    first = files.limit(1).first()
+
+    def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = [pa.ipc.open_file(pa.BufferReader(c.as_py())).schema.serialize().to_pybytes() for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(fields, pa.binary())], ["fields"])
+
+    first = files.limit(1).mapInArrow(schemas, "fields binary").first()  # the schema alone comes to the driver
     if first is None:
         raise ValueError(f"no readable input: {path}")
-    fields = pa.ipc.open_file(pa.BufferReader(first["content"])).schema
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    kinds = from_arrow_schema(fields)
+    kinds = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(first["fields"])))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +196,25 @@ def read_parquet(spark: SparkSession, path: str | list[str], **options) -> DataF
     return _columnar(spark.read.option("mergeSchema", True).parquet(*paths), **options)
 
 
+def read_predictions(spark: SparkSession, paths: str | list[str], key: str, prediction: str, confidence: str | None = None) -> DataFrame:
+    """Earlier predictions of several CSV files, whose further columns and column orders may differ: key and prediction as text, confidence as a number.
+
+    A file without one of the columns is an error that names the column and the file.
+    """
+    kinds = {key: "string", prediction: "string"} | ({confidence: "double"} if confidence else {})
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        rows = spark.read.option("header", True).option("escape", '"').csv(path)
+        for name in kinds:
+            if name not in rows.columns:
+                raise ValueError(f"Column '{name}' does not exist in {path}.")
+        rows = rows.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])
+        out = rows if out is None else schema.union_strict(out, rows)
+    if out is None:
+        raise ValueError("no readable input: no paths")
+    return out
+
+
 def _columnar(df: DataFrame, column_mapping: dict[str, str] | None = None, prefer_modified: bool = True) -> DataFrame:
     df = schema.renamed(df, COLUMN_MAP if column_mapping is None else column_mapping)
     df = schema.preferred_sequence(df) if prefer_modified else df
@@ -200,6 +233,13 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def file_begins(df: DataFrame, file: str) -> DataFrame:
+    """Of each file, in the order of names: rows, and begin, the number of rows in the files before it."""
+    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    return counts.withColumn("begin", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+
+
 def load_spectra(
     spark: SparkSession, source: str | list[str], source_type: str | None = None, name: str | None = None, partition: str | None = None,
     annotated: bool = False, custom: Callable[[SparkSession, str], DataFrame] | None = None, **options,

@@ -41,15 +41,20 @@ def with_text_arrays(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, target: str, mode: str = "overwrite") -> None:
     """A folder of CSV files with headers; arrays as JSON text."""
-    with_text_arrays(df).write.mode(mode).option("header", True).csv(target)
+    with_text_arrays(df).write.mode(mode).option("header", True).option("escape", '"').csv(target)
 
 
 def write_predictions(df: DataFrame, target: str, by_group: bool = False) -> None:
     """Predictions as CSV, in a folder for each group if asked for."""
-    writer = with_text_arrays(df).write.mode("overwrite").option("header", True)
+    writer = with_text_arrays(df).write.mode("overwrite").option("header", True).option("escape", '"')
     (writer.partitionBy("group") if by_group else writer).csv(target)
 
 
+def write_split_manifest(df: DataFrame, target: str, group: str, split: str = "split") -> None:
+    """A folder of CSV files with each different group once and the side of the split it falls on."""
+    df.select(group, split).distinct().write.mode("overwrite").option("header", True).csv(target)
+
+
 def append_metrics(rows: DataFrame, target: str) -> None:
     """The rows of a metrics table added to those at the target; columns that either lacks are null there."""
     fs, at, path = _fs(rows.sparkSession, target)

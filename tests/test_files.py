@@ -91,3 +91,50 @@ def test_metrics_append(tmp_path, spark):
     sinks.append_metrics(spark.createDataFrame([("b", 0.25)], "run string, y double"), f"{tmp_path}/m")
     rows = {r["run"]: r for r in spark.read.option("header", True).csv(f"{tmp_path}/m").collect()}
     assert rows["a"]["x"] == "0.5" and rows["a"]["y"] is None and rows["b"]["y"] == "0.25"
+
+
+def test_places_in_split_files(tmp_path, spark):
+    """Scan numbers count through a file's blocks, and through several files each from 0."""
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.mgf").write_text("".join(f"BEGIN IONS\nPEPMASS={k + 1}\nCHARGE=2+\n{k} 1\nEND IONS\n\n" for k in range(2000)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = loader.read_mgf(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["experiment_name"], r["scan_number"]) for r in rows) == [(n, k) for n in "ab" for k in range(2000)]
+    assert all(r["precursor_mz"] == r["scan_number"] + 1 for r in rows)
+
+
+def test_missing_precursor_is_zero(tmp_path, spark):
+    (tmp_path / "run.mzML").write_text('<mzML><spectrum id="scan=1"><cvParam accession="MS:1000511" value="2"/></spectrum></mzML>')
+    (tmp_path / "run.mzxml").write_text('<mzXML><msRun><scan num="1" msLevel="2"></scan></msRun></mzXML>')
+    for name in ("run.mzML", "run.mzxml"):
+        r = loader.load_spectra(spark, f"{tmp_path}/{name}").first()
+        assert (r["precursor_mz"], r["precursor_charge"], r["mz_array"]) == (0.0, 0, [])
+
+
+def test_earlier_predictions_name_what_is_missing(tmp_path, spark):
+    (tmp_path / "a.csv").write_text("spectrum_id,prediction\nx,PEP\n")
+    (tmp_path / "b.csv").write_text("spectrum_id\ny\n")
+    with pytest.raises(ValueError, match="Column 'prediction' does not exist in .*b.csv"):
+        loader.read_predictions(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], "spectrum_id", "prediction")
+
+
+def test_small_helpers(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from peakloom.functions import masses, tokens
+    from peakloom.operators import batches, schema
+
+    assert [masses.isotope_range(x) for x in (None, 3, [1, 2])] == [(0, 1), (0, 3), (1, 2)]
+    assert tokens.upgraded({"A": 71.0, "M(ox)": 147.0}) == {"A": 71.0, "M[UNIMOD:35]": 147.0}
+    r = spark.createDataFrame([("AI[UNIMOD:35]M", "A"), ("P(x)", "Q?")], "p string, t string").select(tokens.normalised(F.col("p")).alias("n"), tokens.in_vocabulary(F.col("t"), ["A"]).alias("v")).collect()
+    assert [tuple(x) for x in r] == [("ALM", True), ("P", False)]
+    spectra, mask, precursors = batches.collated([(np.array([1.0, 2.0]), np.array([3.0, 4.0])), (np.zeros(0), np.zeros(0))], np.array([10.0, 5.0]), np.array([2, 1]), 1.0)
+    assert spectra.tolist() == [[[1, 3], [2, 4]], [[0, 0], [0, 0]]] and mask.tolist() == [[False, False], [True, True]] and precursors.tolist() == [[18, 2, 10], [4, 1, 5]]
+    with pytest.raises(ValueError, match="Missing column"):
+        schema.with_metadata(spark.range(1), {}, ("x",))
+    with pytest.raises(ValueError, match="differ"):
+        schema.union_strict(spark.range(1), spark.range(1).selectExpr("cast(id as int) as id"))
