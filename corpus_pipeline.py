@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import exact_dedup, langid, minhash, packing, quality_rules
-from peakloom.llm.shared import bucket_of, id_key, removed, table, text_of, written
+from peakloom.llm.shared import bucket_of, id_key, table, text_of
+from peakloom.storage import removed, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, margin: float = 1.1) -> DataFrame:
