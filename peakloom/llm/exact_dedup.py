@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import id_key, one_row_each, text_of, written
+from peakloom.llm.shared import id_key, one_row_each, text_of
+from peakloom.storage import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import chunks_of
-from peakloom.llm.shared import SPACE_CLASS, id_key, one_row_each, removed, text_of, written
+from peakloom.llm.shared import SPACE_CLASS, id_key, one_row_each, text_of
+from peakloom.storage import removed, written
 
 #: Words of a shingle.
 SHINGLE = 5

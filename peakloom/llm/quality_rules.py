@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import SPACE_CLASS, id_key, text_of, words_of, written
+from peakloom.llm.shared import SPACE_CLASS, id_key, text_of, words_of
+from peakloom.storage import written
 
 #: Characters that count as symbols.
 SYMBOLS = r"#*$%&|<>"

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts
-from peakloom.llm.shared import bucket_of, table, text_of, words_of, written
+from peakloom.llm.shared import bucket_of, table, text_of, words_of
+from peakloom.storage import written
 
 
 def _held_out(modulus: int, rest: int):

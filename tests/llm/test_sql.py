@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.llm import chat, exact_dedup, queries, quality_rules, shared, token_counts
+from peakloom import storage
+from peakloom.llm import chat, exact_dedup, queries, quality_rules, token_counts
 from tests.llm import fixtures
 from tests.parity import compare, connect
 
@@ -113,7 +114,7 @@ def test_ledger_of_two_writers(spark, tmp_path, monkeypatch):
 
 
 def test_written_tables_are_cleared(spark):
-    df = shared.written(spark.range(3), "cleared")
-    kept = shared.written(spark.range(3), "cleared")
-    shared.removed(df)
-    assert kept.count() == 3 and shared.cleared(spark) >= 1 and shared.cleared(spark) == 0
+    df = storage.written(spark.range(3), "cleared")
+    kept = storage.written(spark.range(3), "cleared")
+    storage.removed(df)
+    assert kept.count() == 3 and storage.cleared(spark) >= 1 and storage.cleared(spark) == 0
