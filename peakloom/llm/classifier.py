@@ -165,6 +165,8 @@ def labelled_bags(
 ) -> tuple[list[Bag], list[int]]:
     """The bags and labels of the sample, in the order of their ids.
 
+    Bags travel as bytes, eight for each bucket that a document has.
+
     The sample_docs labelled ids that hash lowest make it; that is the bound. Their whole texts become bags in the
     tasks that read them, and only bags, of at most `buckets` entries each, reach the driver. An id with several
     labels counts by the largest, and of several texts by the longest bag.
@@ -176,15 +178,15 @@ def labelled_bags(
         for batch in batches:
             for i, j, data, offsets in chunks_of(batch.column(2)):
                 found = bags(data, offsets, buckets)
-                sides = [pa.array([b[k] for b in found], kind) for k, kind in ((0, pa.list_(pa.int32())), (1, pa.list_(pa.float64())))]
+                sides = [pa.array([b[k].astype(kind).tobytes() for b in found], pa.binary()) for k, kind in ((0, "<i4"), (1, "<f4"))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *sides], ["id", "y", "used", "weight"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_of(F.col(text_col)).alias("t")).join(F.broadcast(sample), "id").select("id", "y", "t")
-    rows = texts.mapInArrow(made, f"id {id_type}, y int, used array<int>, weight array<double>")
-    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.max(F.struct(F.size("used").alias("n"), "used", "weight")).alias("b")).collect()
+    rows = texts.mapInArrow(made, f"id {id_type}, y int, used binary, weight binary")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.max(F.struct(F.octet_length("used").alias("n"), "used", "weight")).alias("b")).collect()
     rows.sort(key=lambda r: r["id"])
-    return [(np.array(r["b"]["used"], np.int64), np.array(r["b"]["weight"])) for r in rows], [r["y"] for r in rows]
+    return [(np.frombuffer(r["b"]["used"], "<i4"), np.frombuffer(r["b"]["weight"], "<f4")) for r in rows], [r["y"] for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = 2500, **training) -> QualityModel | None:
