@@ -36,7 +36,7 @@ IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, JOINED, CLOSED, ONE, TWO = range(8)
 #: Code points of a block of the scan.
 BLOCK = 128
 #: Bytes of text that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _step(state: int, kind: int) -> tuple[int, bool]:

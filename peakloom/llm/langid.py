@@ -16,6 +16,7 @@ whole text, wherever its segments end.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,6 +32,8 @@ from peakloom.llm.shared import text_of
 UNDETERMINED = "und"
 #: Letters of a segment.
 SEGMENT = 256
+#: Bytes of text whose segments walk side by side.
+CHUNK = 1 << 19
 #: Classes of ids that each offer one document to a language's sample.
 OFFERS = 4096
 
@@ -77,35 +80,31 @@ def fit(
 
 def _automaton(symbols: list[int], alphabet: int) -> np.ndarray:
     """Transitions of the suffix automaton of a sample, -1 where there is none; state 0 is the root."""
-    edges: list[dict[int, int]] = [{}]
+    to = array("i", [-1]) * (alphabet * max(2, 2 * len(symbols)))  # a state's row lies at its number times alphabet
     link, length, last = [-1], [0], 0
     for c in symbols:
-        cur = len(edges)
-        edges.append({})
+        cur = len(link)
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and c not in edges[p]:
-            edges[p][c] = cur
+        while p >= 0 and to[p * alphabet + c] < 0:
+            to[p * alphabet + c] = cur
             p = link[p]
         if p >= 0:
-            q = edges[p][c]
+            q = to[p * alphabet + c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = len(edges)
-                edges.append(dict(edges[q]))
+                clone = len(link)
+                to[clone * alphabet : (clone + 1) * alphabet] = to[q * alphabet : (q + 1) * alphabet]
                 link.append(link[q])
                 length.append(length[p] + 1)
-                while p >= 0 and edges[p].get(c) == q:
-                    edges[p][c] = clone
+                while p >= 0 and to[p * alphabet + c] == q:
+                    to[p * alphabet + c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(edges), alphabet), -1, np.int64)
-    for s, out in enumerate(edges):
-        table[s, list(out)] = list(out.values())
-    return table
+    return np.frombuffer(to, np.int32).reshape(-1, alphabet)[: len(link)]
 
 
 class _Parser:
@@ -127,13 +126,13 @@ class _Parser:
             to = _automaton(symbols.tolist(), width)
             # One more state: after a letter that the sample lacks, which is a phrase by itself.
             lone = len(to)
-            to = np.vstack((to, np.full(width, -1)))
+            to = np.vstack((to, np.full(width, -1, np.int32)))
             gone = to < 0
             gone[0] = False  # no phrase is open yet
-            root = np.where(to[0] < 0, lone, to[0])
+            root = np.where(to[0] < 0, np.int32(lone), to[0])
             to = np.where(to < 0, root[None, :], to)
             to[:, self.pad], gone[:, self.pad] = np.arange(len(to)), False
-            self.tables.append(((to * width) * 2 + gone).astype(np.int32).ravel())
+            self.tables.append((to * np.int32(2 * width) + gone).ravel())
             self.bits.append(np.log2(max(2, len(symbols))))
         self.width = width
 
@@ -190,7 +189,7 @@ class _Parser:
             again = np.intersect1d(again[live] + 1, follows)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(model: LanguageModel) -> _Parser:
     return _Parser(model)
 
@@ -218,7 +217,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in chunks_of(batch.column(1)):
+            for i, j, data, offsets in chunks_of(batch.column(1), CHUNK):
                 if model.languages:
                     lang, score = _predicted(model, data, offsets)
                 else:

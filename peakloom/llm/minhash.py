@@ -42,8 +42,8 @@ from peakloom.storage import removed, written
 SHINGLE = 5
 #: Bits of a shingle's hash; the document's number in a batch stands above them.
 BITS = 44
-#: Bytes of text worked on at once.
-CHUNK = 1 << 21
+#: Bytes of text worked on at once; a task's memory is some 60 times that, or a longer text's.
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,9 +59,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.multiply.accumulate(np.full(2 * n + 2, b, np.uint64)) for b in (_P, pow(_P, -1, 1 << 64))]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    up, down = (np.multiply.accumulate(np.full(max(n, CHUNK), b, np.uint64)) for b in (_P, pow(_P, -1, 1 << 64)))
+    if n <= CHUNK:  # those of a longer text go with it
+        _powers[:] = up, down
+    return up, down
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
