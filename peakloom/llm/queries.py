@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts
+from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts, vector_codes
 from peakloom.llm.shared import bucket_of, table, text_of, words_of
 from peakloom.storage import written
 
@@ -116,6 +116,10 @@ def op10_word_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.rollup()
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -130,10 +134,37 @@ def queries() -> dict:
         "op9_best_fit": op9_best_fit,
         "op10_token_rollups": op10_token_rollups,
         "op10_word_rollups": op10_word_rollups,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Every round as a table of assignments (distance times 16, plus entry) and a table of codebooks."""
+    text = """
+        WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT v, row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS e FROM (SELECT vec_id, min(v) AS v FROM k GROUP BY vec_id)
+              ORDER BY vec_id NULLS LAST LIMIT 16),
+        x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS x FROM k, range(8) AS t(p)),
+        c0 AS MATERIALIZED (SELECT p, e, v[p * (len(v) // 8) + 1:(p + 1) * (len(v) // 8)] AS c FROM s, range(8) AS t(p))"""
+    assign = """,
+        a{i} AS MATERIALIZED (SELECT r, x.p, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 16 + e) AS m
+                FROM x JOIN c{i} ON x.p = c{i}.p GROUP BY r, x.p)"""
+    move = """,
+        m{j} AS (SELECT p, m % 16 AS e, i, CAST(sum(x[i]) AS BIGINT) AS t, count(*) AS n FROM a{i}, range(1, 1 + (SELECT max(len(x)) FROM x)) AS u(i) GROUP BY ALL),
+        n{j} AS (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM m{j} GROUP BY p, e),
+        c{j} AS MATERIALIZED (SELECT p, e, coalesce(n{j}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{j} USING (p, e))"""
+    for i in range(rounds):
+        text += (assign + move).format(i=i, j=i + 1)
+    return text + (assign + """,
+        f AS (SELECT r, string_agg(printf('%02x', m % 16), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{i} GROUP BY r),
+        h AS (SELECT sha256(string_agg(c, ',' ORDER BY p, e)) AS h FROM (SELECT p, e, array_to_string(c, ',') AS c FROM c{i}))
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+        FROM k JOIN f USING (r), h""").format(i=rounds)
+
+
 SQL = {
+    "op11_vector_codes": _vector_codes_sql(),
     "op3_perspectives": r"""
         WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker,
                           replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
