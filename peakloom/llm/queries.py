@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, chat, classifier, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts, vector_codes
+from peakloom.llm import bpe, chat, classifier, divergence, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts, vector_codes
 from peakloom.llm.shared import bucket_of, table, text_of, words_of
 from peakloom.storage import written
 
@@ -120,6 +120,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -135,6 +139,7 @@ def queries() -> dict:
         "op10_token_rollups": op10_token_rollups,
         "op10_word_rollups": op10_word_rollups,
         "op11_vector_codes": op11_vector_codes,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
@@ -165,6 +170,24 @@ def _vector_codes_sql(rounds: int = 6) -> str:
 
 SQL = {
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        e AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM e GROUP BY ALL),
+        k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+        v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS nl FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gt AS (SELECT lang, source, term, total, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS MATERIALIZED (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS BIGINT) AS p,
+                    CAST(1 + (1000000000 * (total + 5)) // (nl + 5 * v) AS BIGINT) AS q FROM gt JOIN v USING (lang)),
+        s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+              FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM o
+        QUALIFY part = 'pair' OR rank <= 50""",
     "op3_perspectives": r"""
         WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker,
                           replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
