@@ -21,12 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A name for a new folder in the shared one, which cleared() will delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
+    df.write.parquet(path := folder(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 
