@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, chat, classifier, divergence, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts, vector_codes
+from peakloom.llm import bpe, chat, classifier, divergence, exact_dedup, html, langid, minhash, packing, quality_rules, token_counts, vector_codes, warc
 from peakloom.llm.shared import bucket_of, table, text_of, words_of
-from peakloom.storage import written
+from peakloom.storage import folder, written
 
 
 def _held_out(modulus: int, rest: int):
@@ -124,6 +124,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archives read back: an inventory of their records."""
+    pages, to = table(spark, sf_dir, "pages"), folder(spark, "archives")
+    warc.write_archives(pages, to)
+    found = warc.inventory(warc.read_archives(spark, to))
+    kind = dict(pages.dtypes)["page_id"]
+    return found.select(F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -140,6 +149,7 @@ def queries() -> dict:
         "op10_word_rollups": op10_word_rollups,
         "op11_vector_codes": op11_vector_codes,
         "op12_source_divergence": op12_source_divergence,
+        "op13_warc": op13_warc,
     }
 
 
@@ -170,6 +180,14 @@ def _vector_codes_sql(rounds: int = 6) -> str:
 
 SQL = {
     "op11_vector_codes": _vector_codes_sql(),
+    "op13_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM t)
+        SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((CAST('0x' || substr(h, 1 + CAST(5 * i // 4 AS INTEGER), 2) AS INTEGER) >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
     "op12_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
