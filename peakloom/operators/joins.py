@@ -18,6 +18,24 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: dict[str, str], spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined with right (inner or left) where the columns of `on` are equal, null to null, whatever keys are hot on the left.
+
+    right is broadcast within a checked size. Beyond it each of its rows is repeated for every salt, and left rows are
+    dealt to the salts by `spread`, a column of left, so that the rows of one key meet in several tasks. The result
+    has left's columns and right's without its keys; no other name may be in both.
+    """
+    right = right.withColumnsRenamed({b: f"__on_{b}" for b in on.values()})
+    same = [F.col(f"`{a}`").eqNullSafe(F.col(f"`__on_{b}`")) for a, b in on.items()]
+    small = bounded_broadcast(right)
+    if small is not right:
+        return left.join(small, same, how).drop(*[f"__on_{b}" for b in on.values()])
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = dealt.join(copies, [F.col("__salt") == F.col("__copy"), *same], how)
+    return joined.drop("__salt", "__copy", *[f"__on_{b}" for b in on.values()])
+
+
 def with_predictions(index: DataFrame, predictions: DataFrame, key: str = "prediction_id") -> DataFrame:
     """Every index row with its prediction, if there is one."""
     return index.join(predictions, key, "left")

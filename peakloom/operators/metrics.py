@@ -225,6 +225,23 @@ def threshold_counts(df: DataFrame, confidence: str, flags: dict[str, Column], p
     return rows.select((F.col("k") / (points - 1)).alias("threshold"), *[F.sum(F.coalesce(n, F.lit(0))).over(above).alias(n) for n in flags])
 
 
+def counts_above(df: DataFrame, confidence: str, flags: dict[str, Column], points: int = 50) -> DataFrame:
+    """threshold and the number of rows strictly above it, for each flag, over a grid of thresholds from 0 to 1, whatever rounding does to a grid point."""
+    known = df.where(F.col(confidence).isNotNull())
+    sums = known.groupBy(_cell_below(F.col(confidence), points - 1).alias("k")).agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("k"))
+    above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each grid point
+    rows = grid.join(sums, "k", "left")
+    return rows.select((F.col("k") / (points - 1)).alias("threshold"), *[F.sum(F.coalesce(n, F.lit(0))).over(above).alias(n) for n in flags])
+
+
+def _cell_below(c: Column, last: int) -> Column:
+    """The last of the points 0 to last whose last-th part is below c; -1 if none is."""
+    cell = F.ceil(c * last).cast("int") - 1  # but for rounding
+    cell = F.when((cell + 1) / last < c, cell + 1).when(cell / last >= c, cell - 1).otherwise(cell)
+    return F.greatest(F.lit(-1), F.least(F.lit(last), cell))
+
+
 def strict_curve(matched: DataFrame, confidence: str = "confidence", points: int = 100) -> DataFrame:
     """threshold, tp, fp, fn, precision and recall over a grid of thresholds from 0 to 1.
 
@@ -232,11 +249,9 @@ def strict_curve(matched: DataFrame, confidence: str = "confidence", points: int
     fail it are fn. Ratios of nothing are null. One pass makes a histogram; the counts are its sums from the top.
     """
     c, last = F.col(confidence), points - 1
-    cell = F.ceil(c * last).cast("int") - 1  # the last grid point below the confidence, but for rounding
-    cell = F.when((cell + 1) / last < c, cell + 1).when(cell / last >= c, cell - 1).otherwise(cell)
     hit = F.coalesce(F.col("pep_match") == 1, F.lit(False))
     known = matched.where(c.isNotNull())
-    sums = known.groupBy(F.greatest(F.lit(-1), F.least(F.lit(last), cell)).alias("k")).agg(F.count_if(hit).alias("m"), F.count_if(~hit).alias("x"))
+    sums = known.groupBy(_cell_below(c, last).alias("k")).agg(F.count_if(hit).alias("m"), F.count_if(~hit).alias("x"))
     grid = matched.sparkSession.range(-1, points).select(F.col("id").cast("int").alias("k"))
     above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     below = Window.orderBy(F.desc("k")).rowsBetween(1, Window.unboundedFollowing)

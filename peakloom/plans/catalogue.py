@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from peakloom.plans import evaluation, search, spectral, tables
+from peakloom.plans import evaluation, mapping, search, spectral, tables
 
-MODULES = (evaluation, spectral, tables, search)
+MODULES = (evaluation, spectral, tables, search, mapping)
 
 
 def queries() -> dict:

@@ -40,6 +40,13 @@ def psm_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("precursor_mz", mz)
 
 
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """protein_id and sequence: the target peptides of each customer, one after the other."""
+    peptide = F.struct("id", F.array_join("targets", "").alias("text"))
+    rows = psm(spark, sf_dir).groupBy("cust").agg(F.array_sort(F.collect_list(peptide)).alias("parts"))
+    return rows.select(F.concat(F.lit("P"), F.col("cust").cast("string")).alias("protein_id"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("sequence"))
+
+
 def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and group: the region of the order's customer; ids that 13 divides have none."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

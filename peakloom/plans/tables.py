@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from peakloom.constants import AMINO_ACIDS
 from peakloom.functions import tokens
-from peakloom.operators import filters, joins, knapsack, ordered, sampling, schema
+from peakloom.operators import filters, joins, knapsack, ordered, sampling, schema, substrings
 from peakloom.plans import derive, sql
 from peakloom.plans.derive import table
 
@@ -328,8 +328,8 @@ def legacy_columns(spark, sf_dir):
 
 @query("peptide_in_reference", """WITH w AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS word FROM benchmark) SELECT word, count(*) AS n_items FROM w JOIN benchmark ON contains(lower(text), word) WHERE word <> '' GROUP BY word""")
 def peptide_in_reference(spark, sf_dir):
-    """Substring mapping against a reference of fixed size, which is broadcast within a checked bound."""
+    """In how many of the benchmark's items each word occurs, by the seed index."""
     b = table(spark, sf_dir, "benchmark")
-    words = b.select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("word")).distinct().where("word <> ''")
-    hits = b.join(joins.bounded_broadcast(words), F.contains(F.lower("text"), F.col("word")))
-    return hits.groupBy("word").agg(F.count(F.lit(1)).alias("n_items"))
+    words = b.select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("word"))
+    hits = substrings.occurrences(words, "word", b.select("item_id", F.lower("text").alias("text")), "item_id", "text", 4)
+    return hits.groupBy(F.col("string").alias("word")).agg(F.countDistinct("id").alias("n_items"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from peakloom.constants import COLUMN_MAP, LEGACY_COLUMNS
 from peakloom.functions.masses import precursor_mass
-from peakloom.functions.tokens import sanitise, scan_number
+from peakloom.functions.tokens import accession, sanitise, scan_number
 from peakloom.operators import schema
 
 RAW = "file string, ordinal long, label string, sequence string, precursor_mz double, precursor_charge long, retention_time double, mz_array array<double>, intensity_array array<double>"
@@ -196,12 +196,24 @@ def read_parquet(spark: SparkSession, path: str | list[str], **options) -> DataF
     return _columnar(spark.read.option("mergeSchema", True).parquet(*paths), **options)
 
 
-def read_predictions(spark: SparkSession, paths: str | list[str], key: str, prediction: str, confidence: str | None = None) -> DataFrame:
-    """Earlier predictions of several CSV files, whose further columns and column orders may differ: key and prediction as text, confidence as a number.
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """protein_id (the accession between bars, or else the header's first word), header and sequence of FASTA entries; files are split at entries."""
+    entries = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+    header = F.rtrim(F.substring_index("value", "\n", 1))
+    body = F.when(F.contains("value", F.lit("\n")), F.regexp_replace(F.substring("value", F.instr("value", "\n") + 1, F.char_length("value")), r"\s", "")).otherwise("")
+    rows = entries.select(header.alias("header"), body.alias("sequence")).where("header <> ''")
+    name = F.get(F.split("header", r"\s"), 0)
+    return rows.select(F.coalesce(accession(name), name).alias("protein_id"), "header", "sequence")
+
+
+def read_predictions(
+    spark: SparkSession, paths: str | list[str], key: str, prediction: str, confidence: str | None = None, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Earlier predictions of several CSV files, whose further columns and column orders may differ: key, prediction and the columns of `also` as text, confidence as a number.
 
     A file without one of the columns is an error that names the column and the file.
     """
-    kinds = {key: "string", prediction: "string"} | ({confidence: "double"} if confidence else {})
+    kinds = {key: "string", prediction: "string"} | ({confidence: "double"} if confidence else {}) | {c: "string" for c in also}
     out = None
     for path in [paths] if isinstance(paths, str) else paths:
         rows = spark.read.option("header", True).option("escape", '"').csv(path)

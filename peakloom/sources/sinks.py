@@ -110,6 +110,12 @@ def write_mgf(df: DataFrame, target: str) -> None:
     df.select(mgf_block(df).alias("value")).write.mode("overwrite").text(target)
 
 
+def write_fasta(df: DataFrame, target: str, id_col: str, sequence_col: str) -> None:
+    """A folder of FASTA files, sequences on one line; a null sequence is empty."""
+    entry = F.concat(F.lit(">"), F.col(id_col).cast("string"), F.lit("\n"), F.coalesce(sequence_col, F.lit("")))
+    df.select(entry.alias("value")).write.mode("overwrite").text(target)
+
+
 def widened(df: DataFrame, id_col: str, vector: str, dimension: int, prefix: str = "spectrum_encoding_") -> DataFrame:
     """id and one float column for each component of a vector."""
     return df.select(id_col, *[F.get(vector, i).cast("float").alias(f"{prefix}{i}") for i in range(dimension)])
