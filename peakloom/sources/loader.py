@@ -1,20 +1,17 @@
 """Readers of spectra in every format, into one schema.
 
 Files are read by Spark's own sources (Parquet, CSV, text, binary files), so any
-path that Spark can open will do. XML and Arrow files are parsed whole, one file
-a row; MGF is split at its record ends like any text.
+path that Spark can open will do. MGF is split at its record ends like any text,
+XML at its spectra and Arrow files at their record batches.
 """
 
 from __future__ import annotations
 
-import base64
 import io
 import itertools
-import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,104 +20,76 @@ from peakloom.constants import COLUMN_MAP, LEGACY_COLUMNS
 from peakloom.functions.masses import precursor_mass
 from peakloom.functions.tokens import accession, sanitise, scan_number
 from peakloom.operators import schema
+from peakloom.sources import ranges, spectra_xml
 
 RAW = "file string, ordinal long, label string, sequence string, precursor_mz double, precursor_charge long, retention_time double, mz_array array<double>, intensity_array array<double>"
 
-# Accessions of the mzML vocabulary.
-MS_LEVEL, CHARGE, SCAN_START, MZ_ARRAY, INTENSITY_ARRAY = "MS:1000511", "MS:1000041", "MS:1000016", "MS:1000514", "MS:1000515"
-PRECURSOR_MZ = ("MS:1000040", "MS:1000827", "MS:1000744")
-PEPTIDE, ZLIB, FLOAT32, FLOAT64 = "MS:1000889", "MS:1000574", "MS:1000521", "MS:1000523"
-MINUTES = "UO:0000031"
-#: Parsed spectra of a file that are held at once.
-SPECTRA = 1024
-
-
-def _tag(node) -> str:
-    return node.tag.rsplit("}", 1)[-1]
-
-
-def _floats(text: str, double: bool, packed: bool, order: str = "<") -> np.ndarray:
-    raw = base64.b64decode(text or "")
-    raw = zlib.decompress(raw) if packed and raw else raw
-    return np.frombuffer(raw, f"{order}f{8 if double else 4}").astype(float)
 
 
 def parse_mzml(content: bytes) -> Iterator[dict]:
-    """The MS2 spectra of an mzML file. A missing precursor m/z or charge is 0."""
+    """The MS2 spectra of a whole mzML document."""
     ordinal = 0
     for _, node in ElementTree.iterparse(io.BytesIO(content)):
-        if _tag(node) != "spectrum":
-            continue
-        params, units, arrays = {}, {}, {}
-        for sub in node.iter():
-            if _tag(sub) == "cvParam":
-                params.setdefault(sub.get("accession"), sub.get("value"))
-                units.setdefault(sub.get("accession"), sub.get("unitAccession"))
-            elif _tag(sub) == "binaryDataArray":
-                kinds = {c.get("accession") for c in sub if _tag(c) == "cvParam"}
-                text = next((c.text for c in sub if _tag(c) == "binary"), "")
-                for kind in (MZ_ARRAY, INTENSITY_ARRAY):
-                    if kind in kinds:
-                        arrays[kind] = _floats(text, FLOAT64 in kinds, ZLIB in kinds)
-        if params.get(MS_LEVEL) == "2":
-            mz = next((float(params[a]) for a in PRECURSOR_MZ if params.get(a)), 0.0)
-            time = params.get(SCAN_START)
-            yield {
-                "ordinal": ordinal, "label": node.get("id"), "sequence": params.get(PEPTIDE) or "", "precursor_mz": mz,
-                "precursor_charge": int(params[CHARGE]) if params.get(CHARGE) else 0,
-                "retention_time": float(time) if time else None,
-                "mz_array": arrays.get(MZ_ARRAY, np.zeros(0)), "intensity_array": arrays.get(INTENSITY_ARRAY, np.zeros(0)),
-            }
-            ordinal += 1
-        node.clear()
+        if spectra_xml._tag(node) == "spectrum":
+            if (row := spectra_xml.mzml_row(node, 2)) is not None:
+                yield row | {"ordinal": ordinal}
+                ordinal += 1
+            node.clear()
 
 
 def parse_mzxml(content: bytes) -> Iterator[dict]:
-    """The MS2 scans of an mzXML file; peaks are interleaved pairs in network order. A missing precursor m/z or charge is 0."""
+    """The MS2 scans of a whole mzXML document."""
     ordinal = 0
     for _, node in ElementTree.iterparse(io.BytesIO(content)):
-        if _tag(node) != "scan":
-            continue
-        if node.get("msLevel") == "2":
-            parts = {_tag(c): c for c in node}
-            first = parts.get("precursorMz")
-            peaks = parts.get("peaks")
-            values = np.zeros(0)
-            if peaks is not None:
-                values = _floats(peaks.text, peaks.get("precision") == "64", peaks.get("compressionType") == "zlib", ">")
-            time = node.get("retentionTime")
-            peptide = next((c.get("value") or c.text for c in node.iter() if _tag(c) == "peptide"), None) or node.get("peptide") or ""
-            yield {
-                "ordinal": ordinal, "label": node.get("num"), "sequence": peptide,
-                "precursor_mz": float(first.text) if first is not None and first.text else 0.0,
-                "precursor_charge": int(first.get("precursorCharge")) if first is not None and first.get("precursorCharge") else 0,
-                "retention_time": float(time.strip("PTS")) if time else None, "mz_array": values[0::2], "intensity_array": values[1::2],
-            }
-            ordinal += 1
-        if node.get("msLevel") != "1":
-            node.clear()
+        if spectra_xml._tag(node) == "scan":
+            if (row := spectra_xml.mzxml_row(node, 2)) is not None:
+                yield row | {"ordinal": ordinal}
+                ordinal += 1
+            if node.get("msLevel") != "1":
+                node.clear()
 
 
-def _from_files(spark: SparkSession, path: str | list[str], parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+def _from_documents(spark: SparkSession, path: str | list[str], parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+    """Whole documents, one a row, from stores that only Spark reads; each is bounded by 2 GB."""
     names = [f.split()[0] for f in RAW.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for found in itertools.batched(parse(content.as_py()), SPECTRA):
+                for found in itertools.batched(parse(content.as_py()), spectra_xml.SPECTRA):
                     found = [{"file": file} | r for r in found]
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in zip(names, kinds, strict=True)], names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, RAW)
 
 
-def read_mzml(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    return _finished(_from_files(spark, path, parse_mzml), **options)
+def _from_xml(spark: SparkSession, path: str | list[str], source: type, parse: Callable, split: int | None) -> DataFrame:
+    """MS2 spectra of XML files, each with its place in its file. Files of several ranges are counted first, so that places go through."""
+    files = ranges.listed(spark, path)
+    if any(ranges.scheme(uri) not in ranges.SCHEMES for uri, _ in files):
+        return _from_documents(spark, path, parse)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source)
+    split = split or ranges.SPLIT
+    reader = spark.read.format(source.name()).option("files", ranges.packed(files)).option("split", split)
+    rows = reader.load().where("ms_level = 2")
+    names = [f.split()[0] for f in RAW.split(", ")]
+    if all(size <= split for _, size in files):
+        return rows.select(names)
+    counts = reader.option("counts", "true").option("level", 2).load()  # a row for each range
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = rows.join(F.broadcast(before), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return placed.withColumn("ordinal", F.col("ordinal") + F.col("before")).select(names)
+
+
+def read_mzml(spark: SparkSession, path: str | list[str], split: int | None = None, **options) -> DataFrame:
+    return _finished(_from_xml(spark, path, spectra_xml.MzmlSource, parse_mzml, split), **options)
 
 
-def read_mzxml(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    return _finished(_from_files(spark, path, parse_mzxml), **options)
+def read_mzxml(spark: SparkSession, path: str | list[str], split: int | None = None, **options) -> DataFrame:
+    return _finished(_from_xml(spark, path, spectra_xml.MzxmlSource, parse_mzxml, split), **options)
 
 
 def read_mgf(spark: SparkSession, path: str | list[str], scan_from: str = "ordinal", **options) -> DataFrame:
