@@ -119,7 +119,7 @@ def mgf_roundtrip(spark, sf_dir):
 @query("ipc_roundtrip", _ROUND)
 def ipc_roundtrip(spark, sf_dir):
     files = sinks.write_ipc(_spectra(spark, sf_dir), _folder(spark))
-    return _summary(loader.read_ipc(spark, [f"file://{f}" for f in files]))
+    return _summary(loader.read_ipc(spark, files))
 
 
 @query("csv_roundtrip", _ROUND)

@@ -20,7 +20,7 @@ from peakloom.constants import COLUMN_MAP, LEGACY_COLUMNS
 from peakloom.functions.masses import precursor_mass
 from peakloom.functions.tokens import accession, sanitise, scan_number
 from peakloom.operators import schema
-from peakloom.sources import ranges, spectra_xml
+from peakloom.sources import ipc, ranges, spectra_xml
 
 RAW = "file string, ordinal long, label string, sequence string, precursor_mz double, precursor_charge long, retention_time double, mz_array array<double>, intensity_array array<double>"
 
@@ -130,29 +130,8 @@ def _finished(rows: DataFrame, add_source: bool = False) -> DataFrame:
 
 
 def read_ipc(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """Arrow IPC files; the schema is that of the first file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fields = [pa.ipc.open_file(pa.BufferReader(c.as_py())).schema.serialize().to_pybytes() for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(fields, pa.binary())], ["fields"])
-
-    first = files.limit(1).mapInArrow(schemas, "fields binary").first()  # the schema alone comes to the driver
-    if first is None:
-        raise ValueError(f"no readable input: {path}")
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    kinds = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(first["fields"])))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(1):
-                reader = pa.ipc.open_file(pa.BufferReader(content.as_py()))
-                for i in range(reader.num_record_batches):
-                    yield reader.get_batch(i)
-
-    return _columnar(files.mapInArrow(rows, kinds), **options)
+    """Arrow IPC files, by runs of record batches; the schema is that of the first file."""
+    return _columnar(ipc.load(spark, path), **options)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

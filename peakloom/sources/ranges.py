@@ -35,6 +35,12 @@ def listed(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
     return out
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark would look it up under."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def scheme(uri: str) -> str:
     return uri.split(":", 1)[0]
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators.schema import union_relaxed
+from peakloom.sources import ipc, ranges
 
 
 def _fs(spark: SparkSession, path: str):
@@ -66,26 +65,10 @@ def append_metrics(rows: DataFrame, target: str) -> None:
     fs.rename(path(aside), at)
 
 
-def write_ipc(df: DataFrame, target: str) -> list[str]:
-    """One Arrow IPC file for each partition, written where the partition is; their paths."""
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        files, root = fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
-        files.create_dir(root, recursive=True)
-        writer, to = None, f"{root.rstrip('/')}/part-{uuid.uuid4().hex}.arrow"
-        for batch in batches:
-            if writer is None:
-                sink = files.open_output_stream(to)
-                writer = pa.ipc.new_file(sink, batch.schema)
-            writer.write_batch(batch)
-        if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([to])], ["path"])
-
-    return [r["path"] for r in df.mapInArrow(put, "path string").collect()]
+def write_ipc(df: DataFrame, target: str, mode: str = "append") -> list[str]:
+    """A folder of Arrow IPC files, committed as a whole; the uris of all files that are in it then."""
+    ipc.save(df, target, mode)
+    return [uri for uri, _ in ranges.listed(df.sparkSession, target)]
 
 
 def mgf_block(df: DataFrame) -> Column:
