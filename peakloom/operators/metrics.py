@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from peakloom.constants import RESIDUE_MASSES
 from peakloom.functions.masses import masses
+from peakloom.operators import selection
 from peakloom.operators.ordered import running
-from peakloom.storage import written
+from peakloom.storage import removed, written
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,23 +137,24 @@ def aa_error_rate(df: DataFrame, target: str, predicted: str, by: tuple[str, ...
     return rows.groupBy(*by).agg(F.sum("edits").alias("n_edits"), F.sum("n").alias("n_ref")).withColumn("aa_er", F.try_divide("n_edits", "n_ref"))
 
 
-def thresholds(matched: DataFrame, confidence: str, order: str, n: int = 20) -> DataFrame:
-    """k and the confidence at rank floor(rows * k / n) for k below n, and the last, of the non-null in ascending order."""
-    known = matched.where(F.col(confidence).isNotNull()).select(F.col(confidence).alias("c"), F.col(order).alias("o"))
-    ranked = running(known, [F.col("c"), F.col("o")])
-    total = known.agg(F.count(F.lit(1)).alias("rows"))
-    wanted = total.select("rows", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
-    rank = F.when(F.col("k") == n, F.col("rows")).otherwise(F.floor(F.col("rows") * F.col("k") / n) + 1).cast("bigint")
-    return ranked.join(F.broadcast(wanted.select("k", rank.alias("at"))), F.col("rank") == F.col("at")).select("k", F.col("c").alias("threshold"))
+def thresholds(matched: DataFrame, confidence: str, n: int = 20) -> DataFrame:
+    """k and the confidence at rank floor(rows * k / n) for k below n, and the last, of the non-null in ascending order, by selection."""
+    known = written(matched.where(F.col(confidence).isNotNull()).select(F.col(confidence).cast("double").alias("c")), "confidences")
+    rows = known.count()
+    ranks = {k: rows if k == n else rows * k // n + 1 for k in range(n + 1)} if rows else {}
+    found = selection.at_ranks(known, selection.double_bits(F.col("c")), list(ranks.values()))
+    removed(known)
+    return matched.sparkSession.createDataFrame([(k, selection.double_of(found[r][0])) for k, r in ranks.items()], "k int, threshold double")
 
 
-def pr_curve(matched: DataFrame, confidence: str = "confidence", order: str = "id", n: int = 20) -> DataFrame:
+def pr_curve(matched: DataFrame, confidence: str = "confidence", n: int = 20) -> DataFrame:
     """k, threshold, pep_recall, pep_prec at n + 1 thresholds.
 
     Each row falls into the bucket of the highest threshold it reaches, buckets are summed once, and the sums are
     accumulated from the top: a pass over the data, whatever n is. The thresholds, n + 1 numbers, pass the driver.
     """
-    cut = sorted(((r["k"], r["threshold"]) for r in thresholds(matched, confidence, order, n).collect()), key=lambda x: x[0])
+    matched = written(matched.select(confidence, "n_pred", "pep_match"), "matched")
+    cut = sorted(((r["k"], r["threshold"]) for r in thresholds(matched, confidence, n).collect()), key=lambda x: x[0])
     spark = matched.sparkSession
     if not cut:
         return spark.createDataFrame([], "k int, threshold double, pep_recall double, pep_prec double")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peakloom.storage import written
 
@@ -37,6 +39,62 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
     return out.select(*df.columns, rank, *sums)
 
 
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with dense row numbers from 0, in the order of partitions and of rows within them: no sort and no shuffle.
+
+    The rows are written once with their partition and place, so that a lost task changes no number. Of the partitions
+    there is one count each.
+    """
+    parts = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)  # the place in the partition is below
+    counts = parts.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = parts.withColumn("__part", part).join(F.broadcast(base), "__part")
+    number = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, number).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def moving_average(df: DataFrame, order: list[Column], value: str, decay: float = 0.99, name: str = "average") -> DataFrame:
+    """df with the exponential moving average of a column up to each row: the first value, then decay * average + (1 - decay) * value.
+
+    A null, NaN or infinite value is an error, as in a running loss. A step is an affine map of the average before it, and
+    maps compose: each range partition is reduced to one map, the maps' composition gives every partition its start, and
+    the rows follow from there. The order should be total.
+    """
+    bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
+    checked = df.withColumn("__v", F.when(bad, F.raise_error(F.lit(f"{value} has an invalid value"))).otherwise(F.col(value).cast("double")))
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(checked.repartitionByRange(count, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+
+    def scanned(start: dict[int, float] | None):
+        def rows(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("__i")
+            part, values = int(frame["__part"].iloc[0]), frame["__v"].to_numpy()
+            begins = start is None or start.get(part) is None
+            average = values[0] if begins else decay * start[part] + (1 - decay) * values[0]
+            out = [average]
+            for v in values[1:]:
+                average = decay * average + (1 - decay) * v
+                out.append(average)
+            if start is None:
+                return pd.DataFrame({"__part": [part], "n": [len(values)], "first": [values[0]], "last": [average]})
+            return frame.assign(**{name: out}).drop(columns=["__v", "__part", "__i"])
+
+        return rows
+
+    slim = placed.select("__part", "__i", "__v")
+    maps = slim.groupBy("__part").applyInPandas(scanned(None), "__part int, n long, first double, last double").orderBy("__part").collect()  # a row for each partition
+    starts, before = {}, None
+    for m in maps:
+        starts[m["__part"]] = before
+        # The map of a partition is known from the average that its first value alone would start.
+        before = m["last"] if before is None else m["last"] + decay ** (m["n"] - 1) * (decay * before + (1 - decay) * m["first"] - m["first"])
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    return placed.groupBy("__part").applyInPandas(scanned(starts), schema)
+
+
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")

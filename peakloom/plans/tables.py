@@ -164,6 +164,17 @@ def set_filter(spark, sf_dir):
     return sides.agg(F.count_if(F.col("i") == 1).alias("n_in"), F.count_if(F.col("i") == 0).alias("n_out"))
 
 
+@query("moving_average", """WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events),
+    b AS (SELECT *, i // 1000 AS block, i % 1000 AS j FROM e),
+    s AS (SELECT *, sum(0.01 * value * pow(0.99, -j)) OVER (PARTITION BY block ORDER BY j) AS s FROM b),
+    r AS (SELECT block, max(j) + 1 AS n, max_by(s * pow(0.99, j), j) AS part FROM s GROUP BY block),
+    c AS (SELECT x.block, (SELECT coalesce(sum(y.part * pow(0.99, 1000 * (x.block - y.block - 1))), 0) FROM r y WHERE y.block < x.block) AS carried FROM r x)
+    SELECT event_id, round(s * pow(0.99, j) + pow(0.99, j + 1) * carried + pow(0.99, i + 1) * (SELECT value FROM e WHERE i = 0), 6) AS average FROM s JOIN c USING (block)""")
+def moving_average(spark, sf_dir):
+    rows = ordered.moving_average(table(spark, sf_dir, "events").select("event_id", "value"), [F.col("event_id")], "value")
+    return rows.select("event_id", F.round("average", 6).alias("average"))
+
+
 @query("split_by_peptide", f"""WITH {sql.PSM}, s AS (SELECT id, replace(array_to_string(list_transform(ti, lambda k: nm[k]), ''), 'I', 'L') AS bare FROM psm) SELECT bare, count(*) AS n FROM s GROUP BY bare""")
 def split_by_peptide(spark, sf_dir):
     """How often each peptide occurs on the one side that it falls on; a peptide on both sides would show twice."""
@@ -177,14 +188,45 @@ def hash_sample(spark, sf_dir):
     return sampling.sample_by_key(table(spark, sf_dir, "orders"), F.col("o_orderkey"), 0.25).select("o_orderkey")
 
 
-@query("shuffle")
+def _feistel_sql(rounds: int = 6, seed: int = 42) -> tuple[str, str]:
+    """The steps of the network over w (i, x, n rows, half the bits h) and the name of the last, which has halves b and a."""
+    keys = [(seed * 7919 + r * 104729 + 1) % 2147483647 for r in range(rounds)]
+    steps, left, right = "", "x >> h", "x & ((1 << h) - 1)"
+    for r, k in enumerate(keys):
+        source = "w" if r == 0 else f"f{r - 1}"
+        l, x = (left, right) if r == 0 else ("b", "a")
+        steps += f""", f{r} AS (SELECT i, n, h, {x} AS b, xor({l}, ((({x}) * 48271 + {k}) % 2147483647 * 69621 % 2147483647) & ((1 << h) - 1)) AS a FROM {source})"""
+    return steps.replace(", f0", "f0", 1), f"f{rounds - 1}"
+
+
+_STEPS, _LAST = _feistel_sql()
+
+
+@query("shuffle", f"""WITH RECURSIVE z AS (SELECT count(*) AS n, greatest(1, (CAST(floor(log2(greatest(1, count(*) - 1))) AS INTEGER) + 2) // 2) AS h FROM orders),
+    o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders),
+    t AS (SELECT i, CAST(i AS BIGINT) AS x, CAST(0 AS BIGINT) AS turn, n, h FROM o, z
+          UNION ALL (WITH w AS (SELECT i, x, n, h FROM t WHERE turn = 0 OR x >= n), {_STEPS} SELECT i, (b << h) | a, 1, n, h FROM {_LAST})),
+    p AS (SELECT i, x FROM t WHERE turn = 1 AND x < n),
+    s AS (SELECT o_orderpriority AS name, count(*) AS c, row_number() OVER (ORDER BY o_orderpriority) - 1 AS shard, sum(count(*)) OVER (ORDER BY o_orderpriority) - count(*) AS begin FROM orders GROUP BY 1)
+    SELECT o_orderkey, shard, CAST(x - begin AS BIGINT) AS place FROM p JOIN o USING (i) JOIN s ON x >= begin AND x < begin + c""")
 def shuffle(spark, sf_dir):
-    return sampling.shuffle_shards(table(spark, sf_dir, "orders").select("o_orderkey"), 8)
+    """All orders in one random order, in shards of the sizes that the priorities have."""
+    o = table(spark, sf_dir, "orders")
+    sizes = [r["count"] for r in o.groupBy("o_orderpriority").count().orderBy("o_orderpriority").collect()]
+    return sampling.shuffled(o.select("o_orderkey"), sizes, order=[F.col("o_orderkey")])
+
+
+@query("shuffle_buffer", "SELECT o_orderkey, o_custkey FROM orders")
+def shuffle_buffer(spark, sf_dir):
+    return sampling.buffered(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 1000)
+
+
+_HASH = "((o_orderkey * 48271 + 42) % 2147483647 * 69621) % 2147483647"
 
 
-@query("sample_exact", "SELECT CAST(floor(count(*) * 0.2) AS BIGINT) AS n FROM orders")
+@query("sample_exact", f"SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY {_HASH}, o_orderkey) <= (SELECT floor(count(*) * 0.2) FROM orders)")
 def sample_exact(spark, sf_dir):
-    return sampling.sample_exact(table(spark, sf_dir, "orders").select("o_orderkey"), 0.2).agg(F.countDistinct("o_orderkey").alias("n"))
+    return sampling.sample_exact(table(spark, sf_dir, "orders").select("o_orderkey"), 0.2, F.col("o_orderkey"))
 
 
 @query("shard_assign", "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, CAST(i // 1000 AS BIGINT) AS shard, i % 1000 AS place FROM r")
