@@ -2,9 +2,10 @@
 
 A page is read once into a flat list of elements and text blocks. Elements that
 hold no article by their tag or because they are hidden are left out with all
-below them; so are those whose class, id or role names a comment section, and
-those that are named as furniture (menu, sidebar, notice, advert, ...) unless
-half of the page's prose stands in them: a name alone deletes no article. Each
+below them. So are forms and those that are named as furniture (menu, sidebar,
+notice, advert, ...) unless half of the page's prose stands in them, and those whose
+class, id or role names comments if there is prose beside them: neither a name nor a
+form's tag alone deletes an article. A part of a sentence is kept whatever its name. Each
 remaining paragraph passes points for its length and commas to its ancestors,
 less the further up; a container's points are discounted by the share of its
 text that is link text. The best container is kept; where others come near it,
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 LEFT_OUT = RAW | frozenset(
-    "head nav footer aside form button select option datalist dialog menu svg math canvas object audio video map fieldset".split()
+    "head nav footer aside button label legend select option datalist dialog menu svg math canvas object audio video map".split()
 )
+FORMS = frozenset(("form", "fieldset"))
 PARAGRAPHS = frozenset("p li dd dt td th pre blockquote figcaption caption summary address".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset(
@@ -94,8 +96,10 @@ class _Page:
     """Elements (parent, tag, points, whether a name speaks against them) and blocks (owner, text, length of link text) of a page in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.points, self.out, self.against = [-1], ["#root"], [0.0], [False], [False]
+        self.parent, self.tag, self.points, self.out, self.against, self.comments = [-1], ["#root"], [0.0], [False], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
+        self._named: list[bool] = [False]  # for each element, whether it or one above it in its block is named furniture
+        self._furniture = 0
         self._stack, self._block_at = [0], [0]
         self._at: dict[str, list[int]] = defaultdict(list)  # places on the stack by tag
         self._pieces: list[str] = []
@@ -107,10 +111,10 @@ class _Page:
     def _flush(self) -> None:
         if self._pieces:
             text = " ".join(html.unescape("".join(self._pieces)).split())
-            if text:
+            if text and self._furniture < 0.9 * len(text):
                 self.blocks.append((self._stack[self._block_at[-1]], text, min(self._links, len(text))))
             self._pieces = []
-        self._links = 0
+        self._links = self._furniture = 0
 
     def _pop(self) -> None:
         tag = self.tag[self._stack.pop()]
@@ -157,6 +161,7 @@ class _Page:
             self._pieces.append(text)
             if self._in_link > 0:
                 self._links += len(text.strip())
+                self._furniture += len(text.strip()) if self._named[self._stack[-1]] else 0
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -173,22 +178,22 @@ class _Page:
         if tag in VOID:
             return
         above = self._stack[-1]
-        out, against, points = self.out[above] or tag in LEFT_OUT, False, 0.0
+        out, said, points = self.out[above] or tag in LEFT_OUT, "", 0.0
         inside = bool(self._at["article"] or self._at["main"])
         if not out and attributes.strip(" /"):
             said, points = _looked_at(attributes, inside)
-            if said and tag not in ("html", "body", "article", "main") or said == "hidden":
-                out, against = said != "against", said == "against"
+            out = said == "hidden"
         out = out or tag == "header" and not inside
-        if against and tag not in BLOCKS:
-            out, against = True, False  # part of a paragraph, which no article is
         if out and not self.out[above]:
             self._keep_before_hole()
+        block, whole = tag in BLOCKS, tag in ("html", "body", "article", "main")
         self.parent.append(above)
         self.tag.append(tag)
         self.points.append(points + (25 if tag in ("article", "main") else 0))
         self.out.append(out)
-        self.against.append(against)
+        self.against.append(block and not whole and (said == "against" or tag in FORMS))
+        self.comments.append(block and not whole and said == "comments")
+        self._named.append(not block and (said in ("against", "comments") or self._named[above]))
         if attributes.endswith("/") and tag not in BLOCKS:
             return
         self._at[tag].append(len(self._stack))
@@ -217,18 +222,31 @@ def _points(text: str) -> float:
 
 
 def _left_by_name(page: _Page) -> list[bool]:
-    """Elements that are left out because of their name: those below half of the page's prose, with all below them."""
+    """Elements that are left out by name, or as forms, with all below them.
+
+    Furniture holds less than half of the page's prose. Comments have prose beside them: what stands inside one more
+    element named so is left out as soon as what stands outside is an article; if it is not, as where the name tells
+    that a post has comments, the next ones inside are looked at.
+    """
     n = len(page.tag)
     prose = [0.0] * n
     for owner, text, linked in page.blocks:
         if linked <= 0.5 * len(text):
             prose[owner] += _points(text)
+    own = prose[:]
     for node in range(n - 1, 0, -1):
         prose[page.parent[node]] += prose[node]
-    out = [False] * n
+    out, depth = [False] * n, [0] * n
     for node in range(1, n):
         few = prose[node] < max(SOME, 0.5 * prose[0])
         out[node] = out[page.parent[node]] or page.against[node] and few
+        depth[node] = depth[page.parent[node]] + page.comments[node]
+    if deepest := max(depth):
+        at = [0.0] * (deepest + 1)
+        for node in range(n):
+            at[depth[node]] += 0.0 if out[node] else own[node]
+        level = next((k for k in range(deepest) if at[k] >= max(SOME, 0.15 * sum(at[k + 1 :]))), deepest)
+        out = [o or depth[node] > level for node, o in enumerate(out)]
     return out
 
 
@@ -266,19 +284,22 @@ def main_text(source: str | None) -> str:
     best = max(range(n), key=lambda k: (final[k], -k))
     if final[best] <= 0:
         return "\n\n".join(text for _, text, linked in blocks if linked <= 0.5 * len(text))
-    kept = _kept(page, final, scored, length, density, best)
-    lists = [page.tag[k] in ("ul", "ol", "table", "div", "section") and length[k] > 0 and density[k] > 0.66 for k in range(n)]
+    kept, best = _kept(page, final, scored, length, density, best)
+    # Lists of links belong to an article that they stand in, such as its references; elsewhere they are menus.
+    menus, within = [False] * n, [False] * n
     for k in range(1, n):
-        lists[k] = lists[k] or lists[page.parent[k]]
-    return "\n\n".join(text for owner, text, _ in blocks if kept[owner] and not lists[owner])
+        within[k] = within[page.parent[k]] or k == best and page.tag[k] not in ("html", "body")
+        is_menu = page.tag[k] in ("ul", "ol", "table", "div", "section") and length[k] > 0 and density[k] > 0.66 and not within[k]
+        menus[k] = menus[page.parent[k]] or is_menu
+    return "\n\n".join(text for owner, text, _ in blocks if kept[owner] and not menus[owner])
 
 
 #: Points that make some prose; less is a line or two.
 SOME = 10.0
 
 
-def _kept(page: _Page, final: list[float], scored: list[bool], length: list[int], density: list[float], best: int) -> list[bool]:
-    """Which elements stand in the article: the best container, branches with others like it, and siblings that read like it."""
+def _kept(page: _Page, final: list[float], scored: list[bool], length: list[int], density: list[float], best: int) -> tuple[list[bool], int]:
+    """Which elements stand in the article (the best container, branches with others like it, and siblings that read like it), and the best."""
     n, parent = len(page.tag), page.parent
     above = [best]
     while above[-1] > 0:
@@ -320,7 +341,7 @@ def _kept(page: _Page, final: list[float], scored: list[bool], length: list[int]
         later = follows[k] = k in roots or scored[k] and final[k] >= bar or prose
     for k in range(1, n):
         kept[k] = kept[parent[k]] or follows.get(k, False)
-    return kept
+    return kept, best
 
 
 #: Elements beside the best container that belong to it if they have few links.

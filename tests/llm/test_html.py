@@ -76,7 +76,18 @@ WANT = ["An ordinary long paragraph, with commas, and many words that make up an
     (f'<body><div class="widget">{BODY}</div></body>', []),
     (f'<body><ul class="site-menu"><li>One<li>Two</ul><div>{BODY}</div><div class="comment-list">{BODY}{BODY}</div><div class="cookieNotice"><p>We use cookies, yes.</p></div></body>', []),
     (f'<body><div class="ad-slot"><p>Buy, buy, buy.</p></div><td>{BODY}</td><div class="footer-bottom"><p>Foot, note.</p></div></body>', []),
-    (f'<body><section>{BODY}<ul><li><a href=x>See one</a><li><a href=y>See two</a></ul></section></body>', []),
+    (f'<body><section>{BODY}<ul><li><a href=x>See one</a><li><a href=y>See two</a></ul></section></body>', ["See one", "See two"]),
+    (f'<body><ul><li><a href=x>Home page</a><li><a href=y>Other page</a></ul>{BODY}</body>', []),
+    (f'<body><div class="post has-comments">{BODY}</div></body>', []),
+    (f'<body><article class="post with-comments">{BODY}</article></body>', []),
+    (f'<body><div id="post-and-comments">{BODY}<div class="comments">{PARA}{PARA}</div></div></body>', []),
+    (f'<body><div class="has-comments">{BODY}</div><div class="has-comments">{BODY}</div></body>', WANT),
+    (f'<body><div class="post">{BODY}</div><div class="comments"><div class="comment">{BODY}{BODY}</div></div></body>', []),
+    (f'<body><form id="aspnetForm"><div id="nav"><a href=x>x</a></div>{BODY}<label>Name</label><input><select><option>One</select><button>Go</button></form></body>', []),
+    (f'<body><fieldset><legend>Log in</legend>{BODY}</fieldset></body>', []),
+    (f'<body><div>{BODY}<form><p>Sign up, please.</p></form></div></body>', []),
+    (f'<article>{BODY}<p>We saw <span class="notice">the notable result</span> of <em class="related">it</em>, and <a class="share" href=x>told</a>.</p></article>', ["We saw the notable result of it, and told."]),
+    (f'<article>{BODY}<p><a class="share" href=x>Share this</a></p><ol><li><a href=x>A paper</a><li><a href=y>A book</a></ol></article>', ["A paper", "A book"]),
 ])
 def test_shapes(source, more):
     """Pages of other makers: names that only mention furniture delete nothing, and halves, ends and lists fall right."""
