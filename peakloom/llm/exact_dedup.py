@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.shared import id_key, one_row_each, text_of
+from peakloom.operators.joins import spread_join
 from peakloom.storage import written
 
+#: Rows of one text above which they are not dealt by its digest.
+HOT = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -40,8 +43,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_digest = found.groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("n").alias("n"), F.first("used").alias("used")
     )
-    single = by_digest.where("texts = 1").select("digest", F.explode("used").alias("salt"), "keep_id", "n")
-    out = rows.select("id", "digest", "salt").join(single, ["digest", "salt"]).drop("salt")
+    single = by_digest.where((F.col("texts") == 1) & (F.col("n") <= HOT)).select("digest", F.explode("used").alias("salt"), "keep_id", "n")
+    # Rows of large groups meet their winner without being dealt by its digest, which one id repeated very often would not part.
+    hot = by_digest.where((F.col("texts") == 1) & (F.col("n") > HOT)).select("digest", F.struct("keep_id", "n").alias("hot"))
+    hot = written(hot, "exact-hot")
+    dealt = spread_join(rows.select("id", "digest", "salt"), hot, {"digest": "digest"}, F.rand(1), "left")
+    is_hot = F.col("hot").isNotNull()
+    dealt = dealt.withColumn("salt", F.when(is_hot, -1 - F.floor(F.rand(2) * 1024)).otherwise(F.col("salt")).cast("int"))
+    single = single.select("digest", F.col("salt").cast("int").alias("salt"), F.struct("keep_id", "n").alias("cold"))
+    out = dealt.join(single, ["digest", "salt"], "left").select("id", "digest", F.coalesce("hot", "cold").alias("w"))
+    out = out.where("w is not null").select("id", "digest", "w.keep_id", "w.n")
     clash = by_digest.where("texts > 1").select("digest")
     if not clash.isEmpty():  # several texts under one digest: their rows find their group by the text
         some = rows.join(clash, "digest", "left_semi")
