@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.shared import SPACE_CLASS, id_key, text_of, words_of
+from peakloom.llm.shared import SPACE_CLASS, as_rows, content_of, from_rows, id_key, text_of, words_of
+from peakloom.operators.joins import spread_join
 from peakloom.storage import written
 
 #: Characters that count as symbols.
@@ -65,7 +66,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     """id, host, content (hash of the text), pos, line (hash of the normalised line), n (words), for lines with a word."""
     line = F.lower(F.trim(F.regexp_replace("raw", SPACE_CLASS + "+", " ")))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_of(F.col(text_col))).alias("content"),
+        F.col(id_col).alias("id"), F.col(host_col).alias("host"), content_of(text_of(F.col(text_col))).alias("content"),
         F.posexplode(F.split(text_of(F.col(text_col)), "\n")).alias("pos", "raw"),
     )
     rows = rows.select("id", "host", "content", "pos", line.alias("line")).where("line <> ''")
@@ -74,38 +75,44 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 
 def frequent_lines(lines: DataFrame, max_texts: int) -> DataFrame:
-    """host, line, first_id of the lines that more than max_texts distinct texts of the host carry."""
-    by_text = lines.groupBy("host", "line", "content").agg(F.min("id").alias("id"))
+    """host, line and first (id and content of the text that keeps the line) of the lines that more than max_texts distinct texts of the host carry.
+
+    The first text is that with the smallest id, nulls last, and among those with one id that with the smallest content hash.
+    """
+    carrier = F.struct(F.col("id").isNull().alias("no_id"), "id", "content")
+    by_text = lines.groupBy("host", "line", "content").agg(F.min(carrier).alias("first"))
     return (
         by_text.groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("first_id"))
+        .agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"))
         .where(F.col("texts") > max_texts)
-        .select("host", "line", "first_id")
+        .select("host", "line", "first")
     )
 
 
 def _struck_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_texts: int) -> DataFrame:
-    """id, host, content, pos, n of the lines to strike: the frequent ones, except from the text with the smallest id."""
+    """id, host, content, pos, n of the lines to strike: the frequent ones, except from the first text that carries them."""
     lines = _lines(docs, id_col, text_col, host_col)
     frequent = written(frequent_lines(lines, max_texts), "frequent-lines")
-    hit = lines.alias("l").join(
-        frequent.alias("f"),
-        F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.line") == F.col("f.line")) & ~F.col("l.id").eqNullSafe(F.col("f.first_id")),
-    )
-    return hit.select("l.id", "l.host", "l.content", "l.pos", "l.n")
+    hit = spread_join(lines, frequent, {"host": "host", "line": "line"}, F.col("content"))  # a frequent line is a hot key
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("content") == F.col("first.content"))
+    return hit.where(~first).select("id", "host", "content", "pos", "n")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    content = content_of(text_of(F.col(text_col)))
+    return as_rows(docs, __id=id_key(F.col(id_col)), __host=id_key(F.col(host_col)), __content=content)
 
 
-def _without(docs: DataFrame, hit: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """docs with each text rebuilt, in line order, without the lines of hit (id, host, content, pos)."""
+def _without(docs: DataFrame, hit: DataFrame, id_col: str, text_col: str, host_col: str, keyed: DataFrame | None = None) -> DataFrame:
+    """docs with each text rebuilt, in line order, without the lines of hit (id, host, content, pos); keyed: docs by _keyed(), if not all of them."""
     hit = hit.select(id_key(F.col("id")).alias("__id"), id_key(F.col("host")).alias("__host"), F.col("content").alias("__content"), "pos")
     places = hit.groupBy("__id", "__host", "__content").agg(F.collect_set("pos").alias("__places"))  # a text's lines at most
-    content = F.xxhash64(text_of(F.col(text_col)))
-    keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__host": id_key(F.col(host_col)), "__content": content})
-    lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__places"))
+    keyed = _keyed(docs, id_col, text_col, host_col) if keyed is None else keyed
+    text = F.col("__row").getField(text_col)
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__places"))
     rebuilt = F.array_join(F.transform(left, lambda p: F.get(F.col("__lines"), p)), "\n")
-    joined = keyed.join(places, ["__id", "__host", "__content"], "left").withColumn("__lines", lines)
-    return joined.withColumn(text_col, F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(rebuilt)).select(*docs.columns)
+    joined = keyed.join(places, ["__id", "__host", "__content"], "left").withColumn("__lines", F.split(text, "\n"))
+    return from_rows(joined, docs, **{text_col: F.when(F.col("__places").isNull(), text).otherwise(rebuilt)})
 
 
 def struck_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_texts: int = 20) -> DataFrame:
@@ -128,7 +135,8 @@ def judge(
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows.
     A text is depleted when striking the frequent lines of its host leaves less than min_left of its words; kept is
     false for base failures and depleted texts. The text with the smallest id keeps
-    its frequent lines, so that no passage vanishes altogether. A null or empty text has no words and fails; a
+    its frequent lines, so that no passage vanishes altogether; null ids come last, and of several texts with that id,
+    or none, the one with the smallest content hash counts as first. A null or empty text has no words and fails; a
     null host is a host of its own; rows that repeat (same id, host and text) share one verdict.
     """
     return _judged(docs, id_col, text_col, host_col, max_texts, min_words, min_left, max_repeat_percent).drop("__host", "__content")
@@ -144,7 +152,7 @@ def _judged(
     struck = hit.groupBy(*key, "pos").agg(F.max("n").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_struck"))
     base = base_counts(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"),
-                    F.xxhash64(text_of(F.col(text_col))).alias("content")),
+                    content_of(text_of(F.col(text_col))).alias("content")),
         "id", "text", ("host", "content"),
     )
     out = base.alias("b").join(struck.alias("s"), F.expr("b.id <=> s.id and b.host <=> s.host and b.content = s.content"), "left")
@@ -168,7 +176,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     hit = written(_struck_lines(docs, id_col, text_col, host_col, limits.get("max_texts", 20)), "struck-lines")
     bad = _judged(docs, id_col, text_col, host_col, hit=hit, **limits).where("not kept")
     bad = bad.select(id_key(F.col(id_col)).alias("__id"), id_key(F.col("__host")).alias("__host"), "__content").distinct()
-    content = F.xxhash64(text_of(F.col(text_col)))
-    keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__host": id_key(F.col(host_col)), "__content": content})
-    good = keyed.join(bad, ["__id", "__host", "__content"], "left_anti").select(*docs.columns)
-    return _without(good, hit, id_col, text_col, host_col) if strike else good
+    good = _keyed(docs, id_col, text_col, host_col).join(bad, ["__id", "__host", "__content"], "left_anti")
+    return _without(docs, hit, id_col, text_col, host_col, good) if strike else from_rows(good, docs)

@@ -227,13 +227,14 @@ SQL = {
         z AS (SELECT r, i FROM y QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
         c AS (SELECT r, least(8, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -8)) AS n FROM z),
         rep AS (SELECT r, sum(n) AS n_repeat FROM c GROUP BY r),
-        l AS (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS raw FROM d),
+        l AS (SELECT r, doc_id, source, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS content, unnest(string_split(text, chr(10))) AS raw FROM d),
         k AS (SELECT *, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM l),
         m AS (SELECT * FROM k WHERE line <> ''),
         dup AS (SELECT r, count(*) - count(DISTINCT raw) AS n_dup FROM m GROUP BY r),
-        f AS (SELECT source, line, min(doc_id) AS first_id FROM m GROUP BY source, line HAVING count(DISTINCT text) > 20),
+        f AS (SELECT source, line, first(doc_id ORDER BY doc_id NULLS LAST, content) AS first_id, first(content ORDER BY doc_id NULLS LAST, content) AS first_content
+              FROM m GROUP BY source, line HAVING count(DISTINCT text) > 20),
         st AS (SELECT m.r, sum(length(m.line) - length(replace(m.line, ' ', '')) + 1) AS n_struck
-               FROM m JOIN f ON m.source IS NOT DISTINCT FROM f.source AND m.line = f.line AND m.doc_id <> f.first_id GROUP BY m.r),
+               FROM m JOIN f ON m.source IS NOT DISTINCT FROM f.source AND m.line = f.line AND (m.doc_id IS DISTINCT FROM f.first_id OR m.content <> f.first_content) GROUP BY m.r),
         b AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
                      CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
                      CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,

@@ -34,6 +34,21 @@ def id_key(key: Column) -> Column:
     return F.coalesce(F.concat(F.lit("i"), key.cast("string")), F.lit("n"))
 
 
+def content_of(text: Column) -> Column:
+    """A text as an integer of 60 bits, the same in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def as_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one struct a row, __row, beside the keys: whatever names docs has, dots included, none can clash."""
+    return docs.select(*[v.alias(k) for k, v in keys.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def from_rows(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs out of as_rows(), some of them changed."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def one_row_each(docs: DataFrame, keys: dict[str, Column], winners: DataFrame) -> DataFrame:
     """Of the rows of docs whose keys (never null) are in winners one for each; columns and values as they were.
 

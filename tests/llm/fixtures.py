@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside.
-CLASHING = "id node label bucket words lines windows h n norm digest keep_id n_tokens ids bands class_id lang_pred score kept text_sha256 host content group".split()
+CLASHING = (
+    "id node label bucket words lines windows h n norm digest keep_id n_tokens ids bands class_id lang_pred score kept text_sha256 host content group "
+    "__id __content __host __lines __places __row __key __node __salt __copy first hot cold salt pos line raw a.b"
+).split()
 
 WORDS = {
     "en": "the of and house with water from stone about winter morning people garden window silver market bridge letter".split(),
