@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import exact_dedup, langid, minhash, packing, quality_rules
-from peakloom.llm.shared import bucket_of, id_key, table, text_of
+from peakloom.llm.shared import as_rows, bucket_of, content_of, from_rows, id_key, table, text_of
 from peakloom.storage import removed, written
 
 
@@ -25,11 +25,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, margin: float =
     model = langid.fit(docs, bucket != 2)
     least = margin / max(1, len(model.languages))
     good = (F.col("lang_pred") != langid.UNDETERMINED) & ((F.col("score") >= least) | F.lit(len(model.languages) < 2))
-    key = F.struct(id_key(F.col("doc_id")).alias("id"), F.xxhash64(text_of(F.col("text"))).alias("content")).alias("__key")
+    key = F.struct(id_key(F.col("doc_id")).alias("__id"), content_of(text_of(F.col("text"))).alias("__content")).alias("__key")
     kept = langid.predict(docs.select(key, "text"), model, id_col="__key").where(good).select("__key.*").distinct()
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__content": F.xxhash64(text_of(F.col("text")))})
-    kept = kept.select(F.col("id").alias("__id"), F.col("content").alias("__content"))
-    return keyed.join(kept, ["__id", "__content"], "left_semi").select(*docs.columns)
+    keyed = as_rows(docs, __id=id_key(F.col("doc_id")), __content=content_of(text_of(F.col("text"))))
+    return from_rows(keyed.join(kept, ["__id", "__content"], "left_semi"), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
