@@ -124,16 +124,87 @@ def precision_recall_rollup(matched: DataFrame, group: str) -> DataFrame:
     return rows.select(name.alias(group), "n_targ_aa", "n_pred_aa", "n_match_aa", "n_targ_pep", "n_pred_pep", "n_match_pep", *_ratios())
 
 
-def aa_error_rate(df: DataFrame, target: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Edits between token lists over the targets' tokens; I counts as L.
-
-    Each different token of a row's two lists stands for one character, also those that no table has.
+def _ids(target: pa.Array, predicted: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of two columns of lists as integers, with starts and sizes of the lists; null lists are empty, a null token is one of its own."""
+    sides = []
+    for column in (target, predicted):
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        sides.append((column.values, offsets[:-1], np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)))
+    both = pa.concat_arrays([values.cast(pa.string()) for values, _, _ in sides]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    cut = len(sides[0][0])
+    return [(ids.astype(np.int64), at, size) for ids, (_, at, size) in zip((both[:cut], both[cut:]), sides, strict=True)]
+
+
+def _bits_distance(pattern: np.ndarray, text: np.ndarray) -> int:
+    """Edit distance of two arrays of ids, the bits of one column of the table in one integer of any length."""
+    m = len(pattern)
+    if not m:
+        return len(text)
+    at: dict[int, int] = {}
+    for i, t in enumerate(pattern.tolist()):
+        at[t] = at.get(t, 0) | 1 << i
+    whole, last = (1 << m) - 1, 1 << (m - 1)
+    up, down, score = whole, 0, m
+    for t in text.tolist():
+        eq = at.get(t, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (~(diagonal | up) & whole), up & diagonal
+        score += bool(right & last) - bool(left & last)
+        right, left = (right << 1 | 1) & whole, left << 1 & whole
+        up, down = left | (~((eq | down) | right) & whole), right & (eq | down)
+    return score
+
+
+def edit_distances(target: pa.Array, predicted: pa.Array) -> np.ndarray:
+    """Edit distance of the lists of each row, whatever the number of different tokens is.
+
+    A column of the table of distances is held as the bits of its differences. The lists of up to 63 tokens of a batch
+    go through their columns side by side, one machine word for each row; longer ones one by one, in long integers.
     """
+    (t, t_at, t_size), (p, p_at, p_size) = _ids(target, predicted)
+    out = np.where(t_size == 0, p_size, np.where(p_size == 0, t_size, 0)).astype(np.int64)
+    some = (t_size > 0) & (p_size > 0)
+    for row in np.flatnonzero(some & (t_size > 63)):
+        out[row] = _bits_distance(t[t_at[row] : t_at[row] + t_size[row]], p[p_at[row] : p_at[row] + p_size[row]])
+    rows = np.flatnonzero(some & (t_size <= 63))
+    rows = rows[np.argsort(-p_size[rows], kind="stable")]  # rows whose text has ended are then at the end
+    if not len(rows):
+        return out
+    size, widest = t_size[rows], int(t_size[rows].max())
+    place = np.arange(widest)
+    pattern = np.where(place < size[:, None], t[np.minimum(t_at[rows][:, None] + place, len(t) - 1)], -1)
+    powers = np.uint64(1) << place.astype(np.uint64)
+    whole, last = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1), np.uint64(1) << (size - 1).astype(np.uint64)
+    up, down, score, one = whole.copy(), np.zeros(len(rows), np.uint64), size.astype(np.int64), np.uint64(1)
+    for j in range(int(p_size[rows[0]])):
+        n = int(np.searchsorted(-p_size[rows], -j, "left"))  # rows with more than j tokens
+        token = p[p_at[rows[:n]] + j]
+        eq = ((pattern[:n] == token[:, None]) * powers).sum(axis=1, dtype=np.uint64)
+        u, d, w, top = up[:n], down[:n], whole[:n], last[:n]
+        diagonal = (((eq & u) + u) ^ u) | eq | d
+        right, left = d | (~(diagonal | u) & w), u & diagonal
+        score[:n] += ((right & top) != 0).astype(np.int64) - ((left & top) != 0)
+        right, left = (right << one | one) & w, (left << one) & w
+        up[:n], down[:n] = left | (~((eq | d) | right) & w), right & (eq | d)
+    out[rows] = score
+    return out
+
+
+def edits(target: Column, predicted: Column) -> Column:
+    """Edit distance of two columns of token lists."""
+
+    @F.arrow_udf("long")
+    def distance(t: pa.Array, p: pa.Array) -> pa.Array:
+        return pa.array(edit_distances(t, p))
+
+    return distance(target, predicted)
+
+
+def aa_error_rate(df: DataFrame, target: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edits between token lists over the targets' tokens; I counts as L. Null lists are empty."""
     same = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: F.when(t == "I", "L").otherwise(t))
-    rows = df.select(*by, same(target).alias("t"), same(predicted).alias("p")).withColumn("names", F.array_distinct(F.concat("t", "p")))
-    as_text = lambda c: F.array_join(F.transform(F.col(c), lambda t: F.char(F.lit(33) + F.array_position("names", t).cast("int"))), "")
-    many = F.when(F.size("names") > 222, F.raise_error(F.lit("more than 222 different tokens in a row")).cast("int"))  # characters that char() tells apart
-    rows = rows.select(*by, F.coalesce(many, F.levenshtein(as_text("t"), as_text("p"))).alias("edits"), F.size("t").alias("n"))
+    rows = df.select(*by, same(target).alias("t"), same(predicted).alias("p"))
+    rows = rows.select(*by, edits(F.col("t"), F.col("p")).alias("edits"), F.size("t").alias("n"))
     return rows.groupBy(*by).agg(F.sum("edits").alias("n_edits"), F.sum("n").alias("n_ref")).withColumn("aa_er", F.try_divide("n_edits", "n_ref"))
 
 

@@ -61,8 +61,25 @@ def prediction_ids(spark, sf_dir):
 
 @query("row_lookup", "WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT o_orderkey, o_custkey FROM r WHERE i = 100")
 def row_lookup(spark, sf_dir):
-    rows = ordered.running(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")])
-    return rows.where("rank = 101").select("o_orderkey", "o_custkey")
+    """The orders' row of that index in the file, which is in the order of the keys; footers tell which file to read."""
+    from peakloom.sources.loader import row_at
+
+    return row_at(spark, f"{sf_dir}/orders.parquet", 100).select("o_orderkey", "o_custkey")
+
+
+@query("first_seen_types", """SELECT o_orderkey AS k, CAST(o_custkey AS INTEGER) AS v, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS note,
+    CAST(o_custkey % 7 AS VARCHAR) AS p FROM orders""")
+def first_seen_types(spark, sf_dir):
+    """Shards that have a column as int, as bigint and as text, load in the types of the first."""
+    from peakloom.sources.loader import read_parquet
+    from peakloom.storage import folder
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"), (F.col("o_custkey") % 7).cast("string").alias("p"), F.col("o_orderstatus").alias("note"))
+    paths = [folder(spark, "shards") for _ in range(3)]
+    o.where("k % 2 = 0").select("k", F.col("v").cast("int").alias("v"), "p").write.parquet(paths[0])
+    o.where("k % 4 = 1").select("note", F.col("v").cast("bigint").alias("v"), F.col("p").cast("int").alias("p"), "k").write.parquet(paths[1])
+    o.where("k % 4 = 3").select("note", F.col("v").cast("string").alias("v"), "p", F.col("k").cast("int").alias("k")).write.parquet(paths[2])
+    return read_parquet(spark, paths).select("k", "v", "note", "p")
 
 
 @query("row_count", "SELECT count(*) AS n FROM lineitem")

@@ -20,7 +20,7 @@ from peakloom.constants import COLUMN_MAP, LEGACY_COLUMNS
 from peakloom.functions.masses import precursor_mass
 from peakloom.functions.tokens import accession, sanitise, scan_number
 from peakloom.operators import schema
-from peakloom.sources import ipc, ranges, spectra_xml
+from peakloom.sources import footers, ipc, ranges, spectra_xml
 
 RAW = "file string, ordinal long, label string, sequence string, precursor_mz double, precursor_charge long, retention_time double, mz_array array<double>, intensity_array array<double>"
 
@@ -139,9 +139,24 @@ def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """Parquet files, whose columns may differ."""
+    """Parquet files, whose columns may differ, also in type: the first file that has a column tells its type."""
     paths = [path] if isinstance(path, str) else path
-    return _columnar(spark.read.option("mergeSchema", True).parquet(*paths), **options)
+    files = _parquet_files(spark, paths)
+    return _columnar(footers.unified(spark, files) if files else spark.read.option("mergeSchema", True).parquet(*paths), **options)
+
+
+def _parquet_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """The files of paths, folders and globs; none where folders hold folders, or where only Spark reads the store."""
+    try:
+        files = ranges.listed(spark, paths)
+    except ValueError:
+        return []
+    return files if all(ranges.scheme(uri) in ranges.SCHEMES for uri, _ in files) else []
+
+
+def row_at(spark: SparkSession, path: str | list[str], index: int, **options) -> DataFrame:
+    """One row of Parquet files by its index (from 0), in the order of the files, with its peptide as load_spectra gives it; only its file is read."""
+    return _columnar(footers.row_at(spark, ranges.listed(spark, path), index), **options)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.operators.ordered import numbered
 from peakloom.operators.schema import union_relaxed
 from peakloom.sources import ipc, ranges
 
@@ -18,17 +19,27 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_sharded(df: DataFrame, target: str, name: str, partition: str, most: int = 1_000_000) -> list[str]:
-    """Parquet files dataset-{name}-{partition}-{i:04d}-{n:04d}.parquet of at most `most` rows; their names.
+    """Parquet files dataset-{name}-{partition}-{i:04d}-{n:04d}.parquet, all of `most` rows but the last; their names. Rows keep their order.
 
-    Spark writes the files into a folder beside them, and they are moved to their names once their number is known.
+    Rows are numbered where they are; those of one shard then meet in one task, so that what is left over in a partition
+    fills up the next one's shard. Spark writes the files into a folder beside the others, and they are moved to their
+    names once all are there. Without a row there is one file with the schema.
     """
-    fs, at, path = _fs(df.sparkSession, target)
+    fs, _, path = _fs(df.sparkSession, target)
     aside = f"{target.rstrip('/')}/.staged-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", most).parquet(aside)
-    parts = sorted(s.getPath().toString() for s in fs.listStatus(path(aside)) if s.getPath().getName().startswith("part-"))
-    names = [f"dataset-{name}-{partition}-{i:04d}-{len(parts):04d}.parquet" for i in range(len(parts))]
-    for source, to in zip(parts, names, strict=True):
-        fs.rename(path(source), path(f"{target.rstrip('/')}/{to}"))
+    rows = numbered(df, "__row")
+    shards = -(-rows.count() // most)
+    if shards:
+        dealt = rows.withColumn("__shard", F.floor(F.col("__row") / most).cast("int")).repartition(shards, "__shard")
+        dealt.sortWithinPartitions("__shard", "__row").drop("__row").write.partitionBy("__shard").parquet(aside)
+        folders = [f"{aside}/__shard={i}" for i in range(shards)]
+    else:
+        df.limit(0).coalesce(1).write.parquet(aside)
+        folders = [aside]
+    names = [f"dataset-{name}-{partition}-{i:04d}-{len(folders):04d}.parquet" for i in range(len(folders))]
+    for folder, to in zip(folders, names, strict=True):
+        (part,) = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("part-")]
+        fs.rename(part, path(f"{target.rstrip('/')}/{to}"))
     fs.delete(path(aside), True)
     return names
 

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from peakloom.operators import joins, substrings
+from peakloom.sources import loader, sinks
 
 
 def places(strings, texts):
@@ -49,3 +50,11 @@ def test_map_peptides(spark):
     assert sorted((r["id"], tuple(r["protein_ids"]), r["protein_id"], r["n_proteins"]) for r in rows) == [
         (1, ("P1", "P2"), "P1", 2), (1, ("P1", "P2"), "P1", 2), (2, ("P2", "P4"), "P2", 2), (3, ("P4",), "P4", 1), (4, (), None, 0), (5, (), None, 0), (6, (), None, 0)
     ]
+
+
+def test_fasta(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">sp|P1|NAME one\nMKIL\r\nVVEE\n>plain second\n\nPEP TIDE\n>empty\n>last\nA*")
+    rows = loader.read_fasta(spark, f"{tmp_path}/a.fasta").collect()
+    assert [tuple(r) for r in rows] == [("P1", "sp|P1|NAME one", "MKILVVEE"), ("plain", "plain second", "PEPTIDE"), ("empty", "empty", ""), ("last", "last", "A*")]
+    sinks.write_fasta(spark.createDataFrame([("Q1", "AAA"), ("Q2", None)], "id string, s string"), f"{tmp_path}/out", "id", "s")
+    assert sorted((r["protein_id"], r["sequence"]) for r in loader.read_fasta(spark, f"{tmp_path}/out").collect()) == [("Q1", "AAA"), ("Q2", "")]
