@@ -126,13 +126,12 @@ class Search:
 
     def _fits(self, mass: np.ndarray, allowed: np.ndarray) -> np.ndarray:
         """Whether some residues add up to each mass, within what is allowed."""
-        scale, counts = self.knapsack.scale, self.knapsack.counts
-        low, high = (np.rint(scale * (mass + d)).astype(np.int64) for d in (-allowed, allowed))
-        at = np.minimum(np.maximum(0, low + 1), len(counts) - 1)
-        return counts[np.minimum(np.maximum(at, high), len(counts) - 1)] > counts[at]
+        low, high = (np.rint(self.knapsack.scale * (mass + d)).astype(np.int64) for d in (-allowed, allowed))
+        at = np.maximum(0, low + 1)
+        return self.knapsack.below(np.maximum(at, high)) > self.knapsack.below(at)
 
     def run(self, scorer: Scorer, mz: np.ndarray, intensity: np.ndarray, precursor_mass: float) -> list[Beam]:
-        """Finished beams of one spectrum, best first: those that meet the precursor, then the likelier."""
+        """Finished beams of one spectrum, best first: those that meet the precursor, then the likelier; of those that spell one peptide the best."""
         return self.run_all(scorer, [(mz, intensity)], np.array([precursor_mass]))[0]
 
     def run_all(self, scorer: Scorer, peaks: list[tuple[np.ndarray, np.ndarray]], masses: np.ndarray) -> list[list[Beam]]:
@@ -178,9 +177,11 @@ class Search:
         if done:
             owner, met, gained, left = (np.concatenate([d[k] for d in done]) for k in range(4))
             prefixes, ends = ([x for d in done for x in d[k]] for k in (4, 5))
+            seen: set[tuple[int, str]] = set()  # residues in different pieces may spell one peptide
             for k in np.lexsort((np.arange(len(owner)), -gained, ~met, owner)).tolist():
-                beams = out[owner[k]]
-                if len(beams) < self.beams:
+                beams, spelt = out[owner[k]], "".join(self.names[i] for i in reversed(prefixes[k].tolist()))
+                if len(beams) < self.beams and (owner[k], spelt) not in seen:
+                    seen.add((owner[k], spelt))
                     beams.append(Beam(tuple(prefixes[k].tolist()), float(left[k]), float(gained[k]), tuple(ends[k].tolist()), bool(met[k])))
         return out
 

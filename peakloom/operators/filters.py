@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def filter_rows(df: DataFrame, predicate: Column | str) -> DataFrame:
-    return df.where(predicate)
+def filter_rows(df: DataFrame, predicate: Column | str | Callable[[dict], object]) -> DataFrame:
+    """Rows that a condition holds for: a column, SQL, or a function of a row as a dict, which is called in tasks and Spark cannot push down."""
+    if isinstance(predicate, (Column, str)):
+        return df.where(predicate)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(predicate(row)) for row in batch.to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(rows, df.schema)
 
 
 def outside(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The chart of masses by residues follows from one bit per mass: a mass is
 reachable with residue r last if the mass without r is reachable or a seed. The
-bits are some megabytes at any number of spectra; they are built once, can be
-saved and loaded, and go to each executor once, as a broadcast.
+bits, with the counts of each word of them, are some megabytes at any number of spectra;
+they are built once, can be saved and loaded, and go to each executor once, as a broadcast.
 """
 
 from __future__ import annotations
@@ -24,13 +24,24 @@ from peakloom.operators.joins import range_join
 
 @dataclass(frozen=True)
 class Knapsack:
-    """reach: whether each scaled mass is one; residues and their scaled masses; seeds: masses that one residue makes."""
+    """residues, and one bit for each scaled mass, whether it is reachable: `words` of 64 bits, lowest first, for `size` masses."""
 
     max_mass: float
     scale: int
     max_isotope: int
     residues: tuple[str, ...]
-    reach: np.ndarray
+    words: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, max_mass: float, scale: int, max_isotope: int, residues: tuple[str, ...], reach: np.ndarray) -> Knapsack:
+        """A knapsack of an array of booleans."""
+        packed = np.packbits(reach, bitorder="little")
+        return cls(max_mass, scale, max_isotope, residues, np.append(packed, np.zeros(-len(packed) % 8, np.uint8)).view("<u8"), len(reach))
+
+    @property
+    def reach(self) -> np.ndarray:
+        return np.unpackbits(self.words.view(np.uint8), count=self.size, bitorder="little").astype(bool)
 
     @property
     def masses(self) -> np.ndarray:
@@ -40,13 +51,22 @@ class Knapsack:
     def feasible(self, target: float, tolerance: float) -> np.ndarray:
         """Reachable scaled masses strictly between the rounded ends of target +- tolerance."""
         low, high = round(self.scale * (target - tolerance)), round(self.scale * (target + tolerance))
-        at = max(0, low + 1)
-        return at + np.flatnonzero(self.reach[at : max(at, high)])
+        at, end = min(self.size, max(0, low + 1)), min(self.size, max(0, high))
+        first = at >> 6
+        bits = np.unpackbits(self.words[first : (end + 63) >> 6].view(np.uint8), bitorder="little")
+        return at + np.flatnonzero(bits[at - 64 * first : end - 64 * first])
 
     @cached_property
-    def counts(self) -> np.ndarray:
-        """How many masses below each scaled mass are reachable; an interval has one if its ends' counts differ."""
-        return np.concatenate(([0], np.cumsum(self.reach, dtype=np.int32)))
+    def ranks(self) -> np.ndarray:
+        """How many masses below each word's first are reachable."""
+        return np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int32))
+
+    def below(self, mass: np.ndarray) -> np.ndarray:
+        """How many reachable masses are below each scaled mass, which is cut to those that there are; an interval has one if its ends differ."""
+        at = np.clip(mass, 0, self.size)
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        part = np.append(self.words, np.uint64(0))[word] & ((np.uint64(1) << bit) - np.uint64(1))
+        return self.ranks[word] + np.bitwise_count(part)
 
 
 def build(table: Mapping[str, float] = RESIDUE_MASSES, max_mass: float = MAX_MASS, scale: int = MASS_SCALE, max_isotope: int = 2) -> Knapsack:
@@ -70,7 +90,7 @@ def build(table: Mapping[str, float] = RESIDUE_MASSES, max_mass: float = MAX_MAS
         padded = np.zeros(rows * step, bool)
         padded[:size] = reach
         reach = np.logical_or.accumulate(padded.reshape(rows, step), axis=0).ravel()[:size]
-    return Knapsack(max_mass, scale, max_isotope, tuple(table), reach)
+    return Knapsack.of(max_mass, scale, max_isotope, tuple(table), reach)
 
 
 def save(spark: SparkSession, knapsack: Knapsack, path: str) -> None:
@@ -84,7 +104,7 @@ def load(spark: SparkSession, path: str) -> Knapsack:
     meta = json.loads(rows.select("meta").first()["meta"])
     reach = np.zeros(round(meta["max_mass"] * meta["scale"]) + 1, bool)
     reach[rows.select("mass").toPandas()["mass"].to_numpy()] = True
-    return Knapsack(meta["max_mass"], meta["scale"], meta["max_isotope"], tuple(meta["residues"]), reach)
+    return Knapsack.of(meta["max_mass"], meta["scale"], meta["max_isotope"], tuple(meta["residues"]), reach)
 
 
 def feasible(masses: DataFrame, targets: DataFrame, target: str, tolerance: float, scale: int = MASS_SCALE) -> DataFrame:

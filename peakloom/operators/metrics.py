@@ -290,8 +290,10 @@ def threshold_counts(df: DataFrame, confidence: str, flags: dict[str, Column], p
 
     One pass makes a histogram; the counts are its sums from the top.
     """
-    at = F.least(F.lit(points - 1), F.floor(F.col(confidence) * (points - 1) + 1e-9)).cast("int")
-    sums = df.where(F.col(confidence).isNotNull()).groupBy(at.alias("k")).agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
+    c, last = F.col(confidence), points - 1
+    cell = F.floor(c * last).cast("int")  # but for rounding
+    cell = F.when((cell + 1) / last <= c, cell + 1).when(cell / last > c, cell - 1).otherwise(cell)
+    sums = df.where(c.isNotNull()).groupBy(F.least(F.lit(last), cell).alias("k")).agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("k"))
     above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     rows = grid.join(sums, "k", "left")

@@ -52,8 +52,8 @@ def sample_by_key(df: DataFrame, key: Column, fraction: float, seed: int = 0) ->
 
 
 def text_key(text: Column) -> Column:
-    """A string as an integer, the same in every engine with crc32."""
-    return F.crc32(text.cast("binary"))
+    """A string as an integer, the same in every engine with MD5."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
 def split_by_group(df: DataFrame, group: Column, valid_fraction: float, seed: int = 0) -> DataFrame:

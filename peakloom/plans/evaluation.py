@@ -206,9 +206,9 @@ def stripped_recall(spark, sf_dir):
 _GRID = """k AS (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS k)"""
 
 
-@query("tp_fp_curve", f"""WITH {sql.PSM_X}{sql.matched('px', 'pi')}, {_GRID}, b AS (SELECT pep_match, CAST(least(49, floor(confidence * 49 + 1e-9)) AS INTEGER) AS cell FROM mt)
+@query("tp_fp_curve", f"""WITH {sql.PSM_X}{sql.matched('px', 'pi')}, {_GRID}, b AS (SELECT pep_match, confidence AS cell FROM mt)
     SELECT round(k / 49, 9) AS threshold, count(*) FILTER (pep_match = 1) AS tp, count(*) FILTER (pep_match = 0) AS fp,
-           round(count(*) FILTER (pep_match = 1) / count(*), 9) AS precision FROM k LEFT JOIN b ON cell >= k GROUP BY k HAVING count(pep_match) > 0""")
+           round(count(*) FILTER (pep_match = 1) / count(*), 9) AS precision FROM k LEFT JOIN b ON cell >= k / 49 GROUP BY k HAVING count(pep_match) > 0""")
 def tp_fp_curve(spark, sf_dir):
     rows = metrics.threshold_counts(
         metrics.matches(derive.psm_x(spark, sf_dir)), "confidence", {"tp": F.col("pep_match") == 1, "fp": F.col("pep_match") == 0}
@@ -216,15 +216,15 @@ def tp_fp_curve(spark, sf_dir):
     return rows.select(F.round("threshold", 9).alias("threshold"), "tp", "fp", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 9).alias("precision"))
 
 
-@query("mapped_by_threshold", f"""WITH {sql.PSM_X}, {_GRID}, b AS (SELECT id % 4 <> 0 AS mapped, CAST(least(49, floor(confidence * 49 + 1e-9)) AS INTEGER) AS cell FROM px)
-    SELECT round(k / 49, 9) AS threshold, count(*) FILTER (mapped) AS mapped, count(*) FILTER (NOT mapped) AS unmapped FROM k LEFT JOIN b ON cell >= k GROUP BY k""")
+@query("mapped_by_threshold", f"""WITH {sql.PSM_X}, {_GRID}, b AS (SELECT id % 4 <> 0 AS mapped, confidence AS cell FROM px)
+    SELECT round(k / 49, 9) AS threshold, count(*) FILTER (mapped) AS mapped, count(*) FILTER (NOT mapped) AS unmapped FROM k LEFT JOIN b ON cell >= k / 49 GROUP BY k""")
 def mapped_by_threshold(spark, sf_dir):
     flags = {"mapped": F.col("id") % 4 != 0, "unmapped": F.col("id") % 4 == 0}
     return metrics.threshold_counts(derive.psm_x(spark, sf_dir), "confidence", flags).withColumn("threshold", F.round("threshold", 9))
 
 
-@query("mapped_by_protein", f"""WITH {sql.PSM_X}, {_GRID}, b AS (SELECT CASE WHEN id % 4 <> 0 THEN 'P' || CAST(id % 97 AS VARCHAR) END AS protein_id, CAST(least(49, floor(confidence * 49 + 1e-9)) AS INTEGER) AS cell FROM px)
-    SELECT round(k / 49, 9) AS threshold, count(protein_id) AS mapped, count(cell) - count(protein_id) AS unmapped FROM k LEFT JOIN b ON cell >= k GROUP BY k""")
+@query("mapped_by_protein", f"""WITH {sql.PSM_X}, {_GRID}, b AS (SELECT CASE WHEN id % 4 <> 0 THEN 'P' || CAST(id % 97 AS VARCHAR) END AS protein_id, confidence AS cell FROM px)
+    SELECT round(k / 49, 9) AS threshold, count(protein_id) AS mapped, count(cell) - count(protein_id) AS unmapped FROM k LEFT JOIN b ON cell >= k / 49 GROUP BY k""")
 def mapped_by_protein(spark, sf_dir):
     """Mapped predictions are those with a protein in a table of predictions as CSV files hold it."""
     path = f"{shared_dir(spark)}/mapped-{uuid.uuid4().hex}"
@@ -243,8 +243,8 @@ def normalised_recall(spark, sf_dir):
     return derive.psm_x(spark, sf_dir).agg(F.round(F.avg((bare("targets") == bare("predictions")).cast("double")), 9).alias("recall"))
 
 
-@query("first_threshold_at_precision", f"""WITH {sql.PSM_X}{sql.matched('px', 'pi')}, {_GRID}, b AS (SELECT pep_match, CAST(least(49, floor(confidence * 49 + 1e-9)) AS INTEGER) AS cell FROM mt),
-    c AS (SELECT k, count(*) FILTER (pep_match = 1) / count(*) AS p FROM k JOIN b ON cell >= k GROUP BY k) SELECT round(min(k / 49) FILTER (p >= 0.9), 9) AS threshold FROM c""")
+@query("first_threshold_at_precision", f"""WITH {sql.PSM_X}{sql.matched('px', 'pi')}, {_GRID}, b AS (SELECT pep_match, confidence AS cell FROM mt),
+    c AS (SELECT k, count(*) FILTER (pep_match = 1) / count(*) AS p FROM k JOIN b ON cell >= k / 49 GROUP BY k) SELECT round(min(k / 49) FILTER (p >= 0.9), 9) AS threshold FROM c""")
 def first_threshold_at_precision(spark, sf_dir):
     rows = metrics.threshold_counts(
         metrics.matches(derive.psm_x(spark, sf_dir)), "confidence", {"tp": F.col("pep_match") == 1, "fp": F.col("pep_match") == 0}

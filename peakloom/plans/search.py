@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from peakloom.constants import AMINO_ACIDS
+from peakloom.constants import AMINO_ACIDS, CARBON_MASS_DELTA, H2O_MASS, PROTON_MASS
 from peakloom.functions.tokens import remove_modifications
 from peakloom.operators import decode, joins, knapsack
 from peakloom.plans import derive
@@ -49,8 +49,32 @@ def _searched(spark, sf_dir, search: decode.Search):
     )
 
 
+_NAMES = "[" + ", ".join(f"'{a}'" for a in RESIDUES) + "]"
+_MASSES = "CAST([" + ", ".join(map(str, RESIDUES.values())) + "] AS DOUBLE[])"
+
+#: The customers' ladders: v (id, t, m, n, whole), ion (id, mz), and res (j, name, mass), the residues.
+_LADDERS = f"""r AS (SELECT {_NAMES} AS nm, {_MASSES} AS ms), c AS (SELECT c_custkey AS id, nm, ms, list_transform(range(1, 7 + c_custkey % 5), lambda i: 1 + (c_custkey * 7 + i * i * 3 + i * (c_custkey % 11)) % 19) AS t FROM customer, r),
+    w AS (SELECT *, len(t) AS n, list_transform(t, lambda k: ms[k]) AS m FROM c), v AS (SELECT *, list_sum(m) AS whole FROM w),
+    b AS (SELECT id, list_sum(m[1:k]) AS b, whole FROM v, range(1, 12) u(k) WHERE k < n),
+    ion AS (SELECT id, b + {PROTON_MASS} AS mz FROM b UNION ALL SELECT id, whole - b + {H2O_MASS} + {PROTON_MASS} FROM b),
+    res AS (SELECT j, nm[j] AS name, ms[j] AS mass FROM r, range(1, 20) x(j))"""
+
+
 #: Every ladder spectrum is explained in full, so each search must meet the precursor wherever it ends.
-@query("decode_greedy")
+@query("decode_greedy", f"""WITH RECURSIVE {_LADDERS},
+    p AS (SELECT id, array_to_string(list_transform(t, lambda k: nm[k]), '') AS target, ((whole + {H2O_MASS}) / (1 + id % 3) + {PROTON_MASS} - {PROTON_MASS}) * (1 + id % 3) AS precursor FROM v),
+    t AS (SELECT id, 0 AS step, CAST(0 AS DOUBLE) AS done, precursor - {H2O_MASS} AS rest, '' AS seq, precursor * 5e-5 AS allowed, precursor FROM p
+          UNION ALL (WITH o AS (SELECT * FROM t WHERE step < 40 AND NOT (step > 0 AND (abs(rest) < allowed OR abs(rest - {CARBON_MASS_DELTA}) < allowed))),
+              q AS (SELECT o.*, j, name, mass, done + mass AS suffix FROM o, res
+                    WHERE rest - mass > -allowed OR abs(rest - mass) < allowed OR abs(rest - mass - {CARBON_MASS_DELTA}) < allowed),
+              f AS (SELECT q.id, j, coalesce(sum(CASE WHEN mz BETWEEN suffix + {H2O_MASS} + {PROTON_MASS} - 0.02 AND suffix + {H2O_MASS} + {PROTON_MASS} + 0.02 THEN 1 ELSE 0 END
+                        + CASE WHEN mz BETWEEN precursor - {H2O_MASS} - suffix + {PROTON_MASS} - 0.02 AND precursor - {H2O_MASS} - suffix + {PROTON_MASS} + 0.02 THEN 1 ELSE 0 END), 0) AS found
+                    FROM q LEFT JOIN ion ON q.id = ion.id GROUP BY q.id, j),
+              g AS (SELECT id, arg_max(j, 100 * least(found, 2) - j) AS j FROM f GROUP BY id)
+              SELECT q.id, step + 1, suffix, rest - mass, name || seq, allowed, precursor FROM q JOIN g ON q.id = g.id AND q.j = g.j)),
+    e AS (SELECT id, max(step) AS step FROM t GROUP BY id),
+    d AS (SELECT t.id, seq, abs(rest) < allowed OR abs(rest - {CARBON_MASS_DELTA}) < allowed AS met FROM t JOIN e ON t.id = e.id AND t.step = e.step)
+    SELECT id, CASE WHEN met THEN seq ELSE '' END AS prediction, met AS meets_precursor, met AND seq = target AS correct FROM d JOIN p USING (id)""")
 def decode_greedy(spark, sf_dir):
     return _searched(spark, sf_dir, decode.choose(1, table=RESIDUES))
 
@@ -65,29 +89,33 @@ def decode_knapsack(spark, sf_dir):
     return _searched(spark, sf_dir, decode.choose(5, _chart(), table=RESIDUES))
 
 
-@query("score_sequences")
+@query("score_sequences", f"""WITH {_LADDERS},
+    s AS (SELECT id, k, j, coalesce(list_sum(m[n - k + 1:n]), 0) + ms[j] AS suffix, whole + {H2O_MASS} AS precursor, CASE WHEN k < n THEN t[n - k] END AS own FROM v, range(0, 12) u(k), range(1, 20) x(j) WHERE k <= n),
+    q AS (SELECT *, CASE e WHEN 0 THEN suffix + {H2O_MASS} + {PROTON_MASS} ELSE precursor - {H2O_MASS} - suffix + {PROTON_MASS} END AS place FROM s, range(0, 2) y(e)),
+    f AS (SELECT q.id, k, j, own, count(mz) AS found FROM q LEFT JOIN ion ON q.id = ion.id AND mz BETWEEN place - 0.02 AND place + 0.02 GROUP BY ALL),
+    g AS (SELECT id, k, coalesce(max(8.0 * least(found, 2)) FILTER (j = own), 0) - ln(sum(exp(8.0 * least(found, 2))) + 1) AS p FROM f GROUP BY id, k)
+    SELECT id, round(sum(p), 6) AS log_prob FROM g GROUP BY id""")
 def score_sequences(spark, sf_dir):
-    return decode.score_sequences(derive.ladders(spark, sf_dir), "targets", decode.FragmentEvidence(tuple(RESIDUES.values())), RESIDUES)
+    scored = decode.score_sequences(derive.ladders(spark, sf_dir), "targets", decode.FragmentEvidence(tuple(RESIDUES.values())), RESIDUES)
+    return scored.select("id", F.round("log_prob", 6).alias("log_prob"))
 
 
-@query("knapsack_build")
+@query("knapsack_build", f"""WITH RECURSIVE r AS (SELECT {_NAMES} AS nm, {_MASSES} AS ms), c AS (SELECT DISTINCT unnest(list_transform(range(1, 7 + c_custkey % 5), lambda i: 1 + (c_custkey * 7 + i * i * 3 + i * (c_custkey % 11)) % 19)) AS k FROM customer),
+    step AS (SELECT CAST(round_even(ms[k] * 10, 0) AS BIGINT) AS s FROM c, r), seed AS (SELECT s + 10 * e AS mass FROM step, range(0, 2) u(e)),
+    reach AS (SELECT mass FROM seed UNION SELECT mass + s FROM reach, step WHERE mass + s <= 24000) SELECT mass FROM reach""")
 def knapsack_build(spark, sf_dir):
-    """Reachable masses of the real residues up to 2,400 dalton: their number in each hundred dalton.
-
-    The chart goes to the executors as packed bits, and tasks look up runs of masses in it.
-    """
-    bits = spark.sparkContext.broadcast(np.packbits(_chart().reach))
-    size, run = len(_chart().reach), 1 << 16
+    """Masses, in tenths of a dalton, that the residues of the customers' peptides add up to below 2,400 dalton."""
+    found = derive.ladders(spark, sf_dir).select(F.explode("targets").alias("r")).distinct().collect()  # an alphabet
+    chart = knapsack.build({r["r"]: RESIDUES[r["r"]] for r in found}, max_mass=2400.0, scale=10, max_isotope=1)
+    words, run = spark.sparkContext.broadcast(chart.words), 64
 
     def rows(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                part = np.unpackbits(bits.value[k * run // 8 : (k + 1) * run // 8])[: size - k * run]
-                hundred, n = np.unique((k * run + np.flatnonzero(part)) // 100_000, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hundred, pa.int64()), pa.array(n, pa.int64())], ["hundred", "n"])
+                bits = np.unpackbits(words.value[k * run : (k + 1) * run].view(np.uint8), bitorder="little")
+                yield pa.RecordBatch.from_arrays([pa.array(64 * run * k + np.flatnonzero(bits), pa.int64())], ["mass"])
 
-    found = spark.range(-(-size // run)).mapInArrow(rows, "hundred long, n long")
-    return found.groupBy("hundred").agg(F.sum("n").alias("n"))
+    return spark.range(-(-len(chart.words) // run)).mapInArrow(rows, "mass long")
 
 
 def _folder(spark) -> str:

@@ -192,10 +192,12 @@ def dummy_spectra(spark, sf_dir):
     return derive.spectra(spark, sf_dir).select(done.alias("p")).agg(F.count_if(F.get("p", 0)["mz"] == 0).alias("n_dummy"))
 
 
-@query("cosine_schedule", """WITH k AS (SELECT unnest(range(0, 20)) AS t), a AS (SELECT t, pow(cos((t / 20 + 0.008) / 1.008 * pi() / 2), 2) AS x, pow(cos(((t + 1) / 20 + 0.008) / 1.008 * pi() / 2), 2) AS y FROM k)
-    SELECT CAST(t AS INTEGER) AS step, round(least(1 - y / x, 0.999), 9) AS beta FROM a""")
+@query("cosine_schedule", """WITH k AS (SELECT event_id, event_id % 20 AS t FROM events), a AS (SELECT event_id, t, pow(cos((t / 20 + 0.008) / 1.008 * pi() / 2), 2) AS x, pow(cos(((t + 1) / 20 + 0.008) / 1.008 * pi() / 2), 2) AS y FROM k)
+    SELECT event_id, CAST(t AS INTEGER) AS step, round(least(1 - y / x, 0.999), 9) AS beta FROM a""")
 def cosine_schedule(spark, sf_dir):
-    return spark.createDataFrame([(i, round(b, 9)) for i, b in enumerate(numeric.cosine_betas(20))], "step int, beta double")
+    """The noise of each event's step of the schedule."""
+    step, betas = (F.col("event_id") % 20).cast("int"), F.array(*[F.lit(b) for b in numeric.cosine_betas(20)])
+    return table(spark, sf_dir, "events").select("event_id", step.alias("step"), F.round(F.get(betas, step), 9).alias("beta"))
 
 
 _DIST = """d AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS a, list_transform(list_reverse(embedding), lambda v: CAST(v AS DOUBLE)) AS b FROM embeddings),

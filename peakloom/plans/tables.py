@@ -95,8 +95,9 @@ def index_columns(spark, sf_dir):
 
 @query("filter_rows", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_custkey % 2 = 0")
 def filter_rows(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
-    return filters.filter_rows(filters.filter_rows(df, F.col("o_totalprice") > 1000), "o_custkey % 2 = 0").select("o_orderkey")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    kept = filters.filter_rows(filters.filter_rows(df, F.col("o_totalprice") > 500), "o_custkey % 2 = 0")
+    return filters.filter_rows(kept, lambda row: row["o_totalprice"] > 1000).select("o_orderkey")
 
 
 @query("check_values", "SELECT count(*) AS n_outside FROM orders WHERE o_totalprice < 0 OR o_totalprice > 400000")
@@ -192,12 +193,13 @@ def moving_average(spark, sf_dir):
     return rows.select("event_id", F.round("average", 6).alias("average"))
 
 
-@query("split_by_peptide", f"""WITH {sql.PSM}, s AS (SELECT id, replace(array_to_string(list_transform(ti, lambda k: nm[k]), ''), 'I', 'L') AS bare FROM psm) SELECT bare, count(*) AS n FROM s GROUP BY bare""")
+@query("split_by_peptide", f"""WITH {sql.PSM}, s AS (SELECT id, replace(array_to_string(list_transform(ti, lambda k: nm[k]), ''), 'I', 'L') AS bare FROM psm)
+    SELECT bare, CASE WHEN {sql.share("CAST('0x' || substr(md5(bare), 1, 7) AS BIGINT)")} < 100000 THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM s GROUP BY ALL""")
 def split_by_peptide(spark, sf_dir):
-    """How often each peptide occurs on the one side that it falls on; a peptide on both sides would show twice."""
+    """How often each peptide occurs, and on which side it falls."""
     bare = tokens.remove_modifications(F.array_join("targets", ""))
     rows = sampling.split_by_group(derive.psm(spark, sf_dir).withColumn("bare", bare), F.col("bare"), 0.1)
-    return rows.groupBy("bare", "split").agg(F.count(F.lit(1)).alias("n")).select("bare", "n")
+    return rows.groupBy("bare", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("hash_sample", f"SELECT o_orderkey FROM orders WHERE {sql.share('o_orderkey')} < 250000")
@@ -363,18 +365,21 @@ def union_strict(spark, sf_dir):
     return schema.union_strict(part("F"), part("O"))
 
 
-@query("warmup_factor", "SELECT id, round(0.5 * (1 + cos(pi() * id / 1000)) * least(1.0, id / 100), 9) AS factor FROM range(0, 1000) t(id)")
+@query("warmup_factor", "SELECT event_id, round(0.5 * (1 + cos(pi() * event_id / 200000)) * least(1.0, event_id / 1000), 9) AS factor FROM events")
 def warmup_factor(spark, sf_dir):
+    """The learning rate's factor at each event, taken as a step of training."""
     from peakloom.functions.numeric import warmup_factor
 
-    return spark.range(1000).select("id", F.round(warmup_factor(F.col("id"), 100, 1000), 9).alias("factor"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(warmup_factor(F.col("event_id"), 1000, 200000), 9).alias("factor"))
 
 
-@query("sinusoids", "SELECT id, CAST(i AS INTEGER) AS i, round(CASE i % 2 WHEN 0 THEN sin(id * exp(-ln(10000.0) * 2 * (i // 2) / 8)) ELSE cos(id * exp(-ln(10000.0) * 2 * (i // 2) / 8)) END, 7) AS v FROM range(0, 100) t(id), range(0, 8) u(i)")
+@query("sinusoids", "SELECT event_id, CAST(i AS INTEGER) AS i, round(CASE i % 2 WHEN 0 THEN sin(event_id * exp(-ln(10000.0) * 2 * (i // 2) / 8)) ELSE cos(event_id * exp(-ln(10000.0) * 2 * (i // 2) / 8)) END, 6) AS v FROM events, range(0, 8) u(i)")
 def sinusoids(spark, sf_dir):
+    """The encoding of each event's position."""
     from peakloom.functions.numeric import sinusoids
 
-    return spark.range(100).select("id", F.posexplode(sinusoids(F.col("id"), 8)).alias("i", "v")).select("id", "i", F.round("v", 7).alias("v"))
+    found = table(spark, sf_dir, "events").select("event_id", F.posexplode(sinusoids(F.col("event_id"), 8)).alias("i", "v"))
+    return found.select("event_id", "i", F.round("v", 6).alias("v"))
 
 
 @query("legacy_columns", "SELECT o_orderkey AS precursor_mz, trim(o_orderstatus, '_') AS modified_sequence FROM orders")

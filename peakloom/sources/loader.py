@@ -217,15 +217,19 @@ def file_begins(df: DataFrame, file: str) -> DataFrame:
 
 def load_spectra(
     spark: SparkSession, source: str | list[str], source_type: str | None = None, name: str | None = None, partition: str | None = None,
-    annotated: bool = False, custom: Callable[[SparkSession, str], DataFrame] | None = None, **options,
+    annotated: bool = False, custom: Callable[[SparkSession, str], DataFrame] | None = None, preprocess: Callable[[DataFrame], DataFrame] | None = None, **options,
 ) -> DataFrame:
-    """Spectra from a file, a glob, a list of them, or a folder of dataset-{name}-{partition}-*-*.parquet."""
+    """Spectra from a file, a glob, a list of them, or a folder of dataset-{name}-{partition}-*-*.parquet.
+
+    custom reads each source in place of the readers; preprocess is applied to what was read, before columns are checked.
+    """
+    done = lambda df: schema.check_columns(df if preprocess is None else preprocess(df), annotated)
     if custom is not None:
         parts = [custom(spark, s) for s in ([source] if isinstance(source, str) else source)]
         out = parts[0]
         for part in parts[1:]:
             out = schema.union_relaxed(out, part)
-        return schema.check_columns(out, annotated)
+        return done(out)
     if isinstance(source, str) and name is not None:
         source, source_type = f"{source.rstrip('/')}/dataset-{name}-{partition}-*-*.parquet", "parquet"
     sources = [source] if isinstance(source, str) else list(source)
@@ -239,4 +243,4 @@ def load_spectra(
             out = part if out is None else schema.union_relaxed(out, part)
     if out is None:
         raise ValueError(f"no readable input: {source}")
-    return schema.check_columns(out, annotated)
+    return done(out)
