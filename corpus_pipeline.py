@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm import exact_dedup, langid, minhash, packing, quality_rules
 from peakloom.llm.shared import as_rows, bucket_of, content_of, from_rows, id_key, table, text_of
-from peakloom.storage import removed, written
+from peakloom.storage import made, removed_since, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, margin: float = 1.1) -> DataFrame:
@@ -64,11 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each one's result written and read again, and its predecessor's deleted then."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    """The stages one after the other over documents, each one's result written and read again; all that it made on the way, and its predecessor, are deleted then."""
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if before is not None:
-            removed(before)
-        before = docs
+        removed_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,15 +37,20 @@ def double_of(bits: int) -> float:
 def at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, tuple[int, int]]:
     """rank -> (value at that rank, from 1, in ascending order; how many values are smaller), for a column of integers without nulls.
 
-    A pass counts the values by their next DIGIT bits among those that share the bits known so far with a wanted value:
-    at most len(ranks) * 2**DIGIT counts pass the driver.
+    The bits that all values share are told by the smallest and the largest. Then a pass counts the values by their
+    next DIGIT bits among those that share the bits known so far with a wanted value: at most len(ranks) * 2**DIGIT
+    counts pass the driver.
     """
     ranks = sorted(set(ranks))
     values = written(df.select(value.cast("long").alias("v")), "values")
     # The sign bit is turned over, so that the bits' order as unsigned numbers is that of the values.
     unsigned = F.col("v").bitwiseXOR(F.lit(-(2**63)).cast("long"))
-    known: dict[int, tuple[int, int]] = dict.fromkeys(ranks, (0, 0))  # rank -> bits so far, number of values below them
-    left = 64
+    ends = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    if ranks and not 1 <= ranks[0] <= ranks[-1] <= ends["n"]:
+        raise ValueError(f"there is no rank {ranks[-1] if ranks[0] > 0 else ranks[0]} among {ends['n']} values")
+    low, high = ((ends[c] or 0) + 2**63 for c in ("low", "high"))
+    left = (low ^ high).bit_length()
+    known: dict[int, tuple[int, int]] = dict.fromkeys(ranks, (low >> left, 0))  # rank -> bits so far, number of values below them
     while left and ranks:
         step = min(DIGIT, left)
         prefix = F.shiftrightunsigned(unsigned, left) if left < 64 else F.lit(0).cast("long")
@@ -61,8 +66,6 @@ def at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, tu
                     known[rank] = (bits << step | d, below)
                     break
                 below += n
-            else:
-                raise ValueError(f"there is no rank {rank}")
         left -= step
     removed(values)
     return {rank: ((bits ^ 2**63) - (2**64 if bits ^ 2**63 >= 2**63 else 0), below) for rank, (bits, below) in known.items()}

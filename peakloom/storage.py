@@ -47,6 +47,20 @@ def removed(df: DataFrame) -> None:
         _made[:] = [m for m in _made if not folder.endswith(m.rsplit("/", 1)[1])]
 
 
+def made() -> int:
+    """How many folders there are to clear: a mark for removed_since()."""
+    return len(_made)
+
+
+def removed_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the folders made since a mark, but for that of one table that does not depend on the others any more."""
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}
+    for path in _made[mark:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _delete(spark, path)
+            _made.remove(path)
+
+
 def cleared(spark: SparkSession) -> int:
     """Delete all tables that written() has made in this session, once every result that reads them is stored; how many."""
     count = len(_made)
