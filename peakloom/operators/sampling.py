@@ -30,6 +30,14 @@ def sample_exact(df: DataFrame, fraction: float, key: Column, seed: int = 42) ->
     return selection.smallest(df, [hash_of(key, seed), key], int(df.count() * fraction))
 
 
+def subset_of(df: DataFrame, fraction: float, key: Column, seed: int = 42) -> DataFrame:
+    """The rows that a job is to work on: all of them for a fraction of 1, else an exact sample. A fraction outside (0, 1] and an empty table are errors at once."""
+    check_fraction(fraction)
+    if df.isEmpty():
+        raise ValueError("no data found")
+    return df if fraction == 1 else sample_exact(df, fraction, key, seed)
+
+
 def hash_of(key: Column, seed: int = 0) -> Column:
     """An integer below 2**31 - 1 that depends on an integer key alone, the same in every engine."""
     return F.pmod(F.pmod(key * 48271 + seed, F.lit(2147483647)) * 69621, F.lit(2147483647))

@@ -150,6 +150,28 @@ def ipc_roundtrip(spark, sf_dir):
     return _summary(loader.read_ipc(spark, files))
 
 
+@query("legacy_ipc", """SELECT o_orderkey AS scan_number, o_totalprice / 200 AS precursor_mz, o_orderkey % 4 AS precursor_charge, o_orderstatus AS modified_sequence, o_orderpriority AS sequence, CAST([o_totalprice] AS DOUBLE[]) AS mz_array FROM orders""")
+def legacy_ipc(spark, sf_dir):
+    """Arrow files of the old schema, migrated and read again."""
+    old, new = _folder(spark), _folder(spark)
+    o = derive.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("scan_number"), F.col("o_orderpriority").alias("Sequence"), F.concat(F.lit("_"), "o_orderstatus", F.lit("_")).alias("Modified sequence"),
+        (F.col("o_totalprice") / 200).alias("MS/MS m/z"), (F.col("o_orderkey") % 4).alias("Charge"), F.array("o_totalprice").alias("Mass values"),
+    )
+    sinks.write_ipc(o, old)
+    return loader.ipc.load(spark, loader.migrate_legacy(spark, old, new)).select("scan_number", "precursor_mz", "precursor_charge", "modified_sequence", "sequence", "mz_array")
+
+
+@query("modified_sequence_first", """SELECT o_orderkey AS scan_number, CASE WHEN o_orderkey % 3 = 0 THEN 'PEP' || o_orderstatus END AS sequence FROM orders""")
+def modified_sequence_first(spark, sf_dir):
+    """The modified sequence of a CSV file stands in for the plain one, without its wrapping marks."""
+    path = _folder(spark)
+    modified = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("_PEP"), "o_orderstatus", F.lit("_")))
+    o = derive.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_number"), F.lit("PLAIN").alias("sequence"), modified.alias("modified_sequence"))
+    sinks.write_csv(o, path)
+    return loader.read_csv(spark, path).select(F.col("scan_number").cast("bigint").alias("scan_number"), "sequence")
+
+
 @query("csv_roundtrip", _ROUND)
 def csv_roundtrip(spark, sf_dir):
     path = _folder(spark)

@@ -197,6 +197,25 @@ def _columnar(df: DataFrame, column_mapping: dict[str, str] | None = None, prefe
     return schema.coerced(df)
 
 
+def from_frame(spark: SparkSession, frame: object, **options) -> DataFrame:
+    """A table that is in memory already (pandas, an Arrow table, or what has to_arrow or to_pandas, as polars and dataset libraries do) as spectra."""
+    if isinstance(frame, pa.Table):
+        table = frame
+    elif hasattr(frame, "to_arrow"):
+        table = frame.to_arrow()
+    else:
+        frame = frame.to_pandas() if hasattr(frame, "to_pandas") else frame
+        table = pa.Table.from_pandas(frame, preserve_index=False)
+    return _columnar(spark.createDataFrame(table), **options)
+
+
+def migrate_legacy(spark: SparkSession, source: str | list[str], target: str) -> list[str]:
+    """Arrow files with the old column names written anew under the present ones; the uris of the new files."""
+    from peakloom.sources.sinks import write_ipc
+
+    return write_ipc(from_legacy(ipc.load(spark, source)), target, "overwrite")
+
+
 def from_legacy(df: DataFrame) -> DataFrame:
     """An old table's columns under their new names, the modified sequence without its underscores."""
     out = schema.renamed(df, LEGACY_COLUMNS)

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import metrics
+from peakloom.operators import filters, metrics, sampling
 from peakloom.sources import footers, loader, ranges, sinks
 
 
@@ -86,3 +86,34 @@ def test_error_rate_of_many_tokens(spark):
     a, b = [f"t{k}" for k in range(300)], [f"t{k}" for k in range(1, 301)]
     rows = spark.createDataFrame([(a, b), (["I", "P"], ["L", "P"]), (None, ["A"])], "t array<string>, p array<string>")
     assert tuple(metrics.aa_error_rate(rows, "t", "p").first()) == (3, 302, 3 / 302)
+
+
+def test_tables_in_memory(spark):
+    """pandas, Arrow and what turns into them load as files do."""
+    table = pa.table({"MS/MS m/z": [500.5, None], "precursor_charge": pa.array([2, 3], pa.int8()), "modified_sequence": ["_PEP_", None], "mz_array": [[1.0, 2.0], []]})
+
+    class Other:
+        def __init__(self, how):
+            setattr(self, how, lambda: table if how == "to_arrow" else table.to_pandas())
+
+    for frame in (table, table.to_pandas(), Other("to_arrow"), Other("to_pandas")):
+        rows = loader.from_frame(spark, frame, column_mapping={"MS/MS m/z": "precursor_mz"}).orderBy("precursor_charge").collect()
+        assert [(r["precursor_charge"], r["sequence"], list(r["mz_array"])) for r in rows] == [(2, "PEP", [1.0, 2.0]), (3, None, [])] and rows[0]["precursor_mz"] == 500.5
+
+
+def test_subset_of_a_job(spark):
+    df = spark.range(100)
+    assert sampling.subset_of(df, 1.0, F.col("id")).count() == 100 and sampling.subset_of(df, 0.25, F.col("id")).count() == 25
+    for fraction in (0, -0.1, 1.5):
+        with pytest.raises(ValueError, match="above 0 and at most 1"):
+            sampling.subset_of(df, fraction, F.col("id"))
+    with pytest.raises(ValueError, match="no data"):
+        sampling.subset_of(df.limit(0), 1.0, F.col("id"))
+
+
+def test_rows_by_a_function(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0], None), (2, [], "x"), (3, [5.0, 6.0], "y")], "id int, v array<double>, s string")
+    assert [r["id"] for r in filters.filter_rows(df, lambda r: r["v"] and r["s"] != "x").collect()] == [1, 3]
+    df.select(F.col("id").alias("precursor_charge"), F.lit(1.0).alias("precursor_mz"), F.array().cast("array<double>").alias("mz_array"), F.array().cast("array<double>").alias("intensity_array")).write.parquet(f"{tmp_path}/p.parquet")
+    kept = loader.load_spectra(spark, f"{tmp_path}/p.parquet", preprocess=lambda d: d.where("precursor_charge > 1"))
+    assert sorted(r["precursor_charge"] for r in kept.collect()) == [2, 3]
