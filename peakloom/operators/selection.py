@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from peakloom.operators.ordered import numbered
 from peakloom.storage import removed, written
 
-#: Bits that a pass counts by.
-DIGIT = 12
+#: Bits that a pass counts by, and values that may come to the driver once no more are left to choose from.
+DIGIT, FEW = 12, 50_000
 
 
 def double_bits(value: Column) -> Column:
@@ -39,7 +40,7 @@ def at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, tu
 
     The bits that all values share are told by the smallest and the largest. Then a pass counts the values by their
     next DIGIT bits among those that share the bits known so far with a wanted value: at most len(ranks) * 2**DIGIT
-    counts pass the driver.
+    counts pass the driver, and in the end, where no more than FEW values share those bits, these values.
     """
     ranks = sorted(set(ranks))
     values = written(df.select(value.cast("long").alias("v")), "values")
@@ -60,13 +61,22 @@ def at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, tu
         counts: dict[int, list[tuple[int, int]]] = {}
         for r in some.groupBy(prefix.alias("p"), digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect():
             counts.setdefault(r["p"] % 2**64, []).append((r["d"], r["n"]))
+        alike: dict[int, int] = {}
         for rank, (bits, below) in known.items():
             for d, n in sorted(counts.get(bits, [])):
                 if below + n >= rank:
                     known[rank] = (bits << step | d, below)
+                    alike[bits << step | d] = n
                     break
                 below += n
         left -= step
+        if left and sum(alike.values()) <= FEW:
+            prefix = F.shiftrightunsigned(unsigned, left)
+            found = sorted(r["v"] + 2**63 for r in values.where(prefix.isin([p if p < 2**63 else p - 2**64 for p in alike])).collect())
+            for rank, (bits, below) in known.items():
+                value = found[bisect.bisect_left(found, bits << left) + rank - below - 1]
+                known[rank] = (value, below + bisect.bisect_left(found, value) - bisect.bisect_left(found, bits << left))
+            left = 0
     removed(values)
     return {rank: ((bits ^ 2**63) - (2**64 if bits ^ 2**63 >= 2**63 else 0), below) for rank, (bits, below) in known.items()}
 

@@ -10,7 +10,10 @@ from peakloom.operators import metrics, sampling, selection
 from peakloom.operators.ordered import moving_average, numbered
 
 
-def test_at_ranks(spark):
+@pytest.mark.parametrize("few", [0, 200, 50_000])
+def test_at_ranks(spark, monkeypatch, few):
+    """By passes to the last bit, and by the last values themselves."""
+    monkeypatch.setattr(selection, "FEW", few)
     r = random.Random(1)
     values = [r.randrange(-(2**63), 2**63) for _ in range(500)] + [0, -1, 1, 2**63 - 1, -(2**63)] + [7] * 300 + [r.randrange(-5, 5) for _ in range(200)]
     df = spark.createDataFrame([(v,) for v in values], "v long").repartition(5)
