@@ -244,6 +244,17 @@ SQL = {
               FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN st USING (r)),
         v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
         SELECT *, NOT base_failed AND NOT (n_struck_words > 0 AND n_words - n_struck_words < 0.2 * n_words) AS kept FROM v""",
+    "op4_struck_texts": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text AS given, coalesce(text, '') AS text FROM documents),
+        l AS (SELECT r, doc_id, source, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS content,
+                     unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
+        k AS (SELECT *, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM l),
+        f AS (SELECT source, line, first(doc_id ORDER BY doc_id NULLS LAST, content) AS first_id, first(content ORDER BY doc_id NULLS LAST, content) AS first_content
+              FROM k WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT text) > 20),
+        s AS (SELECT k.r, k.pos, k.raw, f.line IS NOT NULL AND (k.doc_id IS DISTINCT FROM f.first_id OR k.content <> f.first_content) AS struck
+              FROM k LEFT JOIN f ON k.source IS NOT DISTINCT FROM f.source AND k.line = f.line),
+        t AS (SELECT r, bool_or(struck) AS hit, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT struck), '') AS rest FROM s GROUP BY r)
+        SELECT doc_id, source, CASE WHEN hit THEN rest ELSE given END AS text FROM d LEFT JOIN t USING (r)""",
     "op7_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
