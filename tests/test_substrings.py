@@ -1,10 +1,13 @@
 """The seed index against a plain search."""
 
 import random
+from pathlib import Path
 
 import pytest
 
+from peakloom import storage
 from peakloom.operators import joins, substrings
+from peakloom.plans import mapping
 from peakloom.sources import loader, sinks
 
 
@@ -35,6 +38,49 @@ def test_all_places(spark, monkeypatch, way):
     assert got == places(strings, texts)
 
 
+@pytest.mark.parametrize("way", ["in tasks", "in small chunks", "by the index"])
+def test_holders(spark, monkeypatch, way):
+    """Each row of texts counts, with the first place in it, also where ids repeat or are null and where a text is cut into chunks."""
+    if way == "in small chunks":
+        monkeypatch.setattr(substrings, "CHUNK", 16)
+        monkeypatch.setattr(substrings, "PAIRS", 3)
+    if way == "by the index":
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    strings, texts = cases()
+    a = spark.createDataFrame([(s,) for s in strings], "s string")
+    b = spark.createDataFrame(texts, "id long, body string")
+    got = sorted(map(tuple, substrings.holders(a, "s", b, "id", "body", 4).collect()), key=repr)
+    assert got == sorted(((s, i, t.index(s)) for s in set(strings) if s for i, t in texts if t and s in t), key=repr)
+    if way == "in small chunks":
+        got = sorted(map(tuple, substrings.occurrences(a, "s", b, "id", "body", 4).collect()), key=repr)
+        assert got == places(strings, texts)
+
+
+def test_mapping_writes_each_peptide_once(spark):
+    """The files of a mapping grow with predictions and with pairs, and not with predictions times proteins."""
+    mark = storage.made()
+    mapping.mapping_csv_counts(spark, "/root/testdata/sf0.01").collect()
+    n = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    files = [f for d in storage._made[mark:] for f in Path(d.removeprefix("file:")).rglob("part-*")]
+    assert 0 < sum(f.stat().st_size for f in files) < 300 * n
+    storage.cleared(spark)
+
+
+def test_words_count_rows(spark, tmp_path):
+    """Documents with repeated and null ids count one by one, as in the query's SQL."""
+    spark.createDataFrame([(1, "a b the c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "The end"), (1, "other"), (None, "the"), (None, None), (2, "no")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in mapping.words_in_documents(spark, str(tmp_path)).collect()] == [("the", 3)]
+
+
+def test_map_peptides_without_lists(spark):
+    df = spark.createDataFrame([(1, "KLLIV"), (2, "WWWW"), (3, None)], "id long, peptide string")
+    proteins = spark.createDataFrame([("P2", "MKLLIVE"), ("P1", "AKIIIVKIILVK"), ("P1", "KLLIV")], "acc string, seq string")
+    got = substrings.map_peptides(df, "peptide", proteins, "acc", "seq", lists=False)
+    assert "protein_ids" not in got.columns
+    assert sorted((r["id"], r["protein_id"], r["n_proteins"]) for r in got.collect()) == [(1, "P1", 2), (2, None, 0), (3, None, 0)]
+
+
 def test_no_nested_loop(spark):
     a = spark.createDataFrame([("ABCDEFGH",)], "s string")
     b = spark.createDataFrame([(1, "xxABCDEFGHxx")], "id long, body string")
