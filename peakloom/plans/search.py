@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import struct
+import itertools
 import uuid
 from functools import lru_cache
 
@@ -199,27 +199,31 @@ def stream_ingest(spark, sf_dir):
 def _xml(kind: str):
     """Rows of spectra as lines of one XML file for each partition."""
 
-    def mzml(r) -> str:
-        packed = lambda v: base64.b64encode(struct.pack(f"<{len(v)}d", *v)).decode()
+    def mzml(scan, mz, charge, masses, heights) -> str:
         array = lambda accession, v: f'<binaryDataArray><cvParam accession="{accession}"/><cvParam accession="MS:1000523"/><binary>{packed(v)}</binary></binaryDataArray>'
         return (
-            f'<spectrum id="scan={r["scan_number"]}"><cvParam accession="MS:1000511" value="2"/><cvParam accession="MS:1000744" value="{r["precursor_mz"]!r}"/>'
-            f'<cvParam accession="MS:1000041" value="{r["precursor_charge"]}"/>{array("MS:1000514", r["mz_array"])}{array("MS:1000515", r["intensity_array"])}</spectrum>'
+            f'<spectrum id="scan={scan}"><cvParam accession="MS:1000511" value="2"/><cvParam accession="MS:1000744" value="{mz!r}"/>'
+            f'<cvParam accession="MS:1000041" value="{charge}"/>{array("MS:1000514", masses)}{array("MS:1000515", heights)}</spectrum>'
         )
 
-    def mzxml(r) -> str:
-        pairs = [x for pair in zip(r["mz_array"], r["intensity_array"], strict=True) for x in pair]
-        return (
-            f'<scan num="{r["scan_number"]}" msLevel="2"><precursorMz precursorCharge="{r["precursor_charge"]}">{r["precursor_mz"]!r}</precursorMz>'
-            f'<peaks precision="64">{base64.b64encode(struct.pack(f">{len(pairs)}d", *pairs)).decode()}</peaks></scan>'
-        )
+    def mzxml(scan, mz, charge, masses, heights) -> str:
+        pairs = np.column_stack((masses, heights)).astype(">f8")
+        return f'<scan num="{scan}" msLevel="2"><precursorMz precursorCharge="{charge}">{mz!r}</precursorMz><peaks precision="64">{packed(pairs)}</peaks></scan>'
 
+    packed = lambda v: base64.b64encode(v.tobytes()).decode()
     line, head, tail = {"mzml": (mzml, "<mzML><run>", "</run></mzML>"), "mzxml": (mzxml, "<mzXML><msRun>", "</msRun></mzXML>")}[kind]
 
+    def lists(column):
+        ends = column.offsets.to_numpy()
+        values = column.values.to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+        return [values[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
     def lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([line(r) for r in batch.to_pylist()], pa.string())], ["value"])
+            plain = [batch.column(c).to_pylist() for c in ("scan_number", "precursor_mz", "precursor_charge")]
+            made = map(line, *plain, lists(batch.column("mz_array")), lists(batch.column("intensity_array")))
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array([tail])], ["value"])
 
     return lines

@@ -12,6 +12,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 from xml.etree import ElementTree
 from xml.parsers import expat
 
@@ -32,17 +33,29 @@ PEPTIDE, ZLIB, FLOAT32, FLOAT64 = "MS:1000889", "MS:1000574", "MS:1000521", "MS:
 SPECTRA, CHUNK = 1024, 1 << 20
 
 _ATTRIBUTES = rb"""(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*(/?)>"""
+_ATTRIBUTE = rb"""(?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*?\s+%s\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+_PARAM = re.compile(rb"""<(?:[\w.-]+:)?cvParam(?=((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*))""" + _ATTRIBUTE % b"accession")
+_SCAN = re.compile(rb"""<(?:[\w.-]+:)?scan((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)""")
+_VALUE, _LEVEL = re.compile(rb"^" + _ATTRIBUTE % b"value"), re.compile(rb"^" + _ATTRIBUTE % b"msLevel")
+
+
+@lru_cache(maxsize=4096)
+def _local(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
 
 
 def _tag(node: ElementTree.Element) -> str:
     """An element's name without its name space, whether that was resolved or is still a prefix."""
-    return node.tag.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
+    return _local(node.tag)
+
+
+_KINDS = {(order, double): np.dtype(f"{order}f{8 if double else 4}") for order in "<>" for double in (False, True)}
 
 
 def _floats(text: str, double: bool, packed: bool, order: str = "<") -> np.ndarray:
     raw = base64.b64decode(text or "")
     raw = zlib.decompress(raw) if packed and raw else raw
-    return np.frombuffer(raw, f"{order}f{8 if double else 4}").astype(float)
+    return np.frombuffer(raw, _KINDS[order, double]).astype(float, copy=False)
 
 
 def _number(text: str | None) -> int | None:
@@ -54,20 +67,26 @@ def mzml_row(node: ElementTree.Element, wanted: int | None = None, arrays: bool
     params: dict = {}
     data = []
     for sub in node.iter():
-        if _tag(sub) == "cvParam":
+        name = _local(sub.tag)
+        if name == "cvParam":
             params.setdefault(sub.get("accession"), sub.get("value"))
-        elif _tag(sub) == "binaryDataArray":
+        elif name == "binaryDataArray":
             data.append(sub)
     level = _number(params.get(MS_LEVEL))
     if wanted is not None and level != wanted:
         return None
     values = {}
     for array in data if arrays else []:
-        kinds = {c.get("accession") for c in array if _tag(c) == "cvParam"}
-        text = next((c.text for c in array if _tag(c) == "binary"), "")
+        kinds, texts = set(), []
+        for c in array:
+            name = _local(c.tag)
+            if name == "cvParam":
+                kinds.add(c.get("accession"))
+            elif name == "binary":
+                texts.append(c.text)
         for kind in (MZ_ARRAY, INTENSITY_ARRAY):
             if kind in kinds:
-                values[kind] = _floats(text, FLOAT64 in kinds, ZLIB in kinds)
+                values[kind] = _floats(texts[0] if texts else "", FLOAT64 in kinds, ZLIB in kinds)
     mz = next((float(params[a]) for a in PRECURSOR_MZ if params.get(a)), 0.0)
     time = params.get(SCAN_START)
     return {
@@ -94,6 +113,26 @@ def mzxml_row(node: ElementTree.Element, wanted: int | None = None, arrays: bool
     }
 
 
+def mzml_level(raw: bytes) -> int | None:
+    """The MS level that mzml_row() finds, from the tags alone; None where it takes a parser to tell."""
+    if b"<!" in raw or b"<?" in raw or b"&" in raw:
+        return None
+    for m in _PARAM.finditer(raw):
+        if (m[2] or m[3]) == MS_LEVEL.encode():
+            value = _VALUE.search(m[1])
+            text = value and (value[1] or value[2])
+            return int(text) if text and text.isdigit() else None
+    return None
+
+
+def mzxml_level(raw: bytes) -> int | None:
+    """The MS level that mzxml_row() finds, from the start tag alone; None where it takes a parser to tell."""
+    opening = _SCAN.match(raw)
+    found = opening and _LEVEL.search(opening[1])
+    text = found and (found[1] or found[2])
+    return int(text) if text and text.isdigit() else None
+
+
 def parsed(raw: bytes, encoding: str | None = None) -> ElementTree.Element:
     """An element that was cut out of its document: prefixes stay as they are, since their declarations are elsewhere."""
     parser, tree = expat.ParserCreate(encoding), ElementTree.TreeBuilder()
@@ -168,7 +207,8 @@ class Range(InputPartition):
 
 
 class SpectraReader(DataSourceReader):
-    def __init__(self, options, tag: str, nested: bool, row: Callable) -> None:
+    def __init__(self, options, tag: str, nested: bool, row: Callable, level_of: Callable[[bytes], int | None]) -> None:
+        self.level_of = level_of
         self.files, self.split = options["files"], int(options.get("split", ranges.SPLIT))
         self.tag, self.nested, self.row, self.level, self.counting = tag, nested, row, None, options.get("counts") == "true"
         if "level" in options:
@@ -193,7 +233,11 @@ class SpectraReader(DataSourceReader):
                 raise ValueError(f"{part.uri} is not in a byte-wise encoding")
             file.seek(part.start)
             for raw in elements(file.read, part.start, part.end, self.tag, self.nested):
-                if (row := self.row(parsed(raw, encoding), self.level, not self.counting)) is not None:
+                level = self.level_of(raw) if self.counting and self.level is not None else None
+                if level is not None:
+                    if level == self.level:
+                        yield {}
+                elif (row := self.row(parsed(raw, encoding), self.level, not self.counting)) is not None:
                     yield row
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -224,7 +268,7 @@ class MzmlSource(SpectraSource):
         return "peakloom_mzml"
 
     def reader(self, schema) -> DataSourceReader:
-        return SpectraReader(self.options, "spectrum", False, mzml_row)
+        return SpectraReader(self.options, "spectrum", False, mzml_row, mzml_level)
 
 
 class MzxmlSource(SpectraSource):
@@ -233,4 +277,4 @@ class MzxmlSource(SpectraSource):
         return "peakloom_mzxml"
 
     def reader(self, schema) -> DataSourceReader:
-        return SpectraReader(self.options, "scan", True, mzxml_row)
+        return SpectraReader(self.options, "scan", True, mzxml_row, mzxml_level)

@@ -6,7 +6,7 @@ import struct
 
 import pytest
 
-from peakloom.sources import loader, spectra_xml
+from peakloom.sources import loader, ranges, spectra_xml
 
 FIELDS = "scan_number precursor_mz precursor_charge retention_time sequence mz_array intensity_array spectrum_id".split()
 
@@ -96,3 +96,30 @@ def test_broken_files(spark, tmp_path):
         loader.read_mzml(spark, f"{tmp_path}/a.mzml").collect()
     with pytest.raises(ValueError, match="no readable input"):
         loader.read_mzml(spark, f"{tmp_path}/none.mzml")
+
+
+MZML = [
+    b'<spectrum id="1"><cvParam accession="MS:1000511" value="2"/></spectrum>',
+    b"<p:spectrum id='1'><p:cvParam name='a>b' value = '1' accession='MS:1000511'></p:cvParam><cvParam accession='MS:1000511' value='2'/></p:spectrum>",
+    b'<spectrum><cvParam accession="MS:1"/><cvParam xaccession="MS:1000511" accession="MS:2" value="1"/><cvParam myvalue="3" value="2" accession="MS:1000511"/></spectrum>',
+]
+
+
+@pytest.mark.parametrize("raw", MZML)
+def test_mzml_level_without_a_parser(raw):
+    assert spectra_xml.mzml_level(raw) == spectra_xml.mzml_row(spectra_xml.parsed(raw))["ms_level"]
+
+
+def test_levels_left_to_the_parser():
+    for raw in (b'<spectrum><!-- <cvParam accession="MS:1000511" value="1"/> --></spectrum>', b'<spectrum><cvParam accession="MS:1000511" value="&#50;"/></spectrum>', b"<spectrum/>"):
+        assert spectra_xml.mzml_level(raw) is None
+    assert spectra_xml.mzxml_level(b'<scan num="1"><peaks msLevel="3"/></scan>') is None
+    assert spectra_xml.mzxml_level(b"<scan xmsLevel='1' num='4' msLevel='2'><peaks/></scan>") == 2
+
+
+def test_counting_needs_no_parser(monkeypatch, tmp_path):
+    (tmp_path / "a.mzml").write_bytes(b"<mzML>" + b"".join(MZML) + b"</mzML>")
+    monkeypatch.setattr(spectra_xml, "parsed", None)
+    files = ranges.packed([(f"file:{tmp_path}/a.mzml", (tmp_path / "a.mzml").stat().st_size)])
+    reader = spectra_xml.MzmlSource({"files": files, "level": "2", "counts": "true"}).reader(None)
+    assert [b.to_pylist()[0]["n"] for part in reader.partitions() for b in reader.read(part)] == [2]
