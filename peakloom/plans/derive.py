@@ -103,14 +103,19 @@ def as_text(values: Column, digits: int = 6) -> Column:
 
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, targets and a spectrum with every singly charged b and y ion of the target, for each customer."""
+    """id, targets and a spectrum with every singly charged b and y ion of the target, for each customer.
+
+    A search takes long for a row of few bytes, so that a split of the file would be too much for a task: the keys are
+    dealt to four tasks for each core, however few splits there are.
+    """
     from peakloom.constants import H2O_MASS, PROTON_MASS
     from peakloom.functions.masses import masses
 
     names = F.array(*[F.lit(r) for r in RESIDUES if r != "I"])
     key = F.col("c_custkey")
     places = F.sequence(F.lit(1), (6 + key % 5).cast("int"))
-    df = table(spark, sf_dir, "customer").select(
+    keys = table(spark, sf_dir, "customer").select(key).repartition(4 * spark.sparkContext.defaultParallelism)
+    df = keys.select(
         key.alias("id"), F.transform(places, lambda i: F.get(names, F.pmod(key * 7 + i * i * 3 + i * (key % 11), F.lit(19)).cast("int"))).alias("targets")
     )
     df = df.withColumn("m", masses(F.col("targets"))).withColumn("charge", (1 + F.col("id") % 3).cast("bigint"))

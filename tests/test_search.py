@@ -126,3 +126,9 @@ def test_shuffles_keep_all_rows(spark, sf):
         ids = [r[0] for r in rows.collect()]
         assert sorted(ids) == list(range(1000)) and ids != sorted(ids)
     assert catalogue.queries()["shuffle"](spark, sf).count() > 0
+
+
+def test_search_is_dealt_to_tasks(spark, sf):
+    """One small file of customers is searched by several tasks, all with rows."""
+    counts = derive.ladders(spark, sf).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(counts) == 4 * spark.sparkContext.defaultParallelism and min(counts) > 0
