@@ -24,6 +24,12 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, m: a + m)
 
 
+def running(values: Column) -> Column:
+    """The sum of each value and those before it in its list; nulls add nothing, and are null where nothing came before."""
+    empty = F.array().cast("array<double>")
+    return F.aggregate(values, empty, lambda a, m: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1) + m, F.get(a, F.size(a) - 1), m))))
+
+
 def sequence_mass(tokens: Column, charge: Column | None = None, table: Mapping[str, float] = RESIDUE_MASSES) -> Column:
     """Mass with water; m/z where there is a charge other than zero."""
     mass = total(masses(tokens, table)) + H2O_MASS

@@ -148,11 +148,8 @@ def meets_precursor_mass(spark, sf_dir):
 
 @query("cumulative_mass", f"WITH {sql.PSM}, u AS (SELECT id, i, ms[ti[i]] AS m FROM (SELECT *, unnest(range(1, len(ti) + 1)) AS i FROM psm)) SELECT id, CAST(i AS INTEGER) AS pos, round(sum(m) OVER (PARTITION BY id ORDER BY i), 6) AS cum FROM u")
 def cumulative_mass(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = derive.psm(spark, sf_dir).select("id", F.posexplode(masses.masses(F.col("targets"))).alias("p", "m")).withColumn("pos", F.col("p") + 1)
-    return rows.select("id", "pos", F.round(F.sum("m").over(w), 6).alias("cum"))
+    rows = derive.psm(spark, sf_dir).select("id", F.posexplode(masses.running(masses.masses(F.col("targets")))).alias("p", "m"))
+    return rows.select("id", (F.col("p") + 1).alias("pos"), F.round("m", 6).alias("cum"))
 
 
 _KEPT = """kp AS (SELECT pk.*, sp.precursor_mz FROM pk JOIN sp USING (id) WHERE mz BETWEEN 50 AND 2500 AND abs(mz - precursor_mz) > 2.0 AND intensity >= 0.1)"""

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakloom import storage
+from peakloom.functions import masses
 from peakloom.operators import metrics
 from peakloom.operators.ordered import running
+from peakloom.plans import spectral
 
 
 @pytest.mark.parametrize("reuse", ["true", "false"])
@@ -81,3 +83,11 @@ def test_no_local_folder_on_a_cluster():
     assert storage.shared_dir(Session("yarn", "hdfs:/shared/")) == "hdfs:/shared" and storage.shared_dir(Session("local[2]", None)).startswith("file:")
     with pytest.raises(ValueError, match="share"):
         storage.shared_dir(Session("yarn", None))
+
+
+def test_running_sums_in_rows(spark, sf):
+    """Sums within a list ignore nulls as a window's sum does, and cumulative_mass neither shuffles nor sorts."""
+    rows = spark.createDataFrame([([0.1, 0.2, 0.3],), ([None, 1.5, None, 2.0],), ([],), (None,)], "v array<double>")
+    assert [r[0] for r in rows.select(masses.running(F.col("v"))).collect()] == [[0.1, 0.1 + 0.2, 0.1 + 0.2 + 0.3], [None, 1.5, 1.5, 3.5], [], None]
+    plan = spectral.cumulative_mass(spark, sf)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
