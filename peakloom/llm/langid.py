@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import LETTER, _class_table, chunks_of
-from peakloom.llm.shared import text_of
+from peakloom.llm.shared import text_of, text_rows
 
 UNDETERMINED = "und"
 #: Letters of a segment.
@@ -224,4 +224,4 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     lang, score = [UNDETERMINED] * (j - i), np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(rows, f"`{id_col}` {id_type}, lang_pred string, score double")
+    return text_rows(docs).select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(rows, f"`{id_col}` {id_type}, lang_pred string, score double")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import chunks_of
-from peakloom.llm.shared import SPACE_CLASS, id_key, one_row_each, text_of
+from peakloom.llm.shared import SPACE_CLASS, id_key, one_row_each, text_of, text_rows
 from peakloom.storage import removed, written
 
 #: Words of a shingle.
@@ -157,7 +157,7 @@ def sketch(docs: DataFrame, text_col: str = "text", bands: int = 24, rows: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), lists], ["node", "size", "bands"])
 
     text = text_of(F.col(text_col))
-    return docs.select(node_of(text).alias("node"), F.lower(text).alias("text")).mapInArrow(made, "node binary, size long, bands array<long>")
+    return text_rows(docs).select(node_of(text).alias("node"), F.lower(text).alias("text")).mapInArrow(made, "node binary, size long, bands array<long>")
 
 
 def overlaps(hubs: np.ndarray, nodes: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import chunks_of, encoder
+from peakloom.llm.shared import text_rows
 from peakloom.storage import written
 
 
@@ -56,7 +57,7 @@ def token_pieces(
                 )
 
     schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long"
-    return docs.select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(rows, schema)
+    return text_rows(docs).select(id_col, docs[text_col].cast("string").alias("__text")).mapInArrow(rows, schema)
 
 
 def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from peakloom.llm import langid
 from tests.llm import fixtures
 from tests.llm.test_models import near_by_brute_force
 from tests.llm.test_tokens import check_packing
@@ -77,3 +78,16 @@ def test_drops_go_by_row(spark):
     more = spark.createDataFrame(values + short, fixtures.SCHEMA)
     want = listed([values[8], values[3], values[5], values[1], values[4], *short])
     assert listed(stages["near_dedup"](spark, more, "unused").collect()) == want
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A batch of whole texts has a bounded number of rows, also where the session's setting is larger or unbounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(name, given)
+            langid.predict(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), langid.LanguageModel((), ()))
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
